@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from tabscry.functions.numeric import as_number, pearson, ratio, rounded
 from tabscry.functions.temporal import bucket
 from tabscry.operators.quantiles import percentiles
-from tabscry.session import is_small
 
 # Thresholds of the statistics.
 POSITIVE_CORRELATION = 0.3
@@ -110,14 +109,12 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, approx:
 
 
 def _with_percentiles(df: DataFrame, columns: Sequence[str], metrics: dict, probs: Sequence[float]) -> DataFrame:
-    """Per-column aggregates plus exact percentiles ``q``, in one pass when small."""
-    if is_small(df.select(*columns)):
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        merged = {c: {**metrics[c], "q": F.percentile(as_number(c), wanted)} for c in columns}
-        return summarize(df, merged)
-    return summarize(df, metrics).join(
-        F.broadcast(percentiles(df, columns, probs, small=False)), "column_name", "left"
-    )
+    """Per-column aggregates plus exact percentiles ``q``.
+
+    The plain aggregates keep to generated hash aggregation; percentile
+    buffers would take them off it, so they are computed beside it.
+    """
+    return summarize(df, metrics).join(F.broadcast(percentiles(df, columns, probs)), "column_name", "left")
 
 
 def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -437,32 +434,31 @@ def numeric_flags(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     grid min + k * (max - min) / (n - 1) fill that grid completely.
     """
     columns = list(columns or numeric_columns(df))
-    metrics = {
-        c: {
+    facts = {}
+    for c in columns:
+        facts[f"n_{c}"] = F.count(as_number(c))
+        facts[f"lo_{c}"] = F.min(as_number(c))
+        facts[f"hi_{c}"] = F.max(as_number(c))
+    ends = df.agg(*[expr.alias(name) for name, expr in facts.items()])
+    numbers = df.select(*[as_number(c).alias(c) for c in columns]).join(F.broadcast(ends), F.lit(True))
+    metrics = {}
+    for c in columns:
+        n, lo, hi = F.col(f"n_{c}"), F.col(f"lo_{c}"), F.col(f"hi_{c}")
+        steps = F.try_divide((F.col(c) - lo) * (n - 1), hi - lo)
+        metrics[c] = {
             **range_flag_metrics(c),
-            "n": F.count(as_number(c)),
-            "d": F.count_distinct(as_number(c)),
-            "lo": F.min(as_number(c)),
-            "hi": F.max(as_number(c)),
+            "on_grid": F.bool_and(F.abs(steps - F.round(steps)) < 1e-6),
+            "n": F.count(c),
+            "constant": F.bool_and(lo == hi),
         }
-        for c in columns
-    }
-    first = summarize(df, metrics)
-    grid = first.agg(
-        F.map_from_entries(F.collect_list(F.struct("column_name", F.struct("n", "lo", "hi")))).alias("g")
-    )
-    on_grid = {}
-    for c in columns:
-        g = F.col("g")[c]
-        steps = F.try_divide((as_number(c) - g["lo"]) * (g["n"] - 1), g["hi"] - g["lo"])
-        on_grid[c] = {"on_grid": F.bool_and(F.abs(steps - F.round(steps)) < 1e-6)}
-    second = summarize(df.select(*columns).join(F.broadcast(grid), F.lit(True)), on_grid)
+    flags = summarize(numbers, metrics)
+    distinct = summarize(df, {c: {"d": F.count_distinct(as_number(c))} for c in columns})
     spaced = (
         F.when(F.col("n") < 2, False)
-        .when(F.col("lo") == F.col("hi"), True)
+        .when(F.col("constant"), True)
         .otherwise((F.col("n") == F.col("d")) & F.coalesce("on_grid", F.lit(False)))
     )
-    return first.join(F.broadcast(second), "column_name").select(
+    return flags.join(F.broadcast(distinct), "column_name").select(
         "column_name", "all_integers", "all_positive", "in_0_1", "in_0_100", spaced.alias("equally_spaced")
     )
 

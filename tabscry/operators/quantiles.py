@@ -1,7 +1,7 @@
 """Exact percentiles that never gather an unbounded group in one task.
 
-A plan under a known size, and every group under a row bound, goes to the
-built-in ``percentile``. Larger groups are narrowed first: a sketch brackets
+A plan under a known size, and every group under a row bound, is ranked from
+its value counts. Larger groups are narrowed first: a sketch brackets
 each wanted rank, the bracket is cut into equal-width slots whose counts are
 combined map-side, and only the slot holding the rank is looked at value by
 value. Slots below and above the bracket are counted too, so the result is
@@ -35,9 +35,30 @@ def _long(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFra
     )
 
 
-def _builtin(long: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    return long.groupBy(*keys).agg(F.percentile("value", wanted).alias("q"))
+def _ranked(long: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
+    """Percentiles of bounded groups from value counts in value order.
+
+    Equal values are combined map-side; the window sorts distinct values only
+    and can spill, where the built-in percentile holds a map per group.
+    """
+    in_value = Window.partitionBy(*keys).orderBy("value")
+    whole = Window.partitionBy(*keys)
+    ranked = (
+        long.groupBy(*keys, "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(*keys, "value", F.sum("n").over(in_value).alias("upto"), (F.sum("n").over(whole) - 1).alias("last"))
+    )
+    wanted = []
+    for i, p in enumerate(probs):
+        rank = F.col("last") * F.lit(float(p))
+        wanted.append(F.min(F.when(F.col("upto") > F.floor(rank), F.col("value"))).alias(f"a{i}"))
+        wanted.append(F.min(F.when(F.col("upto") > F.ceil(rank), F.col("value"))).alias(f"b{i}"))
+    ends = ranked.groupBy(*keys).agg(F.first("last").alias("last"), *wanted)
+    exact = []
+    for i, p in enumerate(probs):
+        rank = F.col("last") * F.lit(float(p))
+        exact.append(F.col(f"a{i}") + (rank - F.floor(rank)) * (F.col(f"b{i}") - F.col(f"a{i}")))
+    return ends.select(*keys, F.array(*exact).alias("q"))
 
 
 def _narrowed(long: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
@@ -117,11 +138,14 @@ def percentiles(
     if small is None:
         small = is_small(df.select(*keys, *columns))
     if small:
-        return _builtin(long, group, probs)
+        # Small by the size check, so spreading it over all cores costs little.
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        spread = df.select(*keys, *columns).repartition(cores)
+        return _ranked(_long(spread, columns, keys), group, probs)
     if not keys:
         return _narrowed(long, group, probs)
     # Groups above the bound number at most rows / hot_rows, so they can be sent out.
     hot = long.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows).select(*group)
-    cold_part = _builtin(long.join(F.broadcast(hot), group, "left_anti"), group, probs)
+    cold_part = _ranked(long.join(F.broadcast(hot), group, "left_anti"), group, probs)
     hot_part = _narrowed(long.join(F.broadcast(hot), group, "left_semi"), group, probs)
     return cold_part.unionByName(hot_part)

@@ -27,6 +27,7 @@ def build_session(app: str = "tabscry", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.ui.showConsoleProgress": "false",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():
@@ -37,10 +38,10 @@ def build_session(app: str = "tabscry", master: str | None = None, **conf: str)
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of the optimized plan, without running a job."""
     try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
-    except Exception:
+        plan = df._jdf.queryExecution().optimizedPlan()
+    except AttributeError:  # no JVM at hand, as with a remote session
         return None
+    return int(str(plan.stats().sizeInBytes()))
 
 
 def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
