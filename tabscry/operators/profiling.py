@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tabscry.functions.numeric import as_number, pearson, ratio, rounded
 from tabscry.functions.temporal import bucket
 from tabscry.operators.quantiles import percentiles
+from tabscry.session import spread
 
 # Thresholds of the statistics.
 POSITIVE_CORRELATION = 0.3
@@ -72,7 +73,7 @@ def table_profile(df: DataFrame) -> DataFrame:
     does not pile up in one task.
     """
     return (
-        df.groupBy(*df.columns)
+        spread(df).groupBy(*df.columns)
         .agg(F.count(F.lit(1)).alias("copies"))
         .agg(
             F.coalesce(F.sum("copies"), F.lit(0)).alias("row_count"),
@@ -97,6 +98,7 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, approx:
         }
         for c in (columns or df.columns)
     }
+    df = spread(df.select(*metrics))
     total, present, distinct = F.col("total_count"), F.col("non_null_count"), F.col("distinct_count")
     return summarize(df, metrics).select(
         "column_name",
@@ -413,7 +415,7 @@ def pattern_ratios(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     families = {f.name: type_family(f.dataType) for f in df.schema.fields}
     columns = list(columns or df.columns)
     names = ("datetime_ratio", "id_ratio", "geo_ratio", "numeric_ratio")
-    rows = summarize(df, {c: pattern_metrics(c, families[c]) for c in columns})
+    rows = summarize(spread(df.select(*columns)), {c: pattern_metrics(c, families[c]) for c in columns})
     return rows.select("column_name", *[rounded(F.col(n)).alias(n) for n in names])
 
 
@@ -439,6 +441,7 @@ def numeric_flags(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
         facts[f"n_{c}"] = F.count(as_number(c))
         facts[f"lo_{c}"] = F.min(as_number(c))
         facts[f"hi_{c}"] = F.max(as_number(c))
+    df = spread(df.select(*columns))
     ends = df.agg(*[expr.alias(name) for name, expr in facts.items()])
     numbers = df.select(*[as_number(c).alias(c) for c in columns]).join(F.broadcast(ends), F.lit(True))
     metrics = {}

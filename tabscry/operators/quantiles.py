@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscry.functions.numeric import as_number
-from tabscry.session import is_small
+from tabscry.session import is_small, spread
 
 HOT_GROUP_ROWS = 5_000_000
 SKETCH_ACCURACY = 10_000
@@ -138,10 +138,7 @@ def percentiles(
     if small is None:
         small = is_small(df.select(*keys, *columns))
     if small:
-        # Small by the size check, so spreading it over all cores costs little.
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        spread = df.select(*keys, *columns).repartition(cores)
-        return _ranked(_long(spread, columns, keys), group, probs)
+        return _ranked(_long(spread(df.select(*keys, *columns)), columns, keys), group, probs)
     if not keys:
         return _narrowed(long, group, probs)
     # Groups above the bound number at most rows / hot_rows, so they can be sent out.

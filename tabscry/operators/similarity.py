@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabscry.functions.numeric import rounded
+from tabscry.session import spread
 
 PIVOTS = 24
-CHUNK_ROWS = 2000
+BLOCK_ROWS = 2000
+# Keeps rounding of the angles from dropping a pair.
+ANGLE_SLACK = 1e-9
 
 c = F.col
 
@@ -30,11 +36,40 @@ def cosine_pairs(df: DataFrame, left: str, right: str, name: str = "similarity")
 
 
 def _unit(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """Distinct unit vectors with the keys that carry them counted once per vector."""
-    length = F.sqrt(dot(c(vector), c(vector)))
-    return df.select(
-        c(key).alias("_key"), length.alias("_len"), c(vector).alias("_raw")
-    ).filter(c("_len") > 0).select("_key", F.transform("_raw", lambda x: x.cast("double") / c("_len")).alias("_unit"))
+    """(key, unit vector, digest of the unit vector); zero and missing vectors drop out."""
+
+    @F.pandas_udf("unit array<double>, digest string")
+    def normal(values: pd.Series) -> pd.DataFrame:
+        units, digests = [], []
+        for v in values:
+            length = 0.0 if v is None else float(np.linalg.norm(np.asarray(v, dtype=float)))
+            unit = np.asarray(v, dtype=float) / length if length > 0 else None
+            units.append(unit)
+            digests.append(None if unit is None else hashlib.blake2b(unit.tobytes(), digest_size=16).hexdigest())
+        return pd.DataFrame({"unit": units, "digest": digests})
+
+    rows = spread(df.select(c(key).alias("key"), c(vector).alias("v"))).select("key", normal("v").alias("n"))
+    return rows.select("key", "n.unit", "n.digest").filter(c("digest").isNotNull())
+
+
+def _distinct(units: DataFrame) -> DataFrame:
+    """One row per distinct vector."""
+    return units.groupBy("digest").agg(F.any_value("unit").alias("unit"))
+
+
+def _matches(threshold: float):
+    """Compare one bounded block of left vectors with one of right vectors."""
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"l": [], "r": [], "similarity": []})
+        sims = np.stack(left["unit"].to_numpy()) @ np.stack(right["unit"].to_numpy()).T
+        i, j = np.nonzero(sims >= threshold)
+        return pd.DataFrame(
+            {"l": left["digest"].to_numpy()[i], "r": right["digest"].to_numpy()[j], "similarity": sims[i, j]}
+        )
+
+    return compare
 
 
 def semantic_join(
@@ -46,75 +81,84 @@ def semantic_join(
     threshold: float,
     how: str = "left",
     pivots: int = PIVOTS,
-    chunk_rows: int = CHUNK_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """All pairs with cosine similarity of at least ``threshold``; exact.
 
-    Right vectors are assigned to their nearest pivot. By the triangle
-    inequality of angles a left vector can only match in the cells whose pivot
-    is within the cell's radius plus the threshold angle, so it is sent to
-    those cells alone. Equal vectors are compared once. A cell with many
-    vectors is cut into chunks of about ``chunk_rows`` by key hash, each
-    joined on its own key. The pivot table has ``pivots`` rows.
-    Columns: left_key, right_key, similarity. ``how`` is "inner" or "left".
+    Equal vectors are compared once. Right vectors belong to the cell of
+    their nearest pivot. By the triangle inequality of angles a left vector
+    can only match in cells whose pivot is within the cell's radius plus the
+    threshold angle, and it is sent to those cells alone. Cells are cut into
+    blocks of about ``block_rows`` vectors on either side by digest, and each
+    pair of blocks is one matrix product, so no task holds a whole cell.
+    The driver sees the ``pivots`` pivot vectors and one row per cell.
+    Columns: left_<key>, right_<key>, similarity. ``how`` is "inner" or "left".
     """
-    theta = math.acos(max(-1.0, min(1.0, threshold)))
+    theta = math.acos(max(-1.0, min(1.0, threshold))) + ANGLE_SLACK
     lv, rv = _unit(left, left_key, vector), _unit(right, right_key, vector)
-    digest = F.xxhash64("_unit")
-    l_rep = lv.groupBy("_unit").agg(F.min("_key").alias("_l"))
-    r_rep = rv.groupBy("_unit").agg(F.min("_key").alias("_r"))
-    centre = (
-        r_rep.orderBy(digest, "_r").limit(pivots)
-        .agg(F.array_sort(F.collect_list(F.struct(c("_r").alias("id"), c("_unit").alias("p")))).alias("_pivots"))
-    )
-
-    def angle(sim: Column) -> Column:
-        return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sim)))
-
-    def distances(df: DataFrame) -> DataFrame:
-        each = F.transform("_pivots", lambda s: F.struct(angle(dot(c("_unit"), s.p)).alias("d"), s.id.alias("cell")))
-        return df.join(F.broadcast(centre), F.lit(True)).withColumn("_d", each).drop("_pivots")
-
-    placed = distances(r_rep).withColumn("_near", F.array_min("_d")).select(
-        "_r", "_unit", c("_near.cell").alias("cell"), c("_near.d").alias("r_dist")
-    )
-    # One row per pivot.
-    cells = placed.groupBy("cell").agg(
-        F.max("r_dist").alias("radius"), F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("chunks")
-    )
-    table = cells.agg(F.map_from_entries(F.collect_list(F.struct("cell", F.struct("radius", "chunks")))).alias("_cells"))
-    # The slack keeps rounding of the angles from dropping a pair.
-    reach = F.lit(theta + 1e-9)
+    lu, ru = _distinct(lv), _distinct(rv)
+    chosen = ru.orderBy("digest").limit(pivots).collect()
+    if not chosen:
+        return _with_unmatched(left, left_key, right_key, right.schema[right_key].dataType, None, how)
+    centres = np.array([row["unit"] for row in chosen])
+
+    @F.pandas_udf("cell int, angle double")
+    def nearest(units: pd.Series) -> pd.DataFrame:
+        angles = np.arccos(np.clip(np.stack(units.to_numpy()) @ centres.T, -1.0, 1.0))
+        return pd.DataFrame({"cell": angles.argmin(axis=1).astype("int32"), "angle": angles.min(axis=1)})
+
+    placed = ru.withColumn("near", nearest("unit"))
+    cells = placed.groupBy("near.cell").agg(F.max("near.angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
+    left_blocks = max(1, -(-lu.count() // block_rows))
+    radius, right_blocks = np.full(len(centres), -10.0), np.ones(len(centres), dtype=int)
+    for cell in cells:
+        radius[cell["cell"]] = cell["radius"]
+        right_blocks[cell["cell"]] = -(-cell["n"] // block_rows)
+
+    @F.pandas_udf("array<int>")
+    def reachable(units: pd.Series) -> pd.Series:
+        angles = np.arccos(np.clip(np.stack(units.to_numpy()) @ centres.T, -1.0, 1.0))
+        return pd.Series([np.nonzero(row <= radius + theta)[0].astype("int32") for row in angles])
+
+    blocks_of = F.array(*[F.lit(int(n)) for n in right_blocks])
+    part = F.xxhash64("digest")
     sent = (
-        distances(l_rep)
-        .join(F.broadcast(table), F.lit(True))
-        .select("_l", "_unit", "_cells", F.explode("_d").alias("n"))
-        .withColumn("at", F.col("_cells")[c("n.cell")])
-        .filter(c("n.d") <= c("at.radius") + reach)
-        .select("_l", c("_unit").alias("l_unit"), c("n.cell").alias("cell"), c("n.d").alias("l_dist"),
-                F.explode(F.sequence(F.lit(0), c("at.chunks") - 1)).alias("chunk"))
+        lu.withColumn("cell", F.explode(reachable("unit")))
+        .withColumn("lb", F.pmod(part, F.lit(left_blocks)).cast("int"))
+        .withColumn("rb", F.explode(F.sequence(F.lit(0), blocks_of[c("cell")] - 1)))
     )
     kept = (
-        placed.join(F.broadcast(cells.select("cell", "chunks")), "cell")
-        .select("_r", c("_unit").alias("r_unit"), "cell", "r_dist", F.pmod(F.xxhash64("_r"), c("chunks")).cast("int").alias("chunk"))
+        placed.withColumn("cell", c("near.cell"))
+        .withColumn("rb", F.pmod(part, blocks_of[c("cell")]).cast("int"))
+        .withColumn("lb", F.explode(F.sequence(F.lit(0), F.lit(left_blocks - 1))))
+        .drop("near")
     )
-    near = F.abs(c("l_dist") - c("r_dist")) <= reach
-    similarity = dot(c("l_unit"), c("r_unit"))
+    # Blocks are small in bytes but costly, so their partitions are not to be merged.
+    spark = left.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    keys = ["cell", "lb", "rb"]
     pairs = (
-        sent.join(kept, ["cell", "chunk"])
-        .filter(near)
-        .select("l_unit", "r_unit", similarity.alias("similarity"))
-        .filter(c("similarity") >= threshold)
+        sent.repartition(tasks, *keys)
+        .groupBy(*keys)
+        .cogroup(kept.repartition(tasks, *keys).groupBy(*keys))
+        .applyInPandas(_matches(threshold), "l string, r string, similarity double")
     )
     # Back from distinct vectors to every key that carries them.
     matched = (
-        pairs.join(lv.select(c("_key").alias(f"left_{left_key}"), c("_unit").alias("l_unit")), "l_unit")
-        .join(rv.select(c("_key").alias(f"right_{right_key}"), c("_unit").alias("r_unit")), "r_unit")
+        pairs.join(lv.select(c("key").alias(f"left_{left_key}"), c("digest").alias("l")), "l")
+        .join(rv.select(c("key").alias(f"right_{right_key}"), c("digest").alias("r")), "r")
         .select(f"left_{left_key}", f"right_{right_key}", rounded(c("similarity")).alias("similarity"))
     )
-    if how == "inner":
-        return matched
-    return left.select(c(left_key).alias(f"left_{left_key}")).join(matched, f"left_{left_key}", "left")
+    return _with_unmatched(left, left_key, right_key, None, matched, how)
+
+
+def _with_unmatched(left: DataFrame, left_key: str, right_key: str, right_type, matched: DataFrame | None, how: str) -> DataFrame:
+    """Keep left keys without a match when the join is a left join."""
+    keys = left.select(c(left_key).alias(f"left_{left_key}"))
+    if matched is None:
+        nothing = keys.withColumn(f"right_{right_key}", F.lit(None).cast(right_type)).withColumn("similarity", F.lit(None).cast("double"))
+        return nothing if how == "left" else nothing.filter(F.lit(False))
+    return keys.join(matched, f"left_{left_key}", "left") if how == "left" else matched
 
 
 def semantic_join_lsh(
@@ -129,18 +173,19 @@ def semantic_join_lsh(
     from pyspark.ml.functions import array_to_vector
 
     def prepared(df: DataFrame, key: str) -> DataFrame:
-        return _unit(df, key, vector).groupBy("_unit").agg(F.min("_key").alias("_id")).withColumn("features", array_to_vector("_unit"))
+        return _distinct(_unit(df, key, vector)).withColumn("features", array_to_vector("unit"))
 
     lv, rv = _unit(left, left_key, vector), _unit(right, right_key, vector)
     a, b = prepared(left, left_key), prepared(right, right_key)
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", numHashTables=tables, bucketLength=width, seed=42).fit(b)
     distance = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
     pairs = model.approxSimilarityJoin(a, b, distance, "distance").select(
-        c("datasetA._unit").alias("l_unit"), c("datasetB._unit").alias("r_unit")
+        c("datasetA.digest").alias("l"), c("datasetB.digest").alias("r"),
+        dot(c("datasetA.unit"), c("datasetB.unit")).alias("similarity"),
     )
-    checked = pairs.withColumn("similarity", dot(c("l_unit"), c("r_unit"))).filter(c("similarity") >= threshold)
     return (
-        checked.join(lv.select(c("_key").alias(f"left_{left_key}"), c("_unit").alias("l_unit")), "l_unit")
-        .join(rv.select(c("_key").alias(f"right_{right_key}"), c("_unit").alias("r_unit")), "r_unit")
+        pairs.filter(c("similarity") >= threshold)
+        .join(lv.select(c("key").alias(f"left_{left_key}"), c("digest").alias("l")), "l")
+        .join(rv.select(c("key").alias(f"right_{right_key}"), c("digest").alias("r")), "r")
         .select(f"left_{left_key}", f"right_{right_key}", rounded(c("similarity")).alias("similarity"))
     )

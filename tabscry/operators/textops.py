@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tabscry.functions import text as tx
 from tabscry.functions.numeric import ratio, rounded
 from tabscry.operators.profiling import summarize
-from tabscry.session import is_small
+from tabscry.session import is_small, spread
 
 TOP_GROUPS = 10
 SALTS = 16
@@ -54,7 +54,7 @@ def classify_keywords(df: DataFrame, text: str, labels: dict[str, Sequence[str]]
 
     Labels are ordered by score, then name; a text without any hit gets no label.
     """
-    counted = df.withColumn("_words", tx.words(c(text)))
+    counted = spread(df).withColumn("_words", tx.words(c(text)))
     found = F.array(*[F.struct((-tx.hits(c("_words"), lex)).alias("minus"), F.lit(name).alias("label")) for name, lex in labels.items()])
     ranked = counted.withColumn("_ranked", F.array_sort(found)).drop("_words")
     total = -F.aggregate("_ranked", F.lit(0).cast("long"), lambda acc, s: acc + s.minus)
@@ -96,33 +96,36 @@ def relevance(text: Column, terms: Sequence[str]) -> Column:
 
 def semantic_filter(df: DataFrame, text: str, terms: Sequence[str], at_least: float) -> DataFrame:
     """Rows whose text covers at least the given share of the terms."""
-    return df.withColumn("relevance", rounded(relevance(c(text), terms))).filter(c("relevance") >= at_least)
+    return spread(df).withColumn("relevance", rounded(relevance(c(text), terms))).filter(c("relevance") >= at_least)
 
 
 def group_terms(df: DataFrame, group: str, text: str, k: int = 5, top_groups: int = TOP_GROUPS) -> DataFrame:
     """Rows and the k most telling terms of the largest groups.
 
-    The texts are read once: every word adds to the term count and the first
-    of its kind in a text adds to the text count, both combined map-side.
+    The texts are read once: every word adds to the term count, and the first
+    of its kind in a text, marked by a leading blank, to the text count. Both
+    are combined map-side.
     """
     word_list = tx.words(c(text))
-    marks = F.concat(
-        F.transform(word_list, lambda w: F.struct(w.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
-        F.transform(F.array_distinct(word_list), lambda w: F.struct(w.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
+    marked = F.concat(word_list, F.transform(F.array_distinct(word_list), lambda w: F.concat(F.lit(" "), w)))
+    counts = (
+        spread(df.select(group, text))
+        .filter(c(group).isNotNull())
+        .select(group, F.explode(marked).alias("mark"))
+        .groupBy(group, "mark")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    per_group = (
-        df.filter(c(group).isNotNull())
-        .select(group, F.explode(marks).alias("m"))
-        .groupBy(group, "m.term")
-        .agg(F.sum("m.tf").alias("tf"), F.sum("m.df").alias("df"))
+    first = c("mark").startswith(" ")
+    per_group = counts.groupBy(group, F.ltrim("mark").alias("term")).agg(
+        F.sum(F.when(first, 0).otherwise(c("n"))).alias("tf"), F.sum(F.when(first, c("n")).otherwise(0)).alias("df")
     )
     sizes = df.filter(c(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("group_rows"))
     corpus = sizes.agg(F.sum("group_rows").alias("corpus_rows"))
     largest = sizes.orderBy(F.desc("group_rows"), F.asc(group)).limit(top_groups)
-    spread = per_group.groupBy("term").agg(F.sum("df").alias("text_count"))
+    in_texts = per_group.groupBy("term").agg(F.sum("df").alias("text_count"))
     scored = (
         per_group.join(F.broadcast(largest), group)
-        .join(spread, "term")
+        .join(in_texts, "term")
         .join(F.broadcast(corpus), F.lit(True))
         .withColumn("score", rounded(c("tf") * F.log(c("corpus_rows") / c("text_count")), 4))
     )
@@ -146,7 +149,7 @@ def sentiment_label(score: Column, margin: float = 0.1) -> Column:
 
 
 def sentiment(df: DataFrame, text: str, positive: Sequence[str], negative: Sequence[str]) -> DataFrame:
-    scored = df.withColumn("sentiment_score", sentiment_score(c(text), positive, negative))
+    scored = spread(df).withColumn("sentiment_score", sentiment_score(c(text), positive, negative))
     return scored.withColumn("primary_sentiment", sentiment_label(c("sentiment_score")))
 
 
@@ -206,7 +209,7 @@ def summarize_groups(df: DataFrame, group: str, key: str, text: str, n: int = 3)
     """
     sentence = F.explode(tx.sentences(c(text)))
     distinct = (
-        df.filter(c(group).isNotNull())
+        spread(df.select(group, text)).filter(c(group).isNotNull())
         .select(group, sentence.alias("sentence"))
         .groupBy(group, "sentence")
         .agg(F.count(F.lit(1)).alias("copies"))
@@ -233,7 +236,7 @@ def classify_and_summarize(df: DataFrame, key: str, text: str, labels: dict[str,
 
 def text_jaccard(df: DataFrame, left: str, right: str, k: int = 2, name: str = "similarity") -> DataFrame:
     """Jaccard similarity of the word shingles of two text columns."""
-    listed = df.withColumn("_a", tx.words(c(left))).withColumn("_b", tx.words(c(right)))
+    listed = spread(df).withColumn("_a", tx.words(c(left))).withColumn("_b", tx.words(c(right)))
     both = listed.withColumn("_a", tx.shingles(c("_a"), k)).withColumn("_b", tx.shingles(c("_b"), k))
     shared = F.size(F.array_intersect("_a", "_b"))
     either = F.size("_a") + F.size("_b") - shared
@@ -251,7 +254,7 @@ def embed_text(df: DataFrame, text: str, dims: int = 256, name: str = "embedding
 
 
 def redact_pii(df: DataFrame, text: str, kinds: Sequence[str] | None = None, name: str = "redacted") -> DataFrame:
-    return df.withColumn(name, tx.redact(c(text), kinds))
+    return spread(df).withColumn(name, tx.redact(c(text), kinds))
 
 
 def extract_entities(df: DataFrame, key: str, text: str, patterns: dict[str, str] | None = None) -> DataFrame:
@@ -263,7 +266,7 @@ def extract_entities(df: DataFrame, key: str, text: str, patterns: dict[str, str
             for kind, p in patterns.items()
         ]
     )
-    rows = df.select(key, F.explode(found).alias("e"))
+    rows = spread(df.select(key, text)).select(key, F.explode(found).alias("e"))
     return rows.select(key, "e.entity", F.posexplode("e.values").alias("match_no", "value"))
 
 
@@ -275,7 +278,7 @@ def extract_structured(df: DataFrame, column: str, schema: T.StructType | str, n
 def extract_by_pattern(df: DataFrame, column: str, fields: dict[str, tuple[str, int]], name: str = "extracted") -> DataFrame:
     """One struct field per (pattern, group); null where the pattern does not occur."""
     parts = [F.nullif(F.regexp_extract(c(column), p, g), F.lit("")).alias(f) for f, (p, g) in fields.items()]
-    return df.withColumn(name, F.struct(*parts))
+    return spread(df).withColumn(name, F.struct(*parts))
 
 
 def parse_pages(df: DataFrame, html: str) -> DataFrame:
@@ -283,7 +286,7 @@ def parse_pages(df: DataFrame, html: str) -> DataFrame:
     title = F.nullif(F.trim(F.regexp_extract(c(html), r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
     links = F.regexp_extract_all(c(html), F.lit(r"(?i)<a\s+href=\"([^\"]*)\""), F.lit(1))
     blocks = F.regexp_count(c(html), F.lit(r"(?i)<(p|h[1-6]|li|article|div|table|pre|blockquote)[\s>]"))
-    return df.withColumn("title", title).withColumn("page_text", tx.page_text(c(html))).withColumn("links", links).withColumn("block_count", blocks)
+    return spread(df).withColumn("title", title).withColumn("page_text", tx.page_text(c(html))).withColumn("links", links).withColumn("block_count", blocks)
 
 
 def map_with_model(

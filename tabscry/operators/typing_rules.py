@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from tabscry.functions import names
 from tabscry.functions.numeric import as_number, ratio, rounded
 from tabscry.operators.profiling import (
-    pattern_metrics,
+    DATETIME_PATTERN,
+    GEO_PATTERN,
+    ID_PATTERN,
+    cleaned_number,
     range_flag_metrics,
     summarize,
     type_family,
 )
+from tabscry.session import spread
 
 # Category names and the eight semantic types they fold to.
 SEMANTIC_OF = {
@@ -67,42 +71,83 @@ STRUCTURE_SAMPLE_ROWS = {"time_series": 50, "panel": 120, "iid": 50}
 c = F.col
 
 
-def evidence(df: DataFrame, approx: bool = False) -> DataFrame:
-    """One row of full-table evidence per column: counts, patterns, ranges, lengths."""
-    families = {f.name: type_family(f.dataType) for f in df.schema.fields}
-    zero, unset = F.max(F.lit(0.0)), F.bool_and(F.lit(None).cast("boolean"))
+RATIOS = ("datetime_ratio", "id_ratio", "geo_ratio", "numeric_ratio", "image_ratio", "avg_length")
+
+
+def _plain_evidence(df: DataFrame, families: dict[str, str], approx: bool) -> DataFrame:
+    """Evidence of the columns that are not text: counts, ranges, distinct values."""
     metrics: dict[str, dict[str, Column]] = {}
-    for i, (name, family) in enumerate(families.items()):
-        text = F.col(name).cast("string")
+    for name, family in families.items():
+        number = family == "numeric"
+        flags = range_flag_metrics(name) if number else {}
         m = {
-            "ordinal": F.max(F.lit(i)),
-            "family": F.max(F.lit(family)),
             "total_count": F.count(F.lit(1)),
-            "null_count": F.count_if(F.col(name).isNull()),
-            "datetime_ratio": zero,
-            "id_ratio": zero,
-            "geo_ratio": zero,
-            "numeric_ratio": zero,
-            "image_ratio": zero,
-            "avg_length": zero,
-            "all_integers": unset,
-            "in_0_1": unset,
+            "null_count": F.count_if(c(name).isNull()),
+            **{r: F.max(F.lit(0.0)) for r in RATIOS},
+            "all_integers": flags.get("all_integers", F.bool_and(F.lit(None).cast("boolean"))),
+            "in_0_1": flags.get("in_0_1", F.bool_and(F.lit(None).cast("boolean"))),
         }
-        if family == "numeric":
-            flags = range_flag_metrics(name)
-            m["numeric_ratio"] = F.avg(F.when(F.col(name).isNotNull(), as_number(name).isNotNull().cast("double")))
-            m["all_integers"], m["in_0_1"] = flags["all_integers"], flags["in_0_1"]
-        elif family in ("text", "time"):
-            m.update(pattern_metrics(name, family))
-        if family == "text":
-            m["image_ratio"] = F.avg(text.rlike(names.IMAGE_FILE_PATTERN).cast("double"))
-            m["avg_length"] = F.avg(F.length(name))
+        if number:
+            m["numeric_ratio"] = F.avg(F.when(c(name).isNotNull(), as_number(name).isNotNull().cast("double")))
+        if family == "time":  # a time writes itself as a date
+            m["datetime_ratio"] = F.max(F.when(c(name).isNotNull(), 1.0).otherwise(0.0))
         metrics[name] = m
     distinct = {
-        n: {"distinct_count": F.approx_count_distinct(n) if approx else F.count_distinct(F.col(n))} for n in families
+        n: {"distinct_count": F.approx_count_distinct(n) if approx else F.count_distinct(c(n))} for n in families
     }
-    joined = summarize(df, metrics).join(F.broadcast(summarize(df, distinct)), "column_name")
-    return joined.withColumn("null_rate", F.coalesce(ratio(c("null_count"), c("total_count")), F.lit(0.0))).withColumn(
+    return summarize(df, metrics).join(F.broadcast(summarize(df, distinct)), "column_name")
+
+
+def _text_evidence(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Evidence of text columns from their distinct values weighted by count.
+
+    Patterns are matched once per distinct value, not once per row.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("column_name"), c(n).alias("value")) for n in columns]))
+    values = (
+        df.select(cells.alias("cell"))
+        .groupBy("cell.column_name", "cell.value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    weight = F.when(c("value").isNotNull(), c("n"))
+
+    def share(flag: Column) -> Column:
+        return F.try_divide(F.sum(F.when(flag, c("n")).otherwise(0)).cast("double"), F.sum(weight).cast("double"))
+
+    text = c("value")
+    return values.groupBy("column_name").agg(
+        F.sum("n").alias("total_count"),
+        F.coalesce(F.sum(F.when(text.isNull(), c("n"))), F.lit(0)).alias("null_count"),
+        share(text.rlike(DATETIME_PATTERN)).alias("datetime_ratio"),
+        share(text.rlike(ID_PATTERN)).alias("id_ratio"),
+        share(text.rlike(GEO_PATTERN)).alias("geo_ratio"),
+        share(cleaned_number(text).isNotNull()).alias("numeric_ratio"),
+        share(text.rlike(names.IMAGE_FILE_PATTERN)).alias("image_ratio"),
+        F.try_divide(F.sum(F.length(text) * c("n")).cast("double"), F.sum(weight).cast("double")).alias("avg_length"),
+        F.lit(None).cast("boolean").alias("all_integers"),
+        F.lit(None).cast("boolean").alias("in_0_1"),
+        F.count(text).alias("distinct_count"),
+    )
+
+
+def evidence(df: DataFrame, approx: bool = False) -> DataFrame:
+    """One row of full-table evidence per column: counts, patterns, ranges, lengths."""
+    families = {f.name: type_family(f.dataType) for f in df.schema.fields}
+    schema_rows = [
+        F.struct(F.lit(n).alias("column_name"), F.lit(i).alias("ordinal"), F.lit(f).alias("family"))
+        for i, (n, f) in enumerate(families.items())
+    ]
+    listed = df.sparkSession.range(1).select(F.inline(F.array(*schema_rows)))
+    texts = [n for n, f in families.items() if f == "text"]
+    others = {n: f for n, f in families.items() if f != "text"}
+    parts = []
+    if others:
+        parts.append(_plain_evidence(spread(df.select(*others)), others, approx))
+    if texts:
+        parts.append(_text_evidence(spread(df.select(*texts)), texts))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    rows = rows.join(F.broadcast(listed), "column_name").fillna(0.0, list(RATIOS))
+    return rows.withColumn("null_rate", F.coalesce(ratio(c("null_count"), c("total_count")), F.lit(0.0))).withColumn(
         "cardinality", F.coalesce(ratio(c("distinct_count"), c("total_count")), F.lit(0.0))
     )
 

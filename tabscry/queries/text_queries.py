@@ -8,6 +8,7 @@ from tabscry.functions import text as tx
 from tabscry.operators import similarity as sim
 from tabscry.operators import textops as to
 from tabscry.queries.registry import query, rnd, table, union
+from tabscry.session import spread
 
 c = F.col
 
@@ -190,7 +191,7 @@ def cosine_pairs(spark, d):
         SELECT doc_id, coalesce({rnd('shared / nullif(every, 0)')}, 0.0) AS similarity FROM j""",
 )
 def text_jaccard(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     following = docs.select((c("doc_id") - 1).alias("doc_id"), c("text").alias("other"))
     return to.text_jaccard(docs.join(following, "doc_id"), "text", "other").select("doc_id", "similarity")
 
