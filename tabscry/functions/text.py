@@ -34,8 +34,8 @@ def sentences(text: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    """A quarter of the characters, at least one."""
-    return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("long")
+    """A quarter of the characters, at least one; NULL for a missing text."""
+    return F.when(text.isNotNull(), F.greatest(F.lit(1), F.floor(F.length(text) / 4))).cast("long")
 
 
 def hits(word_list: Column, lexicon: Sequence[str]) -> Column:
