@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,16 +26,20 @@ def windowed(
     days: int | None = None,
     n: int | None = None,
     order_by: Sequence[str] = (),
+    as_of: datetime | None = None,
 ) -> DataFrame:
-    """Rows of the last ``days`` before the newest time, then at most ``n`` of them."""
+    """Rows of the last ``days`` before ``as_of``, then at most ``n`` of them.
+
+    ``as_of`` defaults to the newest time, one value read first, so that the
+    window is a constant the scan can prune files and row groups by.
+    """
     out = df
     if time and days:
-        newest = df.agg(F.max(time).alias("_as_of"))
-        out = (
-            df.join(F.broadcast(newest), F.lit(True))
-            .filter(F.col(time) >= F.col("_as_of") - F.make_dt_interval(F.lit(days)))
-            .drop("_as_of")
-        )
+        as_of = as_of or df.agg(F.max(time)).first()[0]
+        if as_of is None:
+            return df.limit(0)
+        since = F.lit(as_of - timedelta(days=days)).cast(df.schema[time].dataType)
+        out = df.filter(F.col(time) >= since)
     if n is not None:
         out = out.orderBy(*order_by).limit(n)
     return out
@@ -142,20 +147,23 @@ def smart_sample(
 
 
 def first_values(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], n: int = 10) -> DataFrame:
-    """The first n non-null values of each column, as text, in key order."""
-    key = F.struct(*order_by)
-    cells = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])
-    )
-    ranked = Window.partitionBy("column_name").orderBy("key")
-    return (
-        df.select(key.alias("key"), cells.alias("cell"))
-        .select("key", "cell.column_name", "cell.value")
-        .filter(F.col("value").isNotNull())
-        .withColumn("value_no", F.row_number().over(ranked))
-        .filter(F.col("value_no") <= n)
-        .select("column_name", "value_no", "value")
-    )
+    """The first n non-null values of each column, as text, in key order.
+
+    A top-k per column reads the key and that column only.
+    """
+    numbered = Window.orderBy(*[f"_key{i}" for i in range(len(order_by))])  # over n rows
+    keys = [F.col(k).alias(f"_key{i}") for i, k in enumerate(order_by)]
+    parts = []
+    for name in columns:
+        cells = df.filter(F.col(name).isNotNull()).select(*keys, F.col(name).cast("string").alias("value"))
+        head = cells.orderBy(*[f"_key{i}" for i in range(len(order_by))]).limit(n)
+        parts.append(
+            head.select(F.lit(name).alias("column_name"), F.row_number().over(numbered).alias("value_no"), "value")
+        )
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def column_examples(df: DataFrame, order_by: Sequence[str]) -> DataFrame:

@@ -80,37 +80,29 @@ def time_series_adaptive(
 ) -> DataFrame:
     """Time series at the first grain that gives more than one point.
 
-    The wanted grain is tried first, then hour, then the raw times. Each
-    finer grain is aggregated from rows once; which one is kept is decided by
-    the point counts. Series with too few points are dropped.
+    The wanted grain is tried first, then hour, then the raw times. A grain
+    gives more than one point exactly when the first and last time fall in
+    different buckets, so one small aggregate picks the grain and the rows are
+    bucketed once. Series with too few points are dropped.
     """
     grains = [grain] + [g for g in ("hour", "raw") if g != grain and grain != "raw"]
     keep = c(time).isNotNull()
     if value is not None:
         keep = keep & as_number(value).isNotNull()
-    levels = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(i).alias("level"), F.lit(g).alias("grain"), bucket(g, c(time)).cast("timestamp").alias("bucket"))
-                for i, g in enumerate(grains)
-            ]
-        )
-    )
-    points = (
-        df.filter(keep)
-        .select(*series, *([value] if value else []), levels.alias("l"))
-        .groupBy(*series, "l.level", "l.grain", "l.bucket")
-        .agg(_point(value, "avg").alias("y"))
-    )
-    sizes = points.groupBy(*series, "level").agg(F.count(F.lit(1)).alias("points"))
-    wanted = F.coalesce(F.min(F.when(c("points") > 1, c("level"))), F.min("level"))
-    if series:
-        chosen = sizes.groupBy(*series).agg(wanted.alias("level"))
-        picked = sizes.join(chosen, [*series, "level"])
-    else:
-        picked = sizes.join(F.broadcast(sizes.agg(wanted.alias("level"))), "level")
-    picked = picked.filter(c("points") >= min_points).select(*series, "level")
-    return points.join(picked, [*series, "level"]).select(*series, "grain", "bucket", "y")
+    rows = df.filter(keep).select(*series, time, *([value] if value else []))
+    ends = rows.groupBy(*series).agg(F.min(time).alias("_first"), F.max(time).alias("_last"))
+    chosen = F.lit(grain)
+    for g in reversed(grains):
+        chosen = F.when(bucket(g, c("_first")) != bucket(g, c("_last")), g).otherwise(chosen)
+    picked = ends.select(*series, chosen.alias("grain"))
+    joined = rows.join(picked, list(series)) if series else rows.join(F.broadcast(picked), F.lit(True))
+    start = c(time).cast("timestamp")
+    for g in grains:
+        if g != "raw":
+            start = F.when(c("grain") == g, bucket(g, c(time)).cast("timestamp")).otherwise(start)
+    points = joined.groupBy(*series, "grain", start.alias("bucket")).agg(_point(value, "avg").alias("y"))
+    enough = points.groupBy(*series, "grain").agg(F.count(F.lit(1)).alias("_points")).filter(c("_points") >= min_points)
+    return points.join(enough.select(*series, "grain"), [*series, "grain"], "left_semi").select(*series, "grain", "bucket", "y")
 
 
 def time_series_multi(df: DataFrame, times: Sequence[str], value: str, grain: str = "month") -> DataFrame:

@@ -11,8 +11,8 @@ from tabscry.queries.registry import BLANKED, events_blanked, query, rnd, stamp,
 c = F.col
 
 
-def y4(df):
-    return s.stamped(df).withColumn("y", rounded(c("y"), 4))
+def y8(df):
+    return s.stamped(df).withColumn("y", rounded(c("y"), 8))
 
 
 HIST = """WITH m AS (SELECT min({c}) AS lo, max({c}) AS hi, greatest(20, least(60, CAST(floor(sqrt(count({c}))) AS BIGINT))) AS k FROM {t})
@@ -39,7 +39,7 @@ def histogram_twelve_bins(spark, d):
     "time_series",
     union(
         [
-            f"""SELECT '{g}' AS grain, {stamp(f"CAST(date_trunc('{g}', ts) AS TIMESTAMP)")} AS bucket, {rnd('avg(value)', 4)} AS y, count(*) AS n
+            f"""SELECT '{g}' AS grain, {stamp(f"CAST(date_trunc('{g}', ts) AS TIMESTAMP)")} AS bucket, {rnd('avg(value)', 8)} AS y, count(*) AS n
                 FROM events GROUP BY ALL"""
             for g in ("hour", "day", "week", "month")
         ]
@@ -48,7 +48,7 @@ def histogram_twelve_bins(spark, d):
 def time_series(spark, d):
     events, out = table(spark, d, "events"), None
     for g in ("hour", "day", "week", "month"):
-        part = y4(s.time_series(events, "ts", "value", g)).withColumn("grain", F.lit(g))
+        part = y8(s.time_series(events, "ts", "value", g)).withColumn("grain", F.lit(g))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -58,7 +58,7 @@ def time_series(spark, d):
     f"SELECT {stamp('CAST(date_trunc(' + chr(39) + 'day' + chr(39) + ', ts) AS TIMESTAMP)')} AS bucket, CAST(count(*) AS DOUBLE) AS y, count(*) AS n FROM events GROUP BY 1",
 )
 def time_series_count(spark, d):
-    return y4(s.time_series(table(spark, d, "events"), "ts"))
+    return y8(s.time_series(table(spark, d, "events"), "ts"))
 
 
 def grain_points(g: str, level: int) -> str:
@@ -71,24 +71,24 @@ def grain_points(g: str, level: int) -> str:
     f"""WITH p AS ({union([grain_points('month', 0), grain_points('hour', 1), grain_points('raw', 2)])}),
         z AS (SELECT event_type, level, count(*) AS points FROM p GROUP BY ALL),
         w AS (SELECT event_type, coalesce(min(level) FILTER (points > 1), min(level)) AS level FROM z GROUP BY 1)
-        SELECT event_type, grain, {stamp('bucket')} AS bucket, {rnd('y', 4)} AS y FROM p JOIN w USING (event_type, level) JOIN z USING (event_type, level)
+        SELECT event_type, grain, {stamp('bucket')} AS bucket, {rnd('y', 8)} AS y FROM p JOIN w USING (event_type, level) JOIN z USING (event_type, level)
         WHERE points >= 3""",
 )
 def time_series_adaptive(spark, d):
-    return y4(s.time_series_adaptive(table(spark, d, "events"), "ts", "value", "month", series=["event_type"]))
+    return y8(s.time_series_adaptive(table(spark, d, "events"), "ts", "value", "month", series=["event_type"]))
 
 
 @query(
     "time_series_multi",
     f"""WITH j AS (SELECT o_orderdate, l_shipdate, l_quantity AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-        SELECT 'o_orderdate' AS time_column, {stamp("CAST(date_trunc('month', o_orderdate) AS TIMESTAMP)")} AS bucket, {rnd('avg(v)', 4)} AS y, count(*) AS n FROM j GROUP BY ALL
+        SELECT 'o_orderdate' AS time_column, {stamp("CAST(date_trunc('month', o_orderdate) AS TIMESTAMP)")} AS bucket, {rnd('avg(v)', 8)} AS y, count(*) AS n FROM j GROUP BY ALL
         UNION ALL
-        SELECT 'l_shipdate', {stamp("CAST(date_trunc('month', l_shipdate) AS TIMESTAMP)")}, {rnd('avg(v)', 4)}, count(*) FROM j GROUP BY ALL""",
+        SELECT 'l_shipdate', {stamp("CAST(date_trunc('month', l_shipdate) AS TIMESTAMP)")}, {rnd('avg(v)', 8)}, count(*) FROM j GROUP BY ALL""",
 )
 def time_series_multi(spark, d):
     line = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate", "l_quantity")
     orders = table(spark, d, "orders").select(c("o_orderkey").alias("l_orderkey"), "o_orderdate")
-    return y4(s.time_series_multi(line.join(orders, "l_orderkey"), ["o_orderdate", "l_shipdate"], "l_quantity"))
+    return y8(s.time_series_multi(line.join(orders, "l_orderkey"), ["o_orderdate", "l_shipdate"], "l_quantity"))
 
 
 @query(
@@ -131,7 +131,7 @@ def share_series(spark, d):
         FROM blanked WHERE event_type IS NOT NULL GROUP BY 1""",
 )
 def presence_series(spark, d):
-    return y4(s.presence_series(events_blanked(spark, d), "event_type", "ts"))
+    return y8(s.presence_series(events_blanked(spark, d), "event_type", "ts"))
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # Below this plan size a value-to-count buffer of one group fits in any executor.
 SMALL_INPUT_BYTES = 64 * 1024 * 1024
+SPREAD_BYTES = 128 * 1024
 # A side with at most this many bytes may be sent to every executor.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
@@ -64,14 +65,16 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a small input over the cores.
+    """Spread a small input over the cores, a piece of at least SPREAD_BYTES to each.
 
     A small file is often one row group, read by one task. Larger inputs have
     splits enough and are left as they are.
     """
-    if not is_small(df):
+    size = estimated_bytes(df)
+    if size is None or size > SMALL_INPUT_BYTES:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    pieces = min(df.sparkSession.sparkContext.defaultParallelism, size // SPREAD_BYTES)
+    return df.repartition(pieces) if pieces > 1 else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

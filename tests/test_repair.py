@@ -131,3 +131,17 @@ def test_histogram_counts_every_value(spark, blanked):
 
     total = histogram(blanked, "value").agg(F.sum("n")).first()[0]
     assert total == blanked.filter("value IS NOT NULL").count()
+
+
+def test_column_workflow(spark, sf_dir):
+    from tabscry.plans.column_workflow import analyze_column, plan_column, semantic_type_of
+
+    events = events_blanked(spark, sf_dir)
+    assert semantic_type_of(events, "value") == "numeric"
+    found = analyze_column(events, "value", "numeric", time="ts", group_by=["user_id"], numerics=["user_id", "value"])
+    assert set(found) == {"nulls", "conflicts", "distribution", "correlations", "periodicity", "time_series", "histogram", "facts"}
+    assert all(df.count() > 0 for df in found.values())
+    kinds = {"event_type": "categorical", "ts": "temporal", "props": "text", "event_id": "id"}
+    for column, kind in kinds.items():
+        assert all(df.count() > 0 for df in analyze_column(events, column, kind, numerics=["value"]).values())
+    assert plan_column(events, REQUEST).first()["step"] == "null_repair"
