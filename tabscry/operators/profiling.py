@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabscry.functions.numeric import as_number, pearson, ratio, rounded
+from tabscry.functions.numeric import as_number, numbers, pearson, ratio, rounded
 from tabscry.functions.temporal import bucket
 from tabscry.operators.quantiles import percentiles
 from tabscry.session import spread
@@ -73,7 +73,7 @@ def table_profile(df: DataFrame) -> DataFrame:
     does not pile up in one task.
     """
     return (
-        spread(df).groupBy(*df.columns)
+        df.groupBy(*df.columns)
         .agg(F.count(F.lit(1)).alias("copies"))
         .agg(
             F.coalesce(F.sum("copies"), F.lit(0)).alias("row_count"),
@@ -124,14 +124,14 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     columns = list(columns or numeric_columns(df))
     metrics = {
         c: {
-            "min_value": F.min(as_number(c)),
-            "max_value": F.max(as_number(c)),
-            "mean_value": F.avg(as_number(c)),
-            "stddev_value": F.stddev_samp(as_number(c)),
+            "min_value": F.min(c),
+            "max_value": F.max(c),
+            "mean_value": F.avg(c),
+            "stddev_value": F.stddev_samp(c),
         }
         for c in columns
     }
-    return _with_percentiles(df, columns, metrics, [0.5]).select(
+    return _with_percentiles(numbers(df, columns), columns, metrics, [0.5]).select(
         "column_name",
         rounded(F.col("min_value"), 4).alias("min_value"),
         rounded(F.col("max_value"), 4).alias("max_value"),
@@ -184,16 +184,16 @@ def distribution(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     metrics = {
         c: {
             "total_count": F.count(F.lit(1)),
-            "null_count": F.count_if(as_number(c).isNull()),
-            "min_value": F.min(as_number(c)),
-            "max_value": F.max(as_number(c)),
-            "mean_value": F.avg(as_number(c)),
-            "stddev_value": F.stddev_samp(as_number(c)),
+            "null_count": F.count_if(F.col(c).isNull()),
+            "min_value": F.min(c),
+            "max_value": F.max(c),
+            "mean_value": F.avg(c),
+            "stddev_value": F.stddev_samp(c),
         }
         for c in columns
     }
     q = F.col("q")
-    return _with_percentiles(df, columns, metrics, [0.1, 0.5, 0.9]).select(
+    return _with_percentiles(numbers(df, columns), columns, metrics, [0.1, 0.5, 0.9]).select(
         "column_name",
         "total_count",
         "null_count",
@@ -227,9 +227,9 @@ def correlation_group(value: Column) -> Column:
 def correlations(df: DataFrame, target: str, others: Sequence[str] | None = None) -> DataFrame:
     """Correlation of one column with many, all pairs in one aggregation."""
     others = list(others or [c for c in numeric_columns(df) if c != target])
-    x = as_number(target)
-    base = df.filter(x.isNotNull())
-    metrics = {c: {"correlation": pearson(x, as_number(c)), "sample_count": F.count(F.lit(1))} for c in others}
+    x = F.col(target)
+    base = numbers(df, [target, *others]).filter(x.isNotNull())
+    metrics = {c: {"correlation": pearson(x, F.col(c)), "sample_count": F.count(F.lit(1))} for c in others}
     return (
         summarize(base, metrics)
         .select("column_name", rounded(F.col("correlation")).alias("correlation"), "sample_count")
@@ -419,8 +419,7 @@ def pattern_ratios(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     return rows.select("column_name", *[rounded(F.col(n)).alias(n) for n in names])
 
 
-def range_flag_metrics(column: str) -> dict[str, Column]:
-    x = as_number(column)
+def range_flag_metrics(x: Column) -> dict[str, Column]:
     return {
         "all_integers": F.bool_and(x == F.floor(x)),
         "all_positive": F.bool_and(x >= 0),
@@ -438,24 +437,23 @@ def numeric_flags(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     columns = list(columns or numeric_columns(df))
     facts = {}
     for c in columns:
-        facts[f"n_{c}"] = F.count(as_number(c))
-        facts[f"lo_{c}"] = F.min(as_number(c))
-        facts[f"hi_{c}"] = F.max(as_number(c))
-    df = spread(df.select(*columns))
-    ends = df.agg(*[expr.alias(name) for name, expr in facts.items()])
-    numbers = df.select(*[as_number(c).alias(c) for c in columns]).join(F.broadcast(ends), F.lit(True))
+        facts[f"n_{c}"] = F.count(c)
+        facts[f"lo_{c}"] = F.min(c)
+        facts[f"hi_{c}"] = F.max(c)
+    values = numbers(df, columns)
+    ends = values.agg(*[expr.alias(name) for name, expr in facts.items()])
     metrics = {}
     for c in columns:
         n, lo, hi = F.col(f"n_{c}"), F.col(f"lo_{c}"), F.col(f"hi_{c}")
         steps = F.try_divide((F.col(c) - lo) * (n - 1), hi - lo)
         metrics[c] = {
-            **range_flag_metrics(c),
+            **range_flag_metrics(F.col(c)),
             "on_grid": F.bool_and(F.abs(steps - F.round(steps)) < 1e-6),
             "n": F.count(c),
             "constant": F.bool_and(lo == hi),
         }
-    flags = summarize(numbers, metrics)
-    distinct = summarize(df, {c: {"d": F.count_distinct(as_number(c))} for c in columns})
+    flags = summarize(values.join(F.broadcast(ends), F.lit(True)), metrics)
+    distinct = summarize(values, {c: {"d": F.count_distinct(c)} for c in columns})
     spaced = (
         F.when(F.col("n") < 2, False)
         .when(F.col("constant"), True)

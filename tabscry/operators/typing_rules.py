@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscry.functions import names
-from tabscry.functions.numeric import as_number, ratio, rounded
+from tabscry.functions.numeric import numbers, ratio, rounded
 from tabscry.operators.profiling import (
     DATETIME_PATTERN,
     GEO_PATTERN,
@@ -76,26 +76,42 @@ RATIOS = ("datetime_ratio", "id_ratio", "geo_ratio", "numeric_ratio", "image_rat
 
 def _plain_evidence(df: DataFrame, families: dict[str, str], approx: bool) -> DataFrame:
     """Evidence of the columns that are not text: counts, ranges, distinct values."""
-    metrics: dict[str, dict[str, Column]] = {}
+    numeric = [n for n, f in families.items() if f == "numeric"]
+    raw_names = [c(n).alias(f"raw_{n}") for n in families]
+    values = numbers(df.select(*families, *raw_names), numeric, keep=[f"raw_{n}" for n in families])
+    unset = F.lit(None).cast("boolean")
+    present: dict[str, dict[str, Column]] = {}
     for name, family in families.items():
-        number = family == "numeric"
-        flags = range_flag_metrics(name) if number else {}
-        m = {
-            "total_count": F.count(F.lit(1)),
-            "null_count": F.count_if(c(name).isNull()),
-            **{r: F.max(F.lit(0.0)) for r in RATIOS},
-            "all_integers": flags.get("all_integers", F.bool_and(F.lit(None).cast("boolean"))),
-            "in_0_1": flags.get("in_0_1", F.bool_and(F.lit(None).cast("boolean"))),
-        }
-        if number:
-            m["numeric_ratio"] = F.avg(F.when(c(name).isNotNull(), as_number(name).isNotNull().cast("double")))
-        if family == "time":  # a time writes itself as a date
-            m["datetime_ratio"] = F.max(F.when(c(name).isNotNull(), 1.0).otherwise(0.0))
-        metrics[name] = m
+        raw = c(f"raw_{name}")
+        m = {"null_count": F.count_if(raw.isNull()), "total_count": F.count(F.lit(1))}
+        if family == "numeric":
+            flags = range_flag_metrics(c(name))
+            m["parsed"] = F.count(name)
+            m["all_integers"], m["in_0_1"] = flags["all_integers"], flags["in_0_1"]
+        else:
+            m["parsed"] = F.max(F.lit(0).cast("long"))
+            m["all_integers"], m["in_0_1"] = F.bool_and(unset), F.bool_and(unset)
+        m["is_time"] = F.max(F.lit(family == "time"))
+        present[name] = m
     distinct = {
-        n: {"distinct_count": F.approx_count_distinct(n) if approx else F.count_distinct(c(n))} for n in families
+        n: {"distinct_count": F.approx_count_distinct(f"raw_{n}") if approx else F.count_distinct(c(f"raw_{n}"))} for n in families
     }
-    return summarize(df, metrics).join(F.broadcast(summarize(df, distinct)), "column_name")
+    known = c("total_count") - c("null_count")
+    zero = F.lit(0.0)
+    return summarize(values, present).join(F.broadcast(summarize(values, distinct)), "column_name").select(
+        "column_name",
+        "total_count",
+        "null_count",
+        F.when(c("is_time") & (known > 0), 1.0).otherwise(0.0).alias("datetime_ratio"),  # a time writes itself as a date
+        zero.alias("id_ratio"),
+        zero.alias("geo_ratio"),
+        ratio(c("parsed"), F.when(known > 0, known)).alias("numeric_ratio"),
+        zero.alias("image_ratio"),
+        zero.alias("avg_length"),
+        "all_integers",
+        "in_0_1",
+        "distinct_count",
+    )
 
 
 def _text_evidence(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -142,7 +158,7 @@ def evidence(df: DataFrame, approx: bool = False) -> DataFrame:
     others = {n: f for n, f in families.items() if f != "text"}
     parts = []
     if others:
-        parts.append(_plain_evidence(spread(df.select(*others)), others, approx))
+        parts.append(_plain_evidence(df.select(*others), others, approx))
     if texts:
         parts.append(_text_evidence(spread(df.select(*texts)), texts))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
