@@ -184,6 +184,25 @@ def repaired(df: DataFrame, req: RepairRequest) -> DataFrame:
     return out
 
 
+def repair_audit(
+    df: DataFrame, req: RepairRequest, plan_id: str, repair_type: str = "repair_apply", with_time: bool = True
+) -> DataFrame:
+    """Audit rows of a repair from one pass: the old value rides along, nothing is joined."""
+    if not req.row_id:
+        raise ValueError("row_id_missing")
+    tracked = repaired(df.withColumn("_before", c(req.column)), req)
+    changed = tracked.filter(~c("_before").eqNullSafe(c(req.column)))
+    out = changed.select(
+        F.lit(plan_id).alias("plan_id"),
+        F.lit(req.column).alias("column_name"),
+        F.lit(repair_type).alias("repair_type"),
+        c(req.row_id).cast("string").alias("row_id"),
+        c("_before").cast("string").alias("before"),
+        c(req.column).cast("string").alias("after"),
+    )
+    return out.withColumn("created_at", F.current_timestamp()) if with_time else out
+
+
 def apply_to_copy(df: DataFrame, req: RepairRequest, target: str) -> str:
     """Write the repaired table to a new place; the source is not touched."""
     return publish(repaired(df, req), target)
@@ -193,7 +212,7 @@ def apply_to_source(spark: SparkSession, view: str, req: RepairRequest, root: st
     """Write the next version of an approved source and point the view at it.
 
     The version being read stays in place, so a failed write changes nothing.
-    Returns the new path and the audit rows between the two versions.
+    Returns the new path and the audit rows of the repair.
     """
     if status != "approved":
         raise PermissionError(status)
@@ -201,7 +220,5 @@ def apply_to_source(spark: SparkSession, view: str, req: RepairRequest, root: st
         raise ValueError("row_id_missing")
     before = spark.table(view)
     path = publish_version(repaired(before, req), root)
-    after = spark.read.parquet(path)
-    changes = r.audit(before, after, req.row_id, req.column, plan_id=path, repair_type="repair_apply")
-    after.createOrReplaceTempView(view)
-    return path, changes
+    spark.read.parquet(path).createOrReplaceTempView(view)
+    return path, repair_audit(before, req, plan_id=path)

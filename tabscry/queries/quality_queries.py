@@ -516,8 +516,7 @@ def repaired_source(spark, d):
         FROM f WHERE old IS DISTINCT FROM new""",
 )
 def repair_audit(spark, d):
-    old = events_blanked(spark, d)
-    return r.audit(old, rp.repaired(old, FORWARD_REQUEST), "event_id", "value", "plan-1", "null_repair", with_time=False)
+    return rp.repair_audit(events_blanked(spark, d), FORWARD_REQUEST, "plan-1", "null_repair", with_time=False)
 
 
 @query("repair_rollback", f"WITH {BLANKED} SELECT event_id, value FROM blanked")

@@ -48,6 +48,15 @@ def test_rollback_undoes_apply(blanked):
     assert as_rows(r.rollback(new, changes, "event_id", "event_type")) == as_rows(blanked)
 
 
+def test_one_pass_audit_equals_the_join_of_two_versions(blanked):
+    request = rp.RepairRequest(
+        column="value", null_strategy="group_median", fill_group_by=("event_type",), group_by=("user_id",),
+        conflict_strategy="median", row_id="event_id",
+    )
+    joined = r.audit(blanked, rp.repaired(blanked, request), "event_id", "value", "p", "x", with_time=False)
+    assert as_rows(rp.repair_audit(blanked, request, "p", "x", with_time=False)) == as_rows(joined)
+
+
 def test_rollback_without_changes_is_identity(blanked):
     nothing = r.audit(blanked, blanked, "event_id", "value", "p", "null_repair")
     assert nothing.count() == 0
