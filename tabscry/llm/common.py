@@ -63,6 +63,13 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[d
     return df.mapInArrow(run, struct)
 
 
+def map_batches(df: DataFrame, change: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """Change each Arrow batch; the schema stays."""
+    ship_code(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    return df.mapInArrow(lambda batches: map(change, batches), df.schema)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name under the checkpoint folder that all executors share."""
     ensure_checkpoint_dir(spark)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscry.llm.common import hashed_share, id_crc, map_arrow, plain_words
+from tabscry.llm.common import hashed_share, id_crc, map_arrow, map_batches, plain_words
 
 FEATURES = (
     "chars", "words", "word_length", "letters", "upper", "digits", "symbols", "exclaims", "bars", "odd_ends",
@@ -202,3 +202,14 @@ def classify(docs: DataFrame, model: Additive, text: str = "text", doc_id: str =
 def held_out(column: Column, folds: int, fold: int) -> Column:
     """True for ids whose crc32 falls into that fold; a null id is in none."""
     return F.coalesce(id_crc(column) % folds == fold, F.lit(False))
+
+
+def kept_documents(docs: DataFrame, model: Additive, text: str = "text", cut: float = 0.3) -> DataFrame:
+    """The rows themselves, without those that score below ``cut``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def change(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = np.array([features(t) for t in batch.column(text).to_pylist()], dtype=float).reshape(-1, len(FEATURES))
+        return batch.filter(pa.array(shared.value.score(x) >= cut))
+
+    return map_batches(docs, change)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscry.llm import decontam, langid, neardup, quality, sql, substrings, urlrep
+from tabscry.llm import decontam, langid, neardup, packing, pii, quality, sql, substrings, urlrep
 from tabscry.queries.registry import table
 from tabscry.session import SETTINGS
 
@@ -45,6 +46,19 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, model).select("doc_id", quality.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
 
 
+@query("op4_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+
+
+@query("op5_personal_data")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base spans and those the model adds."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 @query("op7_url_reputation", sql.OP7)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page by rule, else by its host's reputation over labelled pages."""
