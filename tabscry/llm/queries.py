@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscry.llm import decontam, langid, neardup, packing, pii, quality, sql, substrings, urlrep
+from tabscry.llm import decontam, idcoder, langid, neardup, packing, pii, quality, search, sql, substrings, urlrep
 from tabscry.queries.registry import table
 from tabscry.session import SETTINGS
 
@@ -46,6 +46,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, model).select("doc_id", quality.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
 
 
+@query("op3_search", sql.OP3)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top 10 documents for every document whose id is divisible by 20, against all documents."""
+    return search.top_k(table(spark, sf_dir, "documents"), "id % 20 = 0")
+
+
 @query("op4_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 ids."""
@@ -59,6 +65,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.fit(docs))
 
 
+@query("op6_token_files")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written in coded files and read back."""
+    return idcoder.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 @query("op7_url_reputation", sql.OP7)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page by rule, else by its host's reputation over labelled pages."""
