@@ -89,3 +89,14 @@ def hashed_share(key: Column, rows: int, bound: int) -> Column:
     if rows <= bound:
         return F.lit(True)
     return F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * bound / rows)
+
+
+def prefilter_joins(spark: SparkSession) -> None:
+    """Let Spark send a Bloom filter of a join's small side to the scan of its large side, at any table size.
+
+    The filter's size is fixed (2 MB), so it is bounded however large the tables are; a full one lets more rows pass, never
+    fewer. Spark builds it from a side that has a filter of its own over a scan.
+    """
+    prefix = "spark.sql.optimizer.runtime.bloomFilter."
+    for key, value in {"applicationSideScanSizeThreshold": "1b", "creationSideThreshold": "1t", "numBits": "16777216", "expectedNumItems": "2000000"}.items():
+        spark.conf.set(prefix + key, value)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscry.llm.common import ascii_words, map_arrow, written
+from tabscry.llm.common import ascii_words, map_arrow, prefilter_joins, written
 from tabscry.llm.graph import components
 
 SHINGLE = 5
@@ -203,7 +203,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     fits = 100 * F.least("n", "na") >= percent * F.greatest("n", "na")
     pairs = cand.join(centre, "key").filter((F.col("rep") != F.col("a")) & fits).select("a", F.col("rep").alias("b")).distinct()
 
-    wanted = cand.select("rep").distinct()
+    # Only texts of shared buckets are needed: Spark's own Bloom filter over their ids, of bounded size, keeps most
+    # of the others out of the shuffle, at any table size.
+    prefilter_joins(docs.sparkSession)
+    wanted = written(cand.groupBy("rep").agg(F.max("c").alias("c"))).filter("c > 1")
     # A class is read through its smallest id.
     sets = written(map_arrow(texts.join(wanted, texts["id"] == wanted["rep"]).select("rep", "text"), _sets, f"rep {kind}, items array<bigint>"))
     stars = written(_verified(pairs, sets, percent))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscry.llm.common import map_arrow, plain_words, written
+from tabscry.llm.common import map_arrow, plain_words, prefilter_joins, written
 from tabscry.llm.neardup import gram_hashes, word_hashes
 
 WINDOW = 50
@@ -184,9 +184,10 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     emitted = written(map_arrow(texts.filter("id IS NOT NULL"), _emitted(window), f"mini bigint, id {kind}, mark bigint, run int").distinct())
     met = emitted.groupBy("mini").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).filter("lo <> hi")
     met = met.select("mini", F.ceil(F.col("c") / bucket_runs).cast("int").alias("parts"))
-    chosen = emitted.join(met, "mini").groupBy(key).agg(F.collect_list(F.struct("run", "parts")).alias("runs"))
+    chosen = written(emitted.join(met, "mini").groupBy(key).agg(F.collect_list(F.struct("run", "parts")).alias("runs"), F.count("*").alias("n")))
+    prefilter_joins(docs.sparkSession)  # texts without such a run stay where they are
     schema = f"mini bigint, salt int, salted boolean, id {kind}, mark bigint, start int, packed binary"
-    packed = map_arrow(texts.join(chosen, key), _packed(window), schema)
+    packed = map_arrow(texts.join(chosen.filter("n > 0"), key), _packed(window), schema)
     dealt = packed.repartition("mini", "salt").sortWithinPartitions("mini", "salt", "id", "start")
     spans = map_arrow(dealt, _bucketed(window), f"id {kind}, mark bigint, first int, end int, digest binary, sure boolean")
     # A window's parts: whoever holds a smaller id elsewhere decides.
