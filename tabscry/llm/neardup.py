@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     final = components(stars.union(links))
     groups = classes.join(final, classes["rep"] == final["node"], "left").select("digest", F.coalesce("component", "rep").alias("root"))
-    out = rows.join(groups, "digest", "left").select("id", "n", F.coalesce("root", "id").alias("component_id"))
+    out = rows.join(groups, "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component_id"))
     return out.select(
         F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id",
         F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"),

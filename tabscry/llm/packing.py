@@ -137,8 +137,9 @@ def pack(
     names = ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
     def rows(packer: Packer) -> Iterator[dict]:
-        out = dict(zip(names, map(list, zip(*packer.flush(), strict=True)), strict=True))
-        if out:
+        done = list(packer.flush())
+        if done:
+            out = dict(zip(names, map(list, zip(*done, strict=True)), strict=True))
             out["ids_crc32"] = [zlib.crc32(x) for x in out["ids"]]
             yield out
 
