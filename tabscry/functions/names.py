@@ -20,6 +20,10 @@ ENTITY_WORDS = ["id", "user", "account", "device", "shop", "store", "customer",
 IMAGE_WORDS = ["image", "img", "photo", "picture", "thumbnail", "avatar"]
 IMAGE_FILE_PATTERN = r"(?i)\.(png|jpg|jpeg|gif|webp)(\?.*)?$"
 
+# Words at the end of a name part that make a column a time axis.
+TIME_AXIS_WORDS = ["date", "time", "timestamp", "epoch"]
+TIME_AXIS_PATTERN = rf"(^|_)[a-z]*({'|'.join(TIME_AXIS_WORDS)})(_|$)"
+
 # Words that also count at the end of a joined word, as in "orderkey" or "shipdate".
 JOINED = {"key", "uuid", "guid", "date", "timestamp", "type", "status", "category", "address", "quantity"}
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 def as_number(col: Column | str) -> Column:
     """The value as a double, NULL when it does not parse or is not finite."""
     number = F.expr(f"try_cast(`{col}` AS double)") if isinstance(col, str) else col.try_cast("double")
-    return F.when(~F.isnan(number), number)
+    return F.when(F.abs(number) < float("inf"), number)  # NaN counts as larger
 
 
 def numbers(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -27,7 +27,8 @@ def numbers(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) ->
         if isinstance(kind, (T.IntegralType, T.DecimalType)):
             out.append(F.col(name).cast("double").alias(name))
         elif isinstance(kind, (T.DoubleType, T.FloatType)):
-            out.append(F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double")).alias(name))
+            number = F.col(name).cast("double")
+            out.append(F.when(F.abs(number) < float("inf"), number).alias(name))
         else:
             out.append(as_number(name).alias(name))
     return df.select(*keep, *out)

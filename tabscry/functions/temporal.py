@@ -34,10 +34,3 @@ def bucket(grain: str, col: Column) -> Column:
 def stamp(col: Column) -> Column:
     """Fixed text form of a time for reports and checks."""
     return F.date_format(col, "yyyy-MM-dd HH:mm:ss")
-
-
-def default_grain(column_name: str) -> str:
-    """Hour for clock-like names, day otherwise."""
-    name = column_name.lower()
-    clock_like = "epoch" in name or ("time" in name and "date" not in name)
-    return "hour" if clock_like else "day"

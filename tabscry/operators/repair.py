@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabscry.functions.numeric import as_number, greatest_or_null
 from tabscry.operators import running
@@ -84,13 +85,20 @@ def fill_value(df: DataFrame, column: str, strategy: str) -> DataFrame:
     raise ValueError(f"no single fill value for strategy {strategy}")
 
 
-def fill(df: DataFrame, column: str, strategy: str) -> DataFrame:
-    """Replace nulls by the one value of the strategy, in the column's own type."""
+def as_kind(value: Column, kind: T.DataType) -> Column:
+    """A repair value in the column's type: whole-number columns take the nearest number, halves away from zero."""
+    if isinstance(kind, T.IntegralType):
+        return F.round(value.cast("decimal(38,6)"), 0).cast(kind)
+    return value.cast(kind)
+
+
+def fill(df: DataFrame, column: str, strategy: str, value: DataFrame | None = None) -> DataFrame:
+    """Replace nulls by the one value of the strategy (or a stored one), in the column's own type (see as_kind)."""
     kind = df.schema[column].dataType
-    value = fill_value(df, column, strategy)
+    value = fill_value(df, column, strategy) if value is None else value
     return (
         df.join(F.broadcast(value), F.lit(True))
-        .withColumn(column, F.coalesce(c(column), c("fill_value").cast(kind)))
+        .withColumn(column, F.coalesce(c(column), as_kind(c("fill_value"), kind)))
         .drop("fill_value")
     )
 
@@ -124,7 +132,7 @@ def fill_group_median(
         known = known.filter(c(k).isNotNull())
     medians = percentiles(known, [column], [0.5], keys=keys).select(*keys, c("q")[0].alias("_median"))
     filled = work.join(broadcast_if_small(medians), keys, "left")
-    return filled.withColumn(column, F.coalesce(c(column), c("_median").cast(kind))).select(*df.columns)
+    return filled.withColumn(column, F.coalesce(c(column), as_kind(c("_median"), kind))).select(*df.columns)
 
 
 def segment_count(columns: Sequence[str]) -> Column:
@@ -174,7 +182,7 @@ def repair_conflicts(
     hit = c("target").isNotNull() & (F.lit(fill_nulls) | c(column).isNotNull())
     return (
         df.join(targets, list(group_by), "left")
-        .withColumn(column, F.when(hit, c("target").cast(kind)).otherwise(c(column)))
+        .withColumn(column, F.when(hit, as_kind(c("target"), kind)).otherwise(c(column)))
         .select(*df.columns)
     )
 
@@ -229,10 +237,15 @@ def audit(
 
 
 def rollback(repaired: DataFrame, audit_rows: DataFrame, row_id: str, column: str) -> DataFrame:
-    """Restore the value before the repair for every audited row."""
+    """Restore the value before the repair for every audited row.
+
+    A row that several steps changed goes back to the value before the first: one undo per row id, whatever the audit holds.
+    """
     kind = repaired.schema[column].dataType
-    undo = audit_rows.filter(c("column_name") == column).select(
-        c("row_id").cast(repaired.schema[row_id].dataType).alias(row_id), "before", F.lit(True).alias("_audited")
+    own = audit_rows.filter(c("column_name") == column)
+    order = F.when(c("repair_type") == "conflict_repair", 2).otherwise(1)
+    undo = own.groupBy(c("row_id").cast(repaired.schema[row_id].dataType).alias(row_id)).agg(
+        F.min_by(F.struct("before"), order)["before"].alias("before"), F.lit(True).alias("_audited")
     )
     joined = repaired.join(broadcast_if_small(undo), row_id, "left")
     restored = F.when(F.coalesce("_audited", F.lit(False)), c("before").cast(kind)).otherwise(c(column))

@@ -9,10 +9,20 @@ over that table gives the carry-in of each slice.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabscry.session import cut
+
+
+def _carried(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on the keys in which null equals null, so that no row is lost."""
+    named = carry.select(*[F.col(k).alias(f"_on_{k}") for k in keys], *[x for x in carry.columns if x not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys])
+    return rows.join(named, same, "left").drop(*[f"_on_{k}" for k in keys])
+
 
 def forward_fill(
     df: DataFrame,
@@ -22,20 +32,26 @@ def forward_fill(
     slice_by: Column,
     output: str | None = None,
 ) -> DataFrame:
-    """Last non-null value at or before each row in the order of ``order_by``."""
+    """Last non-null value at or before each row in the order of ``order_by``.
+
+    Every row comes back. Rows without an entity form one entity of their own; rows without a time (the first
+    column of ``order_by``) have no place in the order: they keep what they have and fill nobody.
+    """
     output = output or column
+    keys = [*entity, "_slice"]
+    timed = F.col(order_by[0]).isNotNull()
     sliced = df.withColumn("_slice", slice_by)
     local = Window.partitionBy(*entity, "_slice").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
     rows = sliced.withColumn("_local", F.last(column, ignorenulls=True).over(local))
     ends = (
-        sliced.groupBy(*entity, "_slice")
+        sliced.filter(timed).groupBy(*keys)
         .agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.struct(*order_by))).alias("_end"))
     )
     earlier = Window.partitionBy(*entity).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(*entity, "_slice", F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
     return (
-        rows.join(carry, [*entity, "_slice"])
-        .withColumn(output, F.coalesce("_local", "_carry"))
+        _carried(rows, carry, keys)
+        .withColumn(output, F.when(timed, F.coalesce("_local", "_carry")).otherwise(F.col(column)))
         .drop("_slice", "_local", "_carry")
     )
 
@@ -54,23 +70,25 @@ def overlap_batches(
 
     A call opens a new batch when no earlier call of the entity is still
     running: every earlier end lies at or before its start (before it when
-    ``strict`` is False).
+    ``strict`` is False). Every row comes back: calls without an entity form one
+    entity of their own, calls without a start get no number.
     """
     keys = [*entity, "_slice"]
     sliced = df.withColumn("_slice", slice_by)
+    timed = F.col(start).isNotNull()
     prior = Window.partitionBy(*keys).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*entity).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    reach = sliced.groupBy(*keys).agg(F.max(end).alias("_reach"))
+    reach = sliced.filter(timed).groupBy(*keys).agg(F.max(end).alias("_reach"))
     carried = reach.select(*keys, F.max("_reach").over(earlier).alias("_carry"))
     running_to = F.greatest(F.max(end).over(prior), F.col("_carry"))
     opens = running_to.isNull() | ((running_to <= F.col(start)) if strict else (running_to < F.col(start)))
-    flagged = sliced.join(carried, keys).withColumn("_open", opens.cast("long"))
-    opened = flagged.groupBy(*keys).agg(F.sum("_open").alias("_opened"))
+    flagged = _carried(sliced, carried, keys).withColumn("_open", opens.cast("long"))
+    opened = flagged.filter(timed).groupBy(*keys).agg(F.sum("_open").alias("_opened"))
     base = opened.select(*keys, F.coalesce(F.sum("_opened").over(earlier), F.lit(0)).alias("_base"))
     upto = Window.partitionBy(*keys).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        flagged.join(base, keys)
-        .withColumn(output, F.col("_base") + F.sum("_open").over(upto))
+        _carried(flagged, base, keys)
+        .withColumn(output, F.when(timed, F.col("_base") + F.sum("_open").over(upto)))
         .drop("_slice", "_carry", "_open", "_base")
     )
 
@@ -78,11 +96,15 @@ def overlap_batches(
 def order_breaks(df: DataFrame, value: str, key: str, slice_rows: int = 1_000_000) -> DataFrame:
     """One row: how often ``value`` falls when rows are read in ``key`` order.
 
-    ``key`` is a numeric ingest key; each slice spans ``slice_rows`` key
-    values. Breaks inside a slice come from a window over that slice, breaks
-    between slices from the last value of one and the first of the next.
+    Slices are range partitions of the key, at most about ``slice_rows`` rows
+    each, however sparse the keys are. Breaks inside a slice come from a window
+    over that slice, breaks between slices from the last value of one and the
+    first of the next.
     """
-    sliced = df.select(value, key, F.floor(F.col(key) / slice_rows).alias("_slice"))
+    rows = df.select(value, key)
+    slices = max(1, min(10_000, -(-rows.count() // slice_rows)))
+    placed = cut(rows.repartitionByRange(slices, key).withColumn("_slice", F.spark_partition_id()))
+    sliced = placed
     local = Window.partitionBy("_slice").orderBy(key)
     marked = sliced.withColumn("_fall", (F.col(value) < F.lag(value).over(local)).cast("long"))
     ends = marked.groupBy("_slice").agg(
@@ -91,7 +113,7 @@ def order_breaks(df: DataFrame, value: str, key: str, slice_rows: int = 1_000_00
         F.min_by(value, key).alias("_first"),
         F.max_by(value, key).alias("_last"),
     )
-    # One row per slice: slice_rows bounds this table to rows / slice_rows.
+    # One row per range partition.
     across = Window.orderBy("_slice")
     steps = ends.withColumn("_step", (F.col("_first") < F.lag("_last").over(across)).cast("long"))
     return steps.agg(

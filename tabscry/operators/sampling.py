@@ -45,9 +45,15 @@ def windowed(
     return out
 
 
+# Fixed value: the largest preview.
+PREVIEW_ROWS = 1000
+
+
 def preview(df: DataFrame, order_by: Sequence[str], n: int = 50) -> DataFrame:
-    """First n rows (1 to 1000) in key order; planned as a top-k, not a sort."""
-    return df.orderBy(*order_by).limit(max(1, min(1000, n)))
+    """First n rows in key order; planned as a top-k, not a sort. More than PREVIEW_ROWS are refused."""
+    if not 1 <= n <= PREVIEW_ROWS:
+        raise ValueError(f"a preview has 1 to {PREVIEW_ROWS} rows, not {n}; read the relation for more")
+    return df.orderBy(*order_by).limit(n)
 
 
 def time_head(df: DataFrame, time: str, n: int, tie: Sequence[str] = ()) -> DataFrame:

@@ -181,8 +181,8 @@ def rare_categories(df: DataFrame, column: str, below: float = RARE_SHARE) -> Da
 
 
 def merge_key(col: Column) -> Column:
-    """Trimmed, lower-cased, inner blanks and ASCII punctuation folded."""
-    return F.trim(F.regexp_replace(F.lower(col), "[^0-9a-z\\u0080-\\uffff]+", " "))
+    """Trimmed, lower-cased, inner blanks and ASCII punctuation folded; NULL when nothing else is left."""
+    return F.nullif(F.trim(F.regexp_replace(F.lower(col), r"[^0-9a-z\x{80}-\x{10ffff}]+", " ")), F.lit(""))
 
 
 def merge_suggestions(df: DataFrame, column: str) -> DataFrame:
@@ -190,7 +190,7 @@ def merge_suggestions(df: DataFrame, column: str) -> DataFrame:
 
     Works on the distinct spellings, not on rows.
     """
-    spelled = value_counts(df, column).withColumn("merge_key", merge_key(c("category")))
+    spelled = value_counts(df, column).withColumn("merge_key", merge_key(c("category"))).filter(c("merge_key").isNotNull())
     sized = spelled.groupBy("merge_key").agg(
         F.count(F.lit(1)).alias("variants"),
         F.min_by("category", F.struct(-c("n"), c("category"))).alias("suggested"),

@@ -70,6 +70,16 @@ def time_series(
     return points if limit is None else points.limit(limit)
 
 
+def _same_series(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Equi-join in which a null key is a series like any other."""
+    named = right.select(*[c(k).alias(f"_on_{k}") for k in keys], *[x for x in right.columns if x not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & c(k).eqNullSafe(c(f"_on_{k}"))
+    out = left.join(named, same, how)
+    return out.drop(*[f"_on_{k}" for k in keys])
+
+
 def time_series_adaptive(
     df: DataFrame,
     time: str,
@@ -95,20 +105,20 @@ def time_series_adaptive(
     for g in reversed(grains):
         chosen = F.when(bucket(g, c("_first")) != bucket(g, c("_last")), g).otherwise(chosen)
     picked = ends.select(*series, chosen.alias("grain"))
-    joined = rows.join(picked, list(series)) if series else rows.join(F.broadcast(picked), F.lit(True))
+    joined = _same_series(rows, picked, series, "inner") if series else rows.join(F.broadcast(picked), F.lit(True))
     start = c(time).cast("timestamp")
     for g in grains:
         if g != "raw":
             start = F.when(c("grain") == g, bucket(g, c(time)).cast("timestamp")).otherwise(start)
     points = joined.groupBy(*series, "grain", start.alias("bucket")).agg(_point(value, "avg").alias("y"))
     enough = points.groupBy(*series, "grain").agg(F.count(F.lit(1)).alias("_points")).filter(c("_points") >= min_points)
-    return points.join(enough.select(*series, "grain"), [*series, "grain"], "left_semi").select(*series, "grain", "bucket", "y")
+    return _same_series(points, enough.select(*series, "grain"), [*series, "grain"], "left_semi").select(*series, "grain", "bucket", "y")
 
 
 def time_series_multi(df: DataFrame, times: Sequence[str], value: str, grain: str = "month") -> DataFrame:
-    """Mean of a value along each of several time columns (four at most)."""
+    """Mean of a value along each of several time columns (every one that is named)."""
     axes = F.explode(
-        F.array(*[F.struct(F.lit(t).alias("time_column"), bucket(grain, c(t)).cast("timestamp").alias("bucket")) for t in times[:4]])
+        F.array(*[F.struct(F.lit(t).alias("time_column"), bucket(grain, c(t)).cast("timestamp").alias("bucket")) for t in times])
     )
     return (
         df.filter(as_number(value).isNotNull())

@@ -169,25 +169,21 @@ def sentiment_by_group(
 def summarize_rows(df: DataFrame, key: str, text: str, n: int = 2) -> DataFrame:
     """The n sentences of each text with the highest mean word frequency, in text order.
 
-    The texts are placed by key once; every later step works within a key and
-    stays in place. A key's rows are the words of one text.
+    Every row comes back, whatever its key. Equal texts are summarised once, under the digest of their text; a null text
+    has an empty summary.
     """
-    placed = df.select(key, text).repartition(key)
-    parts = placed.select(key, F.posexplode(tx.sentences(c(text))).alias("sentence_no", "sentence"))
-    tokens = parts.select(key, "sentence_no", F.explode(tx.words(c("sentence"))).alias("word"))
-    counted = tokens.withColumn("freq", F.count(F.lit(1)).over(Window.partitionBy(key, "word")))
-    scored = counted.groupBy(key, "sentence_no").agg(rounded(F.avg("freq")).alias("score"))
-    best = Window.partitionBy(key).orderBy(F.desc("score"), F.asc("sentence_no"))
+    rows = df.select(key, text, F.sha2(c(text), 256).alias("_text_id"))
+    placed = rows.select("_text_id", text).filter(c(text).isNotNull()).dropDuplicates(["_text_id"])
+    parts = placed.select("_text_id", F.posexplode(tx.sentences(c(text))).alias("sentence_no", "sentence"))
+    tokens = parts.select("_text_id", "sentence_no", F.explode(tx.words(c("sentence"))).alias("word"))
+    counted = tokens.withColumn("freq", F.count(F.lit(1)).over(Window.partitionBy("_text_id", "word")))
+    scored = counted.groupBy("_text_id", "sentence_no").agg(rounded(F.avg("freq")).alias("score"))
+    best = Window.partitionBy("_text_id").orderBy(F.desc("score"), F.asc("sentence_no"))
     picked = scored.withColumn("_rank", F.row_number().over(best)).filter(c("_rank") <= n)
     # At most n numbers per text.
-    numbers = picked.groupBy(key).agg(F.array_sort(F.collect_list("sentence_no")).alias("_picked"))
-    sentence = tx.sentences(c(text))
-    summary = F.array_join(F.transform("_picked", lambda i: F.get(c("_sentences"), i)), ". ")
-    return (
-        placed.withColumn("_sentences", sentence)
-        .join(numbers, key, "left")
-        .select(key, F.coalesce(summary, F.lit("")).alias("summary"))
-    )
+    numbers = picked.groupBy("_text_id").agg(F.array_sort(F.collect_list("sentence_no")).alias("_picked"))
+    summary = F.array_join(F.transform("_picked", lambda i: F.get(tx.sentences(c(text)), i)), ". ")
+    return rows.join(numbers, "_text_id", "left").select(key, F.coalesce(summary, F.lit("")).alias("summary"))
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: Column, salts: int = SALTS) -> DataFrame:
@@ -230,8 +226,10 @@ def summarize_groups(df: DataFrame, group: str, key: str, text: str, n: int = 3)
 
 
 def classify_and_summarize(df: DataFrame, key: str, text: str, labels: dict[str, Sequence[str]], n: int = 1) -> DataFrame:
-    classified = classify_keywords(df.select(key, text), text, labels)
-    return classified.join(summarize_rows(df, key, text, n), key).select(key, "primary_label", "primary_confidence", "summary")
+    """Label and summary of every row; rows without a key, or with a repeated one, keep their own."""
+    held = df.select(F.struct(key, text).alias("_row"), text)
+    both = classify_keywords(summarize_rows(held, "_row", text, n).select("_row", f"_row.{text}", "summary"), text, labels)
+    return both.select(f"_row.{key}", "primary_label", "primary_confidence", "summary")
 
 
 def text_jaccard(df: DataFrame, left: str, right: str, k: int = 2, name: str = "similarity") -> DataFrame:

@@ -339,9 +339,7 @@ def categorical_candidates(rows: DataFrame, limit: int = 5) -> DataFrame:
     textual = c("semantic_type").isin("categorical", "text") | (c("family") == "text")
     few = (c("distinct_count") <= 50) | (c("cardinality") <= 0.2)
     best = _rank(rows.filter(textual & few), c("cardinality").asc(), c("ordinal").asc()).filter(c("rank") <= limit)
-    temporal = (c("semantic_type") == "temporal") | (c("family") == "time") | F.lower("column_name").rlike(
-        r"(^|_)[a-z]*(date|time|timestamp|epoch)(_|$)"
-    )
+    temporal = (c("semantic_type") == "temporal") | (c("family") == "time") | F.lower("column_name").rlike(names.TIME_AXIS_PATTERN)
     times = _rank(rows.filter(temporal), c("ordinal").asc())
     cols = ("column_name", "distinct_count")
     return best.select(F.lit("categorical").alias("kind"), *cols, "rank").unionByName(

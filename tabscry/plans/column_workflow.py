@@ -11,7 +11,6 @@ from tabscry.operators import scans as s
 from tabscry.operators import series as ser
 from tabscry.operators import textops as to
 from tabscry.operators import typing_rules as t
-from tabscry.plans.repair_plan import RepairRequest, repair_plan
 from tabscry.plans.report import column_facts
 
 
@@ -49,7 +48,7 @@ def analyze_column(
         found["groups"] = p.category_groups(df, column)
         found["top"] = ser.top_with_other(df, column, 12)
         found["share"] = ser.share_series(df, column)
-        for number in [n for n in numerics if n != column][:2]:
+        for number in [n for n in numerics if n != column]:
             found[f"mean_{number}"] = ser.mean_over_top(df, column, number, 12)
     elif semantic_type == "text":
         found["lengths"] = p.text_length_stats(df, [column])
@@ -57,8 +56,3 @@ def analyze_column(
     else:
         found["stats"] = p.basic_stats(df, column)
     return found
-
-
-def plan_column(df: DataFrame, request: RepairRequest) -> DataFrame:
-    """Scan and plan in one go: the steps to bring to approval."""
-    return repair_plan(df, request)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabscry.operators import repair as r
 from tabscry.operators.scans import plan_consistency, scan_conflicts, snapshot
-from tabscry.sources.relation import publish, publish_version
+from tabscry.sources.relation import publish, version_path
 
 c = F.col
 
@@ -30,6 +30,7 @@ class RepairRequest:
     entity: Sequence[str] = field(default_factory=tuple)
     time: str | None = None
     row_id: str | None = None
+    grain: str = "day"
     table_ref: str | None = None
     apply_mode: str = "fixing_table"
     audit_table: str | None = None
@@ -57,7 +58,7 @@ def _fill_facts(df: DataFrame, req: RepairRequest) -> DataFrame:
         fallback, why, basis = "group_median_impute", grouped, "group_similarity"
     else:
         fallback, basis = strategy, "analysis_rows_non_null"
-        why = "All values are NULL; no non-null basis available. Consider a group-based fill or a manual default."
+        why = "The column holds no value to fill from; name group columns or give a default."
     return value.select(
         F.when(missing, fallback).otherwise(strategy).alias("strategy"),
         text.cast("string").alias("fill_value"),
@@ -67,6 +68,15 @@ def _fill_facts(df: DataFrame, req: RepairRequest) -> DataFrame:
     )
 
 
+def _row_id_facts(df: DataFrame, req: RepairRequest) -> DataFrame:
+    """One row: whether the row id names each row once, which audit and rollback rest on."""
+    if not req.row_id:
+        return df.sparkSession.range(1).select(F.lit(True).alias("row_ids_unique"))
+    sizes = df.groupBy(req.row_id).agg(F.count(F.lit(1)).alias("_n"))
+    bad = (c("_n") > 1) | c(req.row_id).isNull()
+    return sizes.agg((F.count_if(bad) == 0).alias("row_ids_unique"))
+
+
 def repair_plan(df: DataFrame, req: RepairRequest, sample: DataFrame | None = None) -> DataFrame:
     """Steps of the plan, one row each, with the plan's header beside them.
 
@@ -82,7 +92,7 @@ def repair_plan(df: DataFrame, req: RepairRequest, sample: DataFrame | None = No
     checked = plan_consistency(facts, sample if sample is not None else facts).select("reasons", "inconsistent")
     sample_nulls = (sample if sample is not None else facts).select(c("null_count").alias("sample_nulls"))
     head = facts
-    for one_row in (conflicts, checked, sample_nulls, _fill_facts(df, req)):
+    for one_row in (conflicts, checked, sample_nulls, _fill_facts(df, req), _row_id_facts(df, req)):
         head = head.join(F.broadcast(one_row), F.lit(True))
 
     null_step = F.when(
@@ -107,13 +117,14 @@ def repair_plan(df: DataFrame, req: RepairRequest, sample: DataFrame | None = No
     )
     unsure = c("inconsistent") | ((c("null_count") == 0) & (c("sample_nulls") > 0)) | (c("null_count") > c("total_count"))
     can_apply = bool(req.table_ref) and (req.apply_mode == "fixing_table" or bool(req.row_id))
+    settled = ~unsure & ~((c("null_count") > 0) & c("requires_manual_default")) & c("row_ids_unique")
     parts = F.array_compact(
         F.array(
-            F.when(c("inconsistent"), "Inconsistent data stats; manual review required"),
-            F.when(c("null_count") > 0, F.format_string("Null repair: %s for ~%d rows", c("strategy"), c("null_count"))),
+            F.when(c("inconsistent"), "the figures contradict each other, please review by hand"),
+            F.when(c("null_count") > 0, F.format_string("fill %d nulls by %s", c("null_count"), c("strategy"))),
             F.when(
                 c("conflict_groups") > 0,
-                F.format_string(f"Conflict repair: {req.conflict_strategy} for %d groups", c("conflict_groups")),
+                F.format_string(f"settle %d groups by {req.conflict_strategy}", c("conflict_groups")),
             ),
         )
     )
@@ -125,9 +136,9 @@ def repair_plan(df: DataFrame, req: RepairRequest, sample: DataFrame | None = No
         c("total_count"),
         unsure.alias("requires_manual_review"),
         unsure.alias("forbidden"),
-        (F.lit(can_apply) & ~unsure).alias("apply_ready"),
+        (F.lit(can_apply) & settled).alias("apply_ready"),
         c("reasons").alias("inconsistency_reasons"),
-        F.when(F.size(parts) > 0, F.array_join(parts, "; ")).otherwise("No repair actions required").alias("summary"),
+        F.when(F.size(parts) > 0, F.array_join(parts, "; ")).otherwise("nothing to repair").alias("summary"),
         F.lit(rollback).alias("rollback"),
         F.lit(req.apply_mode).alias("apply_mode"),
         F.lit(req.table_ref).alias("table_ref"),
@@ -177,7 +188,7 @@ def approved_plans(statuses: DataFrame, table: str) -> DataFrame:
 def repaired(df: DataFrame, req: RepairRequest) -> DataFrame:
     """The full table after the null repair and, with group columns, the conflict repair."""
     out = r.repair_nulls(
-        df, req.column, req.null_strategy, order_by=req.order_by, entity=req.entity, group_by=req.fill_group_by
+        df, req.column, req.null_strategy, order_by=req.order_by, entity=req.entity, group_by=req.fill_group_by, grain=req.grain
     )
     if req.group_by:
         out = r.repair_conflicts(out, req.column, req.group_by, req.conflict_strategy)
@@ -203,22 +214,85 @@ def repair_audit(
     return out.withColumn("created_at", F.current_timestamp()) if with_time else out
 
 
-def apply_to_copy(df: DataFrame, req: RepairRequest, target: str) -> str:
-    """Write the repaired table to a new place; the source is not touched."""
-    return publish(repaired(df, req), target)
+def approval_status(df: DataFrame, req: RepairRequest, plan: DataFrame, approvals: DataFrame) -> str:
+    """``approved``, or the first reason to refuse the plan on the table as it is now.
+
+    The snapshot is taken again. Approvals are rows (column_name, approved, approved_plan_id, approved_plan_hash,
+    approved_signature); with several for the column, one that fits is enough.
+    """
+    head = plan.select("column_name", "plan_id", "plan_hash", "signature", "forbidden", "apply_ready", "table_ref").distinct()
+    now = snapshot(df, req.column, req.group_by, req.time).select(c("signature").alias("current_signature"))
+    checked = check_approvals(head.join(F.broadcast(now), F.lit(True)), approvals, ["column_name"])
+    ready = F.when((c("status") == "approved") & ~c("apply_ready"), "not_apply_ready").otherwise(c("status"))
+    best = checked.agg(F.min_by(ready, F.when(ready == "approved", 0).otherwise(1)).alias("status")).first()
+    return best["status"] or "plan_missing"
 
 
-def apply_to_source(spark: SparkSession, view: str, req: RepairRequest, root: str, status: str) -> tuple[str, DataFrame]:
-    """Write the next version of an approved source and point the view at it.
+def repaired_by_plan(df: DataFrame, req: RepairRequest, plan: DataFrame) -> DataFrame:
+    """The full table after the steps of the plan: its strategies and its stored fill value, nothing read anew.
 
-    The version being read stays in place, so a failed write changes nothing.
-    Returns the new path and the audit rows of the repair.
+    ``_before`` and ``_between`` hold the column before the repair and between the two steps.
     """
+    steps = {row["step"]: row for row in plan.filter(c("step").isNotNull()).collect()}  # at most two rows
+    out = df.withColumn("_before", c(req.column))
+    if step := steps.get("null_repair"):
+        if step["strategy"] in ("forward_fill", "group_median_impute"):
+            out = r.repair_nulls(
+                out, req.column, step["strategy"], order_by=req.order_by, entity=req.entity, group_by=req.fill_group_by, grain=req.grain
+            )
+        else:
+            out = r.fill(out, req.column, step["strategy"], df.sparkSession.range(1).select(F.lit(step["fill_value"]).alias("fill_value")))
+    out = out.withColumn("_between", c(req.column))
+    if step := steps.get("conflict_repair"):
+        out = r.repair_conflicts(out, req.column, req.group_by, step["strategy"])
+    return out
+
+
+def plan_audit(tracked: DataFrame, req: RepairRequest, plan: DataFrame) -> DataFrame:
+    """One row per changed cell and step, with the plan's id, from the columns ``repaired_by_plan`` keeps."""
+    if not req.row_id:
+        raise ValueError("row_id_missing")
+    stages = F.array(
+        F.struct(F.lit("null_repair").alias("repair_type"), c("_before").cast("string").alias("before"), c("_between").cast("string").alias("after")),
+        F.struct(F.lit("conflict_repair").alias("repair_type"), c("_between").cast("string").alias("before"), c(req.column).cast("string").alias("after")),
+    )
+    changed = F.filter(stages, lambda x: ~x["before"].eqNullSafe(x["after"]))
+    plan_id = plan.select("plan_id").first()["plan_id"]
+    rows = tracked.select(c(req.row_id).cast("string").alias("row_id"), F.explode(changed).alias("x"))
+    return rows.select(
+        F.lit(plan_id).alias("plan_id"), F.lit(req.column).alias("column_name"), "x.repair_type", "row_id", "x.before", "x.after",
+        F.current_timestamp().alias("created_at"),
+    )
+
+
+def _apply(df: DataFrame, req: RepairRequest, plan: DataFrame, approvals: DataFrame, target: str, audit_path: str | None) -> str:
+    """Check, write the audit, write the table; nothing is written for a refused plan.
+
+    The audit comes first: a failure after it leaves rows of a plan whose table does not exist, never a repaired
+    table without its audit.
+    """
+    status = approval_status(df, req, plan, approvals)
     if status != "approved":
         raise PermissionError(status)
+    tracked = repaired_by_plan(df, req, plan)
+    if audit_path:
+        plan_audit(tracked, req, plan).write.mode("append").parquet(audit_path)
+    return publish(tracked.drop("_before", "_between"), target)
+
+
+def apply_to_copy(df: DataFrame, req: RepairRequest, target: str, plan: DataFrame, approvals: DataFrame, audit_path: str | None = None) -> str:
+    """Write the table repaired by an approved plan to a new place; the source is not touched."""
+    return _apply(df, req, plan, approvals, target, audit_path)
+
+
+def apply_to_source(spark: SparkSession, view: str, req: RepairRequest, root: str, plan: DataFrame, approvals: DataFrame, audit_path: str) -> str:
+    """Write the next version of the source by an approved plan and point the view at it.
+
+    The version being read stays in place, so a failed write changes nothing. The audit rows are stored under
+    ``audit_path``. Returns the new path.
+    """
     if not req.row_id:
         raise ValueError("row_id_missing")
-    before = spark.table(view)
-    path = publish_version(repaired(before, req), root)
+    path = _apply(spark.table(view), req, plan, approvals, version_path(root), audit_path)
     spark.read.parquet(path).createOrReplaceTempView(view)
-    return path, repair_audit(before, req, plan_id=path)
+    return path

@@ -66,8 +66,8 @@ def quality_report(
     )
 
 
-def column_facts(df: DataFrame, columns: Sequence[str], group_by: Sequence[str] = ()) -> DataFrame:
-    """Up to four short facts per column, the most severe first, no fact twice.
+def column_facts(df: DataFrame, columns: Sequence[str], group_by: Sequence[str] = (), max_facts: int = MAX_FACTS) -> DataFrame:
+    """Up to ``max_facts`` short facts per column, the most severe first, no fact twice.
 
     Facts come from the full-table statistics, null and conflict scans.
     """
@@ -111,6 +111,6 @@ def column_facts(df: DataFrame, columns: Sequence[str], group_by: Sequence[str]
     unique = out.filter(F.trim("fact") != "").dropDuplicates(["column_name", "fact"])
     return (
         unique.withColumn("fact_no", F.row_number().over(by_weight))
-        .filter(c("fact_no") <= MAX_FACTS)
+        .filter(c("fact_no") <= max_facts)
         .select("column_name", "fact_no", "fact")
     )

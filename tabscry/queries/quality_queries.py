@@ -423,7 +423,7 @@ PLAN = f"""{BLANKED}, a AS (SELECT count(*) AS total, count(*) - count(value) AS
           SELECT 1 AS step_no, 'null_repair' AS step, 'median_impute' AS strategy, nulls AS estimated_rows, CAST(NULL AS BIGINT) AS estimated_groups, CAST(med AS VARCHAR) AS fill_value FROM a
           UNION ALL SELECT 2, 'conflict_repair', 'median_per_group', crows, groups, NULL FROM g, cr)
         SELECT 'value' AS column_name, step_no, step, strategy, estimated_rows, estimated_groups, fill_value, total AS total_count, FALSE AS requires_manual_review, FALSE AS forbidden,
-               TRUE AS apply_ready, 'Null repair: median_impute for ~' || nulls || ' rows; Conflict repair: median_per_group for ' || groups || ' groups' AS summary,
+               TRUE AS apply_ready, 'fill ' || nulls || ' nulls by median_impute; settle ' || groups || ' groups by median_per_group' AS summary,
                'time_travel' AS rollback FROM s, a, g""",
 )
 def repair_plan(spark, d):
@@ -488,16 +488,30 @@ FORWARD_REQUEST = rp.RepairRequest(
 )
 
 
+def approvals_of(plan):
+    """An approval that fits the plan, as a reviewer would store it."""
+    named = [c(x).alias(f"approved_{x}") for x in ("plan_id", "plan_hash", "signature")]
+    return plan.select("column_name", F.lit(True).alias("approved"), *named).distinct()
+
+
+def applied(spark, d, request, name):
+    """Plan, approve and apply to a copy; the paths of the new table and its stored audit."""
+    source = events_blanked(spark, d)
+    plan = rp.repair_plan(source, request)
+    root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return rp.apply_to_copy(source, request, f"{root}/table", plan, approvals_of(plan), f"{root}/audit"), f"{root}/audit"
+
+
 @query("repaired_table", f"WITH {BLANKED} SELECT event_id, user_id, event_type, props, {FORWARD} AS value FROM blanked")
 def repaired_table(spark, d):
     """Apply to a copy: written to a new place in the shared folder, then read back."""
-    path = rp.apply_to_copy(events_blanked(spark, d), FORWARD_REQUEST, f"{shared_folder(spark)}/repaired-{uuid.uuid4().hex}")
+    path, _ = applied(spark, d, FORWARD_REQUEST, "repaired")
     return spark.read.parquet(path).select("event_id", "user_id", "event_type", "props", "value")
 
 
 @query(
     "repaired_source",
-    f"""WITH {BLANKED}, f AS (SELECT event_id, {rnd('coalesce(value, (SELECT quantile_cont(value, 0.5) FROM blanked))')} AS value FROM blanked)
+    f"""WITH {BLANKED}, f AS (SELECT event_id, {rnd('coalesce(value, (SELECT round(quantile_cont(value, 0.5), 4) FROM blanked))')} AS value FROM blanked)
         SELECT event_id, value FROM f""",
 )
 def repaired_source(spark, d):
@@ -505,23 +519,46 @@ def repaired_source(spark, d):
     view = f"events_source_{uuid.uuid4().hex[:8]}"
     events_blanked(spark, d).createOrReplaceTempView(view)
     request = rp.RepairRequest(column="value", null_strategy="median", row_id="event_id", table_ref=view)
-    rp.apply_to_source(spark, view, request, f"{shared_folder(spark)}/{view}", status="approved")
+    plan = rp.repair_plan(spark.table(view), request)
+    root = f"{shared_folder(spark)}/{view}"
+    rp.apply_to_source(spark, view, request, root, plan, approvals_of(plan), f"{root}-audit")
     return spark.table(view).select("event_id", rounded(c("value")).alias("value"))
 
 
 @query(
     "repair_audit",
     f"""WITH {BLANKED}, f AS (SELECT event_id, value AS old, {FORWARD} AS new FROM blanked)
-        SELECT 'plan-1' AS plan_id, 'value' AS column_name, 'null_repair' AS repair_type, CAST(event_id AS VARCHAR) AS row_id, CAST(old AS VARCHAR) AS before, CAST(new AS VARCHAR) AS after
+        SELECT 'value' AS column_name, 'null_repair' AS repair_type, CAST(event_id AS VARCHAR) AS row_id, CAST(old AS VARCHAR) AS before, CAST(new AS VARCHAR) AS after
         FROM f WHERE old IS DISTINCT FROM new""",
 )
 def repair_audit(spark, d):
-    return rp.repair_audit(events_blanked(spark, d), FORWARD_REQUEST, "plan-1", "null_repair", with_time=False)
+    """The stored audit rows of an approved apply."""
+    _, audit = applied(spark, d, FORWARD_REQUEST, "audited")
+    return spark.read.parquet(audit).select("column_name", "repair_type", "row_id", "before", "after")
 
 
 @query("repair_rollback", f"WITH {BLANKED} SELECT event_id, value FROM blanked")
 def repair_rollback(spark, d):
-    old = events_blanked(spark, d)
-    new = rp.repaired(old, FORWARD_REQUEST)
-    rows = r.audit(old, new, "event_id", "value", "plan-1", "null_repair")
-    return r.rollback(new, rows, "event_id", "value").select("event_id", "value")
+    """The repaired table taken back by its stored audit."""
+    path, audit = applied(spark, d, FORWARD_REQUEST, "undone")
+    return r.rollback(spark.read.parquet(path), spark.read.parquet(audit), "event_id", "value").select("event_id", "value")
+
+
+HOLES = f"""{BLANKED}, holes AS (SELECT event_id, value, CASE WHEN event_id % 13 <> 0 THEN user_id END AS user_id,
+   CASE WHEN event_id % 17 <> 0 THEN ts END AS ts FROM blanked)"""
+
+
+def events_with_holes(spark, d):
+    """Blanked events that also lack some users and some times."""
+    rows = events_blanked(spark, d).withColumn("user_id", F.when(c("event_id") % 13 != 0, c("user_id")))
+    return rows.withColumn("ts", F.when(c("event_id") % 17 != 0, c("ts")))
+
+
+@query(
+    "fill_forward_holes",
+    f"""WITH {HOLES} SELECT event_id, user_id, CASE WHEN ts IS NULL THEN value ELSE
+          last_value(value IGNORE NULLS) OVER (PARTITION BY user_id, ts IS NULL ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS value FROM holes""",
+)
+def fill_forward_holes(spark, d):
+    """Forward fill over null entities and times: no row is lost."""
+    return r.fill_forward(events_with_holes(spark, d), "value", ["ts", "event_id"], ["user_id"]).select("event_id", "user_id", "value")

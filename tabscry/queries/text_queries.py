@@ -19,14 +19,14 @@ LANGUAGE_WORDS = {
     "german": ["der", "die", "und", "den", "mit", "auf"],
     "spanish": ["el", "los", "del", "las", "por", "con"],
 }
-POSITIVE = ["the", "with", "for", "avec", "pour", "mit", "con"]
-NEGATIVE = ["that", "was", "not", "pas", "nicht", "no"]
+POSITIVE = ["good", "great", "kind", "clear", "helpful"]
+NEGATIVE = ["idiot", "moron", "worthless", "clown", "bad"]
 TERMS = ["the", "was", "with", "that"]
 TASKS = [
     ("scan_nulls", "", False, False),
     ("summarize_text", "", False, True),
     ("row_level_extract", "Extract the main topic of the text.", True, True),
-    ("describe_images", "Describe the image in under 200 characters.", True, False),
+    ("describe_images", "Say in one sentence what the picture shows.", True, False),
 ]
 
 

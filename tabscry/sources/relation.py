@@ -62,9 +62,14 @@ def publish(df: DataFrame, path: str, file_format: str = "parquet", replace: boo
     return path
 
 
+def version_path(root: str) -> str:
+    """A new version folder below ``root``."""
+    return f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
+
+
 def publish_version(df: DataFrame, root: str, file_format: str = "parquet") -> str:
     """Write a new version folder below ``root``; the version read so far stays whole."""
-    return publish(df, f"{root.rstrip('/')}/v-{uuid.uuid4().hex}", file_format)
+    return publish(df, version_path(root), file_format)
 
 
 def asset_page(

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,12 +20,14 @@ from tabscry.operators.sampling import hash_order
 c = F.col
 
 
-def read_stream(spark: SparkSession, folder: str, pattern: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
-    """A parquet folder as a stream of its files."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
+    """A parquet table, one file or a folder of them, as a stream of its files."""
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
-    return reader.parquet(folder)
+    # As a pattern the path may name a file; a plain one must name a folder.
+    path = path.rstrip("/")
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def timed(stream: DataFrame, time: str, delay: str = "1 hour") -> DataFrame:
@@ -109,7 +112,8 @@ def reservoir(spark: SparkSession, stream: DataFrame, keys: Sequence[str], n: in
 
     Each micro-batch merges its own n smallest with the n kept before and
     writes the outcome as the next version. A retried batch starts again from
-    the version before it.
+    the version before it; a restart goes on from the newest version in the
+    folder, with or without new input.
     """
     target = f"{folder.rstrip('/')}/reservoir"
     schema = stream.schema
@@ -118,13 +122,14 @@ def reservoir(spark: SparkSession, stream: DataFrame, keys: Sequence[str], n: in
         session = batch.sparkSession
         best = batch.orderBy(hash_order(keys, seed), *keys).limit(n)
         if batch_id > 0:
-            before = session.read.schema(schema).parquet(f"{target}/v{batch_id - 1}")
+            before = session.read.schema(schema).parquet(f"{target}/batch={batch_id - 1}")
             best = before.unionByName(best).orderBy(hash_order(keys, seed), *keys).limit(n)
-        best.write.mode("overwrite").parquet(f"{target}/v{batch_id}")
-        state["version"] = batch_id
+        best.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    state: dict[str, int] = {}
     run_to_end(stream, keep, f"{folder.rstrip('/')}/checkpoint", "append")
-    if not state:
+    try:
+        return last_batch(spark, target)
+    except AnalysisException as missing:  # no batch was ever written
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{target}/v{state['version']}")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabscry.operators import repair as r
 from tabscry.operators import scans as s
 from tabscry.plans import repair_plan as rp
+from tabscry.queries.quality_queries import approvals_of
 from tabscry.queries.registry import events_blanked, table
 from tabscry.sources import relation as rel
 
@@ -77,7 +78,7 @@ def test_same_data_and_strategies_give_the_same_plan(blanked):
 
 def test_plan_flags(spark, blanked):
     clean = rp.repair_plan(r.fill(blanked, "value", "median"), REQUEST).collect()
-    assert len(clean) == 1 and clean[0]["step"] is None and clean[0]["summary"] == "No repair actions required"
+    assert len(clean) == 1 and clean[0]["step"] is None and clean[0]["summary"] == "nothing to repair"
     small = s.snapshot(blanked.filter("event_id < 20"), "value")
     unsure = rp.repair_plan(blanked, REQUEST, sample=small).first()
     assert unsure["forbidden"] and not unsure["apply_ready"]
@@ -97,10 +98,26 @@ def test_in_place_needs_a_row_id(blanked):
 def test_apply_to_source(spark, blanked, tmp_path):
     view = f"v_{uuid.uuid4().hex[:8]}"
     blanked.createOrReplaceTempView(view)
+    plan = rp.repair_plan(blanked, REQUEST)
+    audit = str(tmp_path / "audit")
+    stale = rp.repair_plan(blanked.filter("event_id > 3"), REQUEST)
+    refusals = {
+        "approval_required": approvals_of(plan).limit(0),
+        "approval_missing_plan_info": approvals_of(plan).withColumn("approved_plan_id", F.lit(None).cast("string")),
+        "approval_plan_mismatch": approvals_of(plan).withColumn("approved_plan_hash", F.lit("other")),
+    }
+    for status, approvals in refusals.items():
+        with pytest.raises(PermissionError, match=status):
+            rp.apply_to_source(spark, view, REQUEST, str(tmp_path), plan, approvals, audit)
+        with pytest.raises(PermissionError, match=status):
+            rp.apply_to_copy(blanked, REQUEST, str(tmp_path / "refused"), plan, approvals)
     with pytest.raises(PermissionError, match="snapshot_mismatch"):
-        rp.apply_to_source(spark, view, REQUEST, str(tmp_path), status="snapshot_mismatch")
+        rp.apply_to_source(spark, view, REQUEST, str(tmp_path), stale, approvals_of(stale), audit)
     assert s.scan_nulls(spark.table(view), ["value"]).first()["null_count"] > 0
-    path, changes = rp.apply_to_source(spark, view, REQUEST, str(tmp_path), status="approved")
+    path = rp.apply_to_source(spark, view, REQUEST, str(tmp_path), plan, approvals_of(plan), audit)
+    changes = spark.read.parquet(audit)
+    assert {x["plan_id"] for x in changes.select("plan_id").distinct().collect()} == {plan.first()["plan_id"]}
+    assert as_rows(r.rollback(spark.read.parquet(path), changes, "event_id", "value")) == as_rows(blanked)
     assert s.scan_nulls(spark.table(view), ["value"]).first()["null_count"] == 0
     assert changes.count() == s.scan_nulls(blanked, ["value"]).first()["null_count"]
     assert spark.read.parquet(path).count() == blanked.count()
@@ -108,9 +125,50 @@ def test_apply_to_source(spark, blanked, tmp_path):
 
 def test_copy_is_never_overwritten(spark, blanked, tmp_path):
     target = str(tmp_path / "copy")
-    rp.apply_to_copy(blanked, REQUEST, target)
+    plan = rp.repair_plan(blanked, REQUEST)
+    rp.apply_to_copy(blanked, REQUEST, target, plan, approvals_of(plan))
     with pytest.raises(Exception, match="(?i)already exists"):
-        rp.apply_to_copy(blanked, REQUEST, target)
+        rp.apply_to_copy(blanked, REQUEST, target, plan, approvals_of(plan))
+
+
+def test_the_planned_strategy_runs(spark, tmp_path):
+    rows = [(1, "a", None), (2, "a", None), (3, "b", None)]
+    df = spark.createDataFrame(rows, "event_id long, g string, value double")
+    manual = rp.RepairRequest(column="value", null_strategy="median", row_id="event_id", table_ref="t")
+    plan = rp.repair_plan(df, manual)
+    assert not plan.first()["apply_ready"]
+    with pytest.raises(PermissionError, match="not_apply_ready"):
+        rp.apply_to_copy(df, manual, str(tmp_path / "x"), plan, approvals_of(plan))
+    grouped = rp.RepairRequest(column="value", null_strategy="median", fill_group_by=("g",), row_id="event_id", table_ref="t")
+    plan = rp.repair_plan(df, grouped)
+    assert plan.first()["strategy"] == "group_median_impute"
+    assert rp.repaired_by_plan(df, grouped, plan).filter("value IS NULL").count() == 3
+    twice = rp.repair_plan(df.union(df), grouped)
+    assert not twice.first()["apply_ready"]
+
+
+def test_audit_has_a_type_per_step_and_rollback_restores(spark, blanked, tmp_path):
+    request = rp.RepairRequest(
+        column="value", null_strategy="median", group_by=("user_id",), conflict_strategy="median", row_id="event_id", table_ref="events"
+    )
+    plan = rp.repair_plan(blanked, request)
+    path = rp.apply_to_copy(blanked, request, str(tmp_path / "t"), plan, approvals_of(plan), str(tmp_path / "a"))
+    audit = spark.read.parquet(str(tmp_path / "a"))
+    assert {x["repair_type"] for x in audit.select("repair_type").distinct().collect()} == {"null_repair", "conflict_repair"}
+    assert as_rows(r.rollback(spark.read.parquet(path), audit, "event_id", "value")) == as_rows(blanked)
+
+
+@pytest.mark.parametrize("strategy", ["mean", "median", "min", "zero", "mode", "ffill", "group_median"])
+def test_no_strategy_loses_rows(spark, strategy):
+    rows = [(i, None if i % 3 == 0 else i % 4, None if i % 5 == 0 else f"2024-01-0{1 + i % 7} 10:00:00", None if i % 2 else float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, k long, t string, v double").withColumn("t", F.col("t").cast("timestamp"))
+    out = r.repair_nulls(df, "v", strategy, order_by=["t", "id"], entity=["k"], group_by=["k"])
+    assert out.count() == 60 and sorted(x["id"] for x in out.collect()) == list(range(60))
+
+
+def test_whole_number_columns_take_the_nearest_number(spark):
+    df = spark.createDataFrame([(1, 1), (2, 2), (3, None)], "id long, n int")
+    assert r.fill(df, "n", "mean").filter("id = 3").first()["n"] == 2
 
 
 def test_formats_and_relations(spark, sf_dir, tmp_path):
@@ -143,7 +201,7 @@ def test_histogram_counts_every_value(spark, blanked):
 
 
 def test_column_workflow(spark, sf_dir):
-    from tabscry.plans.column_workflow import analyze_column, plan_column, semantic_type_of
+    from tabscry.plans.column_workflow import analyze_column, semantic_type_of
 
     events = events_blanked(spark, sf_dir)
     assert semantic_type_of(events, "value") == "numeric"
@@ -153,4 +211,3 @@ def test_column_workflow(spark, sf_dir):
     kinds = {"event_type": "categorical", "ts": "temporal", "props": "text", "event_id": "id"}
     for column, kind in kinds.items():
         assert all(df.count() > 0 for df in analyze_column(events, column, kind, numerics=["value"]).values())
-    assert plan_column(events, REQUEST).first()["step"] == "null_repair"

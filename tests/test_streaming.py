@@ -20,7 +20,7 @@ def parts(spark, sf_dir, tmp_path_factory):
 
 
 def stream_of(spark, parts):
-    return checks.read_stream(spark, parts[0], "*.parquet", parts[1].schema, files_per_batch=1)
+    return checks.read_stream(spark, parts[0], parts[1].schema, files_per_batch=1)
 
 
 def test_rate_violations_over_micro_batches(spark, parts, tmp_path):
@@ -48,3 +48,18 @@ def test_reservoir_over_micro_batches_equals_batch_sample(spark, parts, tmp_path
     got = checks.reservoir(spark, stream_of(spark, parts), ["event_id"], 40, str(tmp_path))
     want = sampling.random_rows(parts[1].filter("event_id < 1250"), ["event_id"], 40)
     assert sorted(x["event_id"] for x in got.collect()) == sorted(x["event_id"] for x in want.collect())
+
+
+def test_reservoir_survives_a_restart_without_new_input(spark, parts, tmp_path):
+    run = lambda: sorted(x["event_id"] for x in checks.reservoir(spark, stream_of(spark, parts), ["event_id"], 10, str(tmp_path)).collect())
+    first = run()
+    assert len(first) == 10 and run() == first
+
+
+@pytest.mark.parametrize("name", ["stream_rate_violations", "stream_quality", "stream_sessions", "stream_reservoir"])
+def test_stream_queries_read_a_table_of_several_files(spark, sf_dir, tmp_path, name):
+    from tabscry.queries import QUERIES
+
+    table(spark, sf_dir, "events").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    rows = lambda d: sorted(map(repr, QUERIES[name](spark, d).collect()))
+    assert rows(str(tmp_path)) == rows(sf_dir)
