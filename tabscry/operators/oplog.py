@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,13 +69,16 @@ def call_batches(
 
 
 def usage_by_day(log: DataFrame, time: str, amount: str, days: int) -> DataFrame:
-    """Sum per day within ``days`` of the newest day, newest first, with the total."""
-    day = F.date_trunc("day", c(time))
-    daily = log.groupBy(day.alias("day")).agg(F.sum(amount).alias("used"))
-    # From here on there is one row per day.
-    recent = daily.join(F.broadcast(daily.agg(F.max("day").alias("newest"))), F.lit(True)).filter(
-        c("day") > c("newest") - F.make_dt_interval(F.lit(days))
-    )
+    """Sum per day within ``days`` of the newest day, newest first, with the total.
+
+    The newest day is read first, so that the window is a constant the scan can prune by.
+    """
+    newest = log.agg(F.date_trunc("day", F.max(time))).first()[0]
+    if newest is not None:
+        since, kind = F.lit(newest - timedelta(days=days - 1)), log.schema[time].dataType
+        log = log.filter(c(time) >= (since if kind.simpleString() == "string" else since.cast(kind)))
+    # From here on there is one row per day; rows without a time have none.
+    recent = log.groupBy(F.date_trunc("day", c(time)).alias("day")).agg(F.sum(amount).alias("used")).filter("day IS NOT NULL")
     total = recent.agg(F.sum("used").alias("total_used"))
     return (
         recent.join(F.broadcast(total), F.lit(True))

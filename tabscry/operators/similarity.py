@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -17,6 +16,7 @@ PIVOTS = 24
 BLOCK_ROWS = 2000
 # Keeps rounding of the angles from dropping a pair.
 ANGLE_SLACK = 1e-9
+HOW = ("inner", "left", "right", "full")
 
 c = F.col
 
@@ -36,20 +36,12 @@ def cosine_pairs(df: DataFrame, left: str, right: str, name: str = "similarity")
 
 
 def _unit(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, unit vector, digest of the unit vector); zero and missing vectors drop out."""
-
-    @F.pandas_udf("unit array<double>, digest string")
-    def normal(values: pd.Series) -> pd.DataFrame:
-        units, digests = [], []
-        for v in values:
-            length = 0.0 if v is None else float(np.linalg.norm(np.asarray(v, dtype=float)))
-            unit = np.asarray(v, dtype=float) / length if length > 0 else None
-            units.append(unit)
-            digests.append(None if unit is None else hashlib.blake2b(unit.tobytes(), digest_size=16).hexdigest())
-        return pd.DataFrame({"unit": units, "digest": digests})
-
-    rows = spread(df.select(c(key).alias("key"), c(vector).alias("v"))).select("key", normal("v").alias("n"))
-    return rows.select("key", "n.unit", "n.digest").filter(c("digest").isNotNull())
+    """(key, unit vector, 128-bit digest of it); zero, missing and not finite vectors drop out."""
+    rows = spread(df.select(c(key).alias("key"), c(vector).cast("array<double>").alias("v")))
+    rows = rows.withColumn("length", F.sqrt(dot(c("v"), c("v")))).filter((c("length") > 0) & (c("length") < float("inf")))
+    units = rows.select("key", F.transform("v", lambda x: x / c("length")).alias("unit"))
+    digest = F.concat_ws("-", F.hex(F.xxhash64("unit")), F.hex(F.xxhash64(F.lit(1), c("unit"))))
+    return units.withColumn("digest", digest)
 
 
 def _distinct(units: DataFrame) -> DataFrame:
@@ -92,14 +84,16 @@ def semantic_join(
     blocks of about ``block_rows`` vectors on either side by digest, and each
     pair of blocks is one matrix product, so no task holds a whole cell.
     The driver sees the ``pivots`` pivot vectors and one row per cell.
-    Columns: left_<key>, right_<key>, similarity. ``how`` is "inner" or "left".
+    Columns: left_<key>, right_<key>, similarity. ``how`` is one of HOW.
     """
+    if how not in HOW:
+        raise ValueError(f"how is one of {', '.join(HOW)}, not {how}")
     theta = math.acos(max(-1.0, min(1.0, threshold))) + ANGLE_SLACK
     lv, rv = _unit(left, left_key, vector), _unit(right, right_key, vector)
     lu, ru = _distinct(lv), _distinct(rv)
     chosen = ru.orderBy("digest").limit(pivots).collect()
     if not chosen:
-        return _with_unmatched(left, left_key, right_key, right.schema[right_key].dataType, None, how)
+        return _with_unmatched(left, right, left_key, right_key, None, how)
     centres = np.array([row["unit"] for row in chosen])
 
     @F.pandas_udf("cell int, angle double")
@@ -149,16 +143,25 @@ def semantic_join(
         .join(rv.select(c("key").alias(f"right_{right_key}"), c("digest").alias("r")), "r")
         .select(f"left_{left_key}", f"right_{right_key}", rounded(c("similarity")).alias("similarity"))
     )
-    return _with_unmatched(left, left_key, right_key, None, matched, how)
+    return _with_unmatched(left, right, left_key, right_key, matched, how)
 
 
-def _with_unmatched(left: DataFrame, left_key: str, right_key: str, right_type, matched: DataFrame | None, how: str) -> DataFrame:
-    """Keep left keys without a match when the join is a left join."""
-    keys = left.select(c(left_key).alias(f"left_{left_key}"))
+def _with_unmatched(left: DataFrame, right: DataFrame, left_key: str, right_key: str, matched: DataFrame | None, how: str) -> DataFrame:
+    """Add the keys without a match of the side or sides that the join keeps; no ``matched`` stands for no pairs."""
+    lk, rk = f"left_{left_key}", f"right_{right_key}"
+    lefts, rights = left.select(c(left_key).alias(lk)), right.select(c(right_key).alias(rk))
     if matched is None:
-        nothing = keys.withColumn(f"right_{right_key}", F.lit(None).cast(right_type)).withColumn("similarity", F.lit(None).cast("double"))
-        return nothing if how == "left" else nothing.filter(F.lit(False))
-    return keys.join(matched, f"left_{left_key}", "left") if how == "left" else matched
+        nothing = lefts.withColumn(rk, F.lit(None).cast(right.schema[right_key].dataType))
+        matched = nothing.withColumn("similarity", F.lit(None).cast("double")).filter(F.lit(False))
+    if how == "right":
+        return rights.join(matched, rk, "left").select(lk, rk, "similarity")
+    if how == "inner":
+        return matched
+    out = lefts.join(matched, lk, "left")
+    if how == "full":
+        lost = rights.join(matched.select(rk).distinct(), rk, "left_anti")
+        out = out.unionByName(lost, allowMissingColumns=True)
+    return out
 
 
 def semantic_join_lsh(

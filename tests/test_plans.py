@@ -4,6 +4,7 @@ import pytest
 
 from tabscry.operators import oplog, profiling, sampling
 from tabscry.operators import scans as s
+from tabscry.operators.positions import with_position
 from tabscry.queries import QUERIES
 from tabscry.queries.registry import table
 
@@ -31,6 +32,18 @@ def test_sample_is_a_top_k(spark, sf_dir):
     assert "TakeOrderedAndProject" in plan(sampling.random_rows(table(spark, sf_dir, "orders"), ["o_orderkey"], 10))
 
 
+def test_look_back_reaches_the_scan(spark, sf_dir):
+    text = plan(oplog.usage_by_day(table(spark, sf_dir, "events"), "ts", "value", 7))
+    assert "GreaterThanOrEqual(ts," in text
+
+
+def test_positions_move_the_rows_once(spark, sf_dir):
+    text = plan(with_position(table(spark, sf_dir, "orders"), ["o_orderdate", "o_orderkey"]))
+    # After the written placement only the counts per partition are exchanged.
+    assert "hashpartitioning(_part" in text and text.count("Exchange hashpartitioning") == 1
+    assert "SortMergeJoin" not in text and "o_orderkey" not in text.split("Exchange hashpartitioning")[1].split("Scan")[0]
+
+
 def test_top_rows_per_group_are_pruned_before_the_shuffle(spark, sf_dir):
     runs = table(spark, sf_dir, "events")
     assert "WindowGroupLimit" in plan(oplog.execution_history(runs, "user_id", "ts", "event_id", 3))

@@ -41,6 +41,35 @@ def test_left_join_keeps_unmatched(spark):
     assert matched == set(range(60))
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+def test_every_kind_of_join(spark, how):
+    left, a = vectors(spark, 5, n=60)
+    right, b = vectors(spark, 7, n=40, copies=False)
+    pairs = brute(a, b, 0.9)
+    want = set(pairs)
+    if how in ("left", "full"):
+        want |= {(i, None) for i in range(62) if i not in {x for x, _ in pairs}}
+    if how in ("right", "full"):
+        want |= {(None, j) for j in range(42) if j not in {y for _, y in pairs}}
+    rows = semantic_join(left, right, "vid", "vid", "v", 0.9, how=how).collect()
+    assert {(x["left_vid"], x["right_vid"]) for x in rows} == want and len(rows) == len(want)
+    none = {(x["left_vid"], x["right_vid"]) for x in semantic_join(left.limit(0), right, "vid", "vid", "v", 0.9, how=how).collect()}
+    assert none == ({(None, j) for j in range(42)} if how in ("right", "full") else set())
+
+
+def test_unknown_join_is_refused(spark):
+    left, _ = vectors(spark, 5, n=5)
+    with pytest.raises(ValueError, match="how"):
+        semantic_join(left, left, "vid", "vid", "v", 0.9, how="outer-ish")
+
+
+def test_vectors_that_are_not_finite_match_nothing(spark):
+    rows = [(0, [1.0, 0.0]), (1, [float("nan"), 1.0]), (2, [float("inf"), 1.0]), (3, [None, 1.0]), (4, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vid long, v array<double>")
+    got = {(x["left_vid"], x["right_vid"]) for x in semantic_join(df, df, "vid", "vid", "v", 0.9, how="inner").collect()}
+    assert got == {(0, 0), (0, 4), (4, 0), (4, 4)}
+
+
 def test_lsh_join_returns_right_pairs_only(spark):
     left, a = vectors(spark, 5)
     right, b = vectors(spark, 6)
