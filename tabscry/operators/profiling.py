@@ -428,11 +428,12 @@ def range_flag_metrics(x: Column) -> dict[str, Column]:
     }
 
 
-def numeric_flags(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def numeric_flags(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Integer, sign and range flags, and whether the values are equally spaced.
 
     Equal spacing needs no sort: n distinct values of which each lies on the
-    grid min + k * (max - min) / (n - 1) fill that grid completely.
+    grid min + k * (max - min) / (n - 1) fill that grid completely. With
+    ``approx`` the distinct count is a sketch's and may be off by a tenth.
     """
     columns = list(columns or numeric_columns(df))
     facts = {}
@@ -440,6 +441,7 @@ def numeric_flags(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
         facts[f"n_{c}"] = F.count(c)
         facts[f"lo_{c}"] = F.min(c)
         facts[f"hi_{c}"] = F.max(c)
+        facts[f"d_{c}"] = distinct_of(c, approx)
     values = numbers(df, columns)
     ends = values.agg(*[expr.alias(name) for name, expr in facts.items()])
     metrics = {}
@@ -448,18 +450,20 @@ def numeric_flags(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
         steps = F.try_divide((F.col(c) - lo) * (n - 1), hi - lo)
         metrics[c] = {
             **range_flag_metrics(F.col(c)),
-            "on_grid": F.bool_and(F.abs(steps - F.round(steps)) < 1e-6),
+            # A double's error grows with the position it counts.
+            "on_grid": F.bool_and(F.abs(steps - F.round(steps)) < F.greatest(F.lit(1e-6), n * 1e-15)),
             "n": F.count(c),
+            "d": F.max(F.col(f"d_{c}")),
             "constant": F.bool_and(lo == hi),
         }
     flags = summarize(values.join(F.broadcast(ends), F.lit(True)), metrics)
-    distinct = summarize(values, {c: {"d": F.count_distinct(c)} for c in columns})
+    same = (F.abs(F.col("n") - F.col("d")) <= F.col("n") * 0.1) if approx else F.col("n") == F.col("d")
     spaced = (
         F.when(F.col("n") < 2, False)
         .when(F.col("constant"), True)
-        .otherwise((F.col("n") == F.col("d")) & F.coalesce("on_grid", F.lit(False)))
+        .otherwise(same & F.coalesce("on_grid", F.lit(False)))
     )
-    return flags.join(F.broadcast(distinct), "column_name").select(
+    return flags.select(
         "column_name", "all_integers", "all_positive", "in_0_1", "in_0_100", spaced.alias("equally_spaced")
     )
 
@@ -498,7 +502,7 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(by_count)).filter(F.col("rank") <= k)
 
 
-def display_stats(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5) -> DataFrame:
+def display_stats(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5, approx: bool = False) -> DataFrame:
     """Null %, unique %, range, mean and the top values as one text."""
     columns = list(columns or df.columns)
     numerics = set(numeric_columns(df))
@@ -507,7 +511,7 @@ def display_stats(df: DataFrame, columns: Sequence[str] | None = None, k: int =
         c: {
             "total": F.count(F.lit(1)),
             "present": F.count(c),
-            "unique": F.count_distinct(F.col(c)),
+            "unique": distinct_of(c, approx),
             "min_value": F.min(as_number(c)) if c in numerics else nothing,
             "max_value": F.max(as_number(c)) if c in numerics else nothing,
             "mean_value": F.avg(as_number(c)) if c in numerics else nothing,
@@ -554,12 +558,12 @@ def null_traffic_light(profile: DataFrame) -> DataFrame:
     )
 
 
-def drift_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def drift_profile(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
     """The facts two snapshots are compared by."""
     metrics = {
         c: {
             "total_rows": F.count(F.lit(1)),
-            "unique_count": F.count_distinct(F.col(c)),
+            "unique_count": distinct_of(c, approx),
             "null_count": F.count_if(F.col(c).isNull()),
             "min_value": F.min(as_number(c)),
             "max_value": F.max(as_number(c)),

@@ -56,16 +56,30 @@ def conflict_groups(df: DataFrame, column: str, group_by: Sequence[str]) -> Data
     return _grouped(df, column, check_group_columns(df, group_by)).filter(c("distinct_values") > 1)
 
 
-def scan_conflicts(df: DataFrame, column: str, group_by: Sequence[str]) -> DataFrame:
-    """Groups, conflicting groups, their share and the most values in one group."""
-    groups = _grouped(df, column, check_group_columns(df, group_by))
-    found = groups.agg(
+def scan_conflicts(df: DataFrame, column: str | Sequence[str], group_by: Sequence[str]) -> DataFrame:
+    """Groups, conflicting groups, their share and the most values in one group, of one column or of many in one scan."""
+    columns = [column] if isinstance(column, str) else list(column)
+    keys = check_group_columns(df, group_by)
+    present = F.lit(True)
+    for g in keys:
+        present = present & c(g).isNotNull()
+    # Values of several types travel as digests, one per distinct value of a group.
+    cells = F.array(*[F.struct(F.lit(n).alias("column_name"), F.xxhash64(n).alias("h1"), F.xxhash64(F.lit(1), n).alias("h2"), c(n).isNotNull().alias("known")) for n in columns])
+    values = df.filter(present).select(*[c(g).alias(f"g{i}") for i, g in enumerate(keys)], F.inline(cells)).filter("known")
+    grouped = [f"g{i}" for i in range(len(keys))]
+    groups = (
+        values.groupBy(*grouped, "column_name", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(*grouped, "column_name").agg(F.count(F.lit(1)).alias("distinct_values"))
+    )
+    found = groups.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("total_groups"),
         F.count_if(c("distinct_values") > 1).alias("conflict_groups"),
         F.max("distinct_values").alias("max_distinct"),
     )
+    listed = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(n) for n in columns])).alias("column_name"))
+    found = listed.join(F.broadcast(found), "column_name", "left").fillna(0, ["total_groups", "conflict_groups"])
     return found.select(
-        F.lit(column).alias("column_name"),
+        "column_name",
         "total_groups",
         "conflict_groups",
         ratio(c("conflict_groups"), c("total_groups"), 6).alias("conflict_rate"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabscry.functions import names
 from tabscry.functions.numeric import numbers, ratio, rounded
@@ -12,8 +13,6 @@ from tabscry.operators.profiling import (
     GEO_PATTERN,
     ID_PATTERN,
     cleaned_number,
-    range_flag_metrics,
-    summarize,
     type_family,
 )
 from tabscry.session import spread
@@ -74,98 +73,93 @@ c = F.col
 RATIOS = ("datetime_ratio", "id_ratio", "geo_ratio", "numeric_ratio", "image_ratio", "avg_length")
 
 
-def _plain_evidence(df: DataFrame, families: dict[str, str], approx: bool) -> DataFrame:
-    """Evidence of the columns that are not text: counts, ranges, distinct values."""
-    numeric = [n for n, f in families.items() if f == "numeric"]
-    raw_names = [c(n).alias(f"raw_{n}") for n in families]
-    values = numbers(df.select(*families, *raw_names), numeric, keep=[f"raw_{n}" for n in families])
-    unset = F.lit(None).cast("boolean")
-    present: dict[str, dict[str, Column]] = {}
-    for name, family in families.items():
-        raw = c(f"raw_{name}")
-        m = {"null_count": F.count_if(raw.isNull()), "total_count": F.count(F.lit(1))}
-        if family == "numeric":
-            flags = range_flag_metrics(c(name))
-            m["parsed"] = F.count(name)
-            m["all_integers"], m["in_0_1"] = flags["all_integers"], flags["in_0_1"]
-        else:
-            m["parsed"] = F.max(F.lit(0).cast("long"))
-            m["all_integers"], m["in_0_1"] = F.bool_and(unset), F.bool_and(unset)
-        m["is_time"] = F.max(F.lit(family == "time"))
-        present[name] = m
-    distinct = {
-        n: {"distinct_count": F.approx_count_distinct(f"raw_{n}") if approx else F.count_distinct(c(f"raw_{n}"))} for n in families
-    }
-    known = c("total_count") - c("null_count")
-    zero = F.lit(0.0)
-    return summarize(values, present).join(F.broadcast(summarize(values, distinct)), "column_name").select(
-        "column_name",
-        "total_count",
-        "null_count",
-        F.when(c("is_time") & (known > 0), 1.0).otherwise(0.0).alias("datetime_ratio"),  # a time writes itself as a date
-        zero.alias("id_ratio"),
-        zero.alias("geo_ratio"),
-        ratio(c("parsed"), F.when(known > 0, known)).alias("numeric_ratio"),
-        zero.alias("image_ratio"),
-        zero.alias("avg_length"),
-        "all_integers",
-        "in_0_1",
-        "distinct_count",
-    )
+def _marks(value: Column, family: str) -> dict[str, Column]:
+    """What one value shows, as conditions on it; numbers come as doubles."""
+    if family == "text":
+        return {
+            "datetime": value.rlike(DATETIME_PATTERN),
+            "id": value.rlike(ID_PATTERN),
+            "geo": value.rlike(GEO_PATTERN),
+            "numeric": cleaned_number(value).isNotNull(),
+            "image": value.rlike(names.IMAGE_FILE_PATTERN),
+        }
+    if family == "numeric":
+        return {"numeric": value.isNotNull(), "fraction": value != F.floor(value), "outside": ~value.between(0, 1)}
+    return {"datetime": value.isNotNull()} if family == "time" else {}  # a time writes itself as a date
+
+
+MARKS = ("datetime", "id", "geo", "numeric", "image", "fraction", "outside")
 
 
-def _text_evidence(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Evidence of text columns from their distinct values weighted by count.
+def _cells(df: DataFrame, fields: list[tuple[int, str, str, T.DataType]]) -> DataFrame:
+    """Every value as its column's ordinal, a 128-bit digest, the bits of its marks and its length.
 
-    Patterns are matched once per distinct value, not once per row.
+    The marks are columns of their own before the rows are taken apart: small expressions keep to generated code.
     """
-    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("column_name"), c(n).alias("value")) for n in columns]))
-    values = (
-        df.select(cells.alias("cell"))
-        .groupBy("cell.column_name", "cell.value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    weight = F.when(c("value").isNotNull(), c("n"))
-
-    def share(flag: Column) -> Column:
-        return F.try_divide(F.sum(F.when(flag, c("n")).otherwise(0)).cast("double"), F.sum(weight).cast("double"))
-
-    text = c("value")
-    return values.groupBy("column_name").agg(
-        F.sum("n").alias("total_count"),
-        F.coalesce(F.sum(F.when(text.isNull(), c("n"))), F.lit(0)).alias("null_count"),
-        share(text.rlike(DATETIME_PATTERN)).alias("datetime_ratio"),
-        share(text.rlike(ID_PATTERN)).alias("id_ratio"),
-        share(text.rlike(GEO_PATTERN)).alias("geo_ratio"),
-        share(cleaned_number(text).isNotNull()).alias("numeric_ratio"),
-        share(text.rlike(names.IMAGE_FILE_PATTERN)).alias("image_ratio"),
-        F.try_divide(F.sum(F.length(text) * c("n")).cast("double"), F.sum(weight).cast("double")).alias("avg_length"),
-        F.lit(None).cast("boolean").alias("all_integers"),
-        F.lit(None).cast("boolean").alias("in_0_1"),
-        F.count(text).alias("distinct_count"),
-    )
+    numeric = [n for _, n, family, _ in fields if family == "numeric"]
+    values = numbers(df.select(*[c(n).alias(f"raw_{i}") for i, n, *_ in fields], *numeric), numeric, keep=[f"raw_{i}" for i, *_ in fields])
+    marked, cells = [], []
+    for i, name, family, data_type in fields:
+        raw = c(f"raw_{i}")
+        nested = isinstance(data_type, (T.ArrayType, T.StructType, T.MapType))
+        value = F.to_json(raw, {"ignoreNullFields": "false"}) if nested else raw
+        bits = F.lit(0)
+        for mark, found in _marks(c(name) if family == "numeric" else raw, family).items():
+            bits = bits.bitwiseOR(F.when(found, 1 << MARKS.index(mark)).otherwise(0))
+        marked += [
+            raw.isNotNull().alias(f"known_{i}"),
+            F.xxhash64(value).alias(f"h1_{i}"),
+            F.xxhash64(F.lit(1), value).alias(f"h2_{i}"),
+            bits.alias(f"bits_{i}"),
+            (F.coalesce(F.length(raw), F.lit(0)) if family == "text" else F.lit(0)).alias(f"length_{i}"),
+        ]
+        parts = ("known", "h1", "h2", "bits", "length")
+        cells.append(F.struct(F.lit(i).alias("ordinal"), *[c(f"{part}_{i}").alias(part) for part in parts]))
+    return values.select(*marked).select(F.inline(F.array(*cells)))
 
 
 def evidence(df: DataFrame, approx: bool = False) -> DataFrame:
-    """One row of full-table evidence per column: counts, patterns, ranges, lengths."""
-    families = {f.name: type_family(f.dataType) for f in df.schema.fields}
-    schema_rows = [
-        F.struct(F.lit(n).alias("column_name"), F.lit(i).alias("ordinal"), F.lit(f).alias("family"))
-        for i, (n, f) in enumerate(families.items())
-    ]
-    listed = df.sparkSession.range(1).select(F.inline(F.array(*schema_rows)))
-    texts = [n for n, f in families.items() if f == "text"]
-    others = {n: f for n, f in families.items() if f != "text"}
-    parts = []
-    if others:
-        parts.append(_plain_evidence(df.select(*others), others, approx))
-    if texts:
-        parts.append(_text_evidence(spread(df.select(*texts)), texts))
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    rows = rows.join(F.broadcast(listed), "column_name").fillna(0.0, list(RATIOS))
-    return rows.withColumn("null_rate", F.coalesce(ratio(c("null_count"), c("total_count")), F.lit(0.0))).withColumn(
-        "cardinality", F.coalesce(ratio(c("distinct_count"), c("total_count")), F.lit(0.0))
+    """One row of full-table evidence per column: counts, patterns, ranges, lengths.
+
+    One scan. What crosses the network is a digest per distinct value, never the
+    value; with ``approx`` it is a sketch per column.
+    """
+    fields = [(i, f.name, type_family(f.dataType), f.dataType) for i, f in enumerate(df.schema.fields)]
+    listed = df.sparkSession.range(1).select(
+        F.inline(F.array(*[F.struct(F.lit(n).alias("column_name"), F.lit(i).alias("ordinal"), F.lit(f).alias("family")) for i, n, f, _ in fields]))
+    )
+    cells = _cells(spread(df), fields)
+    if approx:
+        values, n = cells, F.lit(1)
+        distinct = F.approx_count_distinct(F.when(c("known"), c("h1")))
+    else:
+        values = cells.groupBy("ordinal", "known", "h1", "h2").agg(
+            F.count(F.lit(1)).alias("n"), F.max("bits").alias("bits"), F.max("length").alias("length")
+        )
+        n, distinct = c("n"), F.count_if("known")
+    present = c("known")
+    total, known = F.sum(n), F.sum(F.when(present, n))
+
+    def having(mark: str) -> Column:
+        return F.sum(F.when(present & (c("bits").bitwiseAND(1 << MARKS.index(mark)) != 0), n).otherwise(0))
+
+    def flag(against: str) -> Column:
+        return F.when(having("numeric") > 0, having(against) == 0)
+
+    # Shares are taken inside the aggregate: rules above it read plain columns.
+    rows = values.groupBy("ordinal").agg(
+        total.alias("total_count"),
+        (total - F.coalesce(known, F.lit(0))).alias("null_count"),
+        *[ratio(having(r.removesuffix("_ratio")), known).alias(r) for r in RATIOS if r != "avg_length"],
+        ratio(F.sum(F.when(present, c("length").cast("long") * n)), known).alias("avg_length"),
+        flag("fraction").alias("all_integers"),
+        flag("outside").alias("in_0_1"),
+        distinct.alias("distinct_count"),
+        ratio(total - F.coalesce(known, F.lit(0)), total).alias("null_rate"),
+        ratio(distinct, total).alias("cardinality"),
     )
+    rows = listed.join(F.broadcast(rows), "ordinal", "left").fillna(0, ["total_count", "null_count", "distinct_count"])
+    return rows.fillna(0.0, [*RATIOS, "null_rate", "cardinality"])
 
 
 def name_hints(rows: DataFrame) -> DataFrame:

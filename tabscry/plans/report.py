@@ -78,17 +78,14 @@ def column_facts(df: DataFrame, columns: Sequence[str], group_by: Sequence[str]
             "column_name", F.lit(1).alias("weight"), F.format_string("%d of %d values are missing", c("null_count"), c("total_count")).alias("fact")
         )
     )
-    if group_by:
-        for column in columns:
-            if column in group_by:
-                continue
-            conflicts = s.scan_conflicts(df, column, group_by).filter(c("conflict_groups") > 0)
-            parts.append(
-                conflicts.select(
-                    "column_name", F.lit(2).alias("weight"),
-                    F.format_string("%d of %d groups hold more than one value", c("conflict_groups"), c("total_groups")).alias("fact"),
-                )
+    if group_by and not set(columns) <= set(group_by):
+        conflicts = s.scan_conflicts(df, [n for n in columns if n not in group_by], group_by).filter(c("conflict_groups") > 0)
+        parts.append(
+            conflicts.select(
+                "column_name", F.lit(2).alias("weight"),
+                F.format_string("%d of %d groups hold more than one value", c("conflict_groups"), c("total_groups")).alias("fact"),
             )
+        )
     parts.append(
         shaped.select("column_name", F.lit(3).alias("weight"), F.concat(F.lit("shape is "), F.replace("shape", F.lit("_"), F.lit(" "))).alias("fact"))
     )

@@ -212,3 +212,23 @@ def test_drift_keeps_columns_of_one_side(spark):
     b = p.drift_profile(spark.createDataFrame([(1,), (4,)], "x int"), ["x"])
     got = {x["column_name"]: (x["total_rows_delta"], x["max_value_delta"]) for x in p.profile_drift(a, b).collect()}
     assert got == {"x": (1, 3.0), "y": (None, None)}
+
+
+def test_evidence_of_nested_null_and_empty_columns(spark):
+    df = spark.createDataFrame(
+        [(1, "a", [1, None], None), (2, "a", [1], None), (3, None, [None, 1], None)], "n long, s string, a array<int>, z string"
+    )
+    got = {r["column_name"]: r for r in t.evidence(df).collect()}
+    assert [got[x]["distinct_count"] for x in "nsaz"] == [3, 1, 3, 0]
+    assert [got[x]["null_count"] for x in "nsaz"] == [0, 1, 0, 3]
+    assert got["n"]["all_integers"] and not got["n"]["in_0_1"] and got["z"]["avg_length"] == 0.0
+    assert {r["total_count"] for r in t.evidence(df.limit(0)).collect()} == {0}
+    near = {r["column_name"]: r["distinct_count"] for r in t.evidence(df, approx=True).collect()}
+    assert near == {"n": 3, "s": 1, "a": 3, "z": 0}
+
+
+def test_conflicts_of_many_columns_equal_those_of_each(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (1, "b", 1.0), (2, None, 2.0), (None, "x", 3.0)], "k int, s string, v double")
+    both = {r["column_name"]: r for r in s.scan_conflicts(df, ["s", "v"], ["k"]).collect()}
+    assert both == {n: s.scan_conflicts(df, n, ["k"]).first() for n in ("s", "v")}
+    assert (both["s"]["total_groups"], both["s"]["conflict_groups"]) == (1, 1)

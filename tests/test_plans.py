@@ -2,7 +2,7 @@
 
 import pytest
 
-from tabscry.operators import oplog, profiling, sampling
+from tabscry.operators import oplog, profiling, sampling, typing_rules
 from tabscry.operators import scans as s
 from tabscry.operators.positions import with_position
 from tabscry.queries import QUERIES
@@ -62,3 +62,16 @@ def test_no_product_of_tables(spark, sf_dir, name):
 def test_no_window_over_the_whole_table(spark, sf_dir, name):
     text = plan(QUERIES[name](spark, sf_dir))
     assert "Exchange SinglePartition" not in text
+
+
+def test_evidence_takes_one_scan_and_shuffles_digests(spark, sf_dir):
+    text = plan(typing_rules.evidence(table(spark, sf_dir, "pages")))
+    assert text.count("FileScan parquet") == 1
+    keys = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert keys and all("html" not in k and "url" not in k and "raw_" not in k for k in keys)
+
+
+def test_facts_and_flags_share_their_scans(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    assert plan(profiling.numeric_flags(lines)).count("FileScan parquet") == 2
+    assert plan(s.scan_conflicts(lines, ["l_tax", "l_discount"], ["l_orderkey"])).count("FileScan parquet") == 1
