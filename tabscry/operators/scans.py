@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabscry.functions.numeric import as_number, ratio, rounded
 from tabscry.functions.temporal import parse_temporal, stamp
@@ -63,8 +64,10 @@ def scan_conflicts(df: DataFrame, column: str | Sequence[str], group_by: Sequenc
     present = F.lit(True)
     for g in keys:
         present = present & c(g).isNotNull()
-    # Values of several types travel as digests, one per distinct value of a group.
-    cells = F.array(*[F.struct(F.lit(n).alias("column_name"), F.xxhash64(n).alias("h1"), F.xxhash64(F.lit(1), n).alias("h2"), c(n).isNotNull().alias("known")) for n in columns])
+    # Values of several types travel as digests, one per distinct value of a group; a hash skips nulls inside nested values.
+    nested = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))}
+    hashed = {n: F.to_json(c(n), {"ignoreNullFields": "false"}) if n in nested else c(n) for n in columns}
+    cells = F.array(*[F.struct(F.lit(n).alias("column_name"), F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(1), v).alias("h2"), c(n).isNotNull().alias("known")) for n, v in hashed.items()])
     values = df.filter(present).select(*[c(g).alias(f"g{i}") for i, g in enumerate(keys)], F.inline(cells)).filter("known")
     grouped = [f"g{i}" for i in range(len(keys))]
     groups = (

@@ -232,3 +232,8 @@ def test_conflicts_of_many_columns_equal_those_of_each(spark):
     both = {r["column_name"]: r for r in s.scan_conflicts(df, ["s", "v"], ["k"]).collect()}
     assert both == {n: s.scan_conflicts(df, n, ["k"]).first() for n in ("s", "v")}
     assert (both["s"]["total_groups"], both["s"]["conflict_groups"]) == (1, 1)
+
+
+def test_conflicts_of_nested_values(spark):
+    df = spark.createDataFrame([(1, [1, None]), (1, [1]), (2, [None, 1]), (2, [None, 1])], "k int, a array<int>")
+    assert s.scan_conflicts(df, "a", ["k"]).first()["conflict_groups"] == 1
