@@ -359,6 +359,33 @@ def test_search(spark, docs):
         assert [(d, -s) for d, s in got[i]] == [(k, s) for s, k in sorted(scores)[:3]]
 
 
+def test_search_with_every_term_of_the_query(spark, docs, sf_dir):
+    def want(rows, asked, k):
+        words = [(i, search.terms(t)) for i, t in rows]
+        n, mean = len(words), sum(len(w) for _, w in words) / len(words)
+        held = [(i, Counter(w), len(w)) for i, w in words]
+        df = Counter(t for _, c, _ in held for t in c)
+        for q in asked:
+            own = {t for i, c, _ in held if i == q for t in c}
+            scores = [(i, sum(np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * m / mean)) for t in own & set(c))) for i, c, m in held if i is not None]
+            yield q, sorted(((i, float(s)) for i, s in scores if s), key=lambda x: (-round(x[1], 6), x[0]))[:k]
+
+    def got(out):
+        found = defaultdict(list)
+        for r in out.orderBy("query_id", "rank").collect():
+            found[r["query_id"]].append((r["doc_id"], r["score"]))
+        return found
+
+    corpus = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    query = QUERIES["op3_search"](spark, sf_dir)
+    edges = search.top_k(docs, "id % 1 = 0", k=3, query_terms=None, query_block=4)
+    for rows, out, asked, k in ((corpus, query, [i for i, _ in corpus if i % 20 == 0], 10), ([x[:2] for x in EDGES], edges, {i for i, *_ in EDGES} - {None}, 3)):
+        found = got(out)
+        for q, best in want(rows, asked, k):
+            assert [i for i, _ in found[q]] == [i for i, _ in best]
+            assert np.allclose([s for _, s in found[q]], [s for _, s in best], rtol=0, atol=2e-6)
+
+
 def test_block_max_wand_matches_full_scoring():
     rng = np.random.default_rng(8)
     for _ in range(60):
