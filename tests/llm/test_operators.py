@@ -450,3 +450,31 @@ def test_pipeline(spark, sf_dir):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in zip(redacted.doc_id, redacted.text, strict=True)}
     assert packed.groupby("doc_id").length.sum().to_dict() == want
+
+
+def test_pipeline_removes_near_copies_from_080(spark, sf_dir):
+    import corpus_pipeline
+
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    top = max(i for i, _ in rows)
+    changed = lambda words, places: " ".join("changed" if k in places else w for k, w in enumerate(words))
+    # One word changes 5 of 116 shingles: 0.917 for one place, 0.841 for two, 0.771 for three; 0.80 is 88 of 110.
+    rows += [(top + 1, " ".join(BASE)), (top + 2, changed(BASE, {30, 70})), (top + 3, changed(passage(9, 120), {})), (top + 4, changed(passage(9, 120), {20, 50, 80}))]
+    exact = passage(10, 103)
+    rows += [(top + 5, " ".join(exact)), (top + 6, " ".join([*exact[:92], *passage(11, 11, 10**6)]))]
+    sets = {i: shingle_set(t) for i, t in rows}
+    likeness = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.8 <= likeness(top + 1, top + 2) < 0.85 and likeness(top + 3, top + 4) < 0.8 and likeness(top + 5, top + 6) == 0.8
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in combinations(sets, 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            a, b = sorted((root(a), root(b)))
+            up[b] = a
+    single = dict(corpus_pipeline.STAGES)["near_dedup"](spark, frame(spark, [(i, t, "en") for i, t in rows]), sf_dir)
+    assert sorted(r["doc_id"] for r in single.collect()) == sorted({i for i in sets if root(i) == i})
