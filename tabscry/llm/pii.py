@@ -2,10 +2,12 @@
 
 The base spans (email, ip, card, phone) follow fixed patterns and always stay. The model is trained in numpy from
 labelled spans: windows of the corpus labelled by the base patterns, and made-up variants (phones without a country
-code, spaced or spelled-out addresses, dotted cards) set into corpus text. It reads every window around a
-character that personal data cannot do without (a digit or an at sign, also spelled out); windows overlap, and each
-text's decoded spans are reconciled over all its windows: spans cut by a window's edge give way, of overlapping ones
-the more certain one stays, base spans win over all, and an added span must pass its kind's digit checks.
+code, spaced or spelled-out addresses, dotted cards) set into corpus text. It reads every window around what an added
+span must hold to pass its kind's checks: a decimal digit of any script, or an at sign, plain, full-width or spelled out
+in any case (in brackets of any kind, or bare before a spelled-out dot). Windows overlap and reach over whole addresses
+of any length. Each text's tags are reconciled over all its windows: a place has the tag of the window whose edge is
+further off, spans go on from window to window, an address that the model marks anywhere is taken whole, of overlapping
+spans the more certain one stays, and base spans win over all, then those that the patterns see in the folded text.
 
 The training sample is bounded (``max_docs`` texts, picked by a hash of the id; only windows go to the driver).
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,7 +90,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # --- the model -------------------------------------------------------------------------------------------------
 
 LENGTH, STRIDE, REACH = 64, 32, 20  # characters of a window, between windows, around a trigger
-SPELLED = re.compile(r"[\[(] ?at ?[\])]")
+# At signs and dots, plain and spelled out.
+SPELLED_DOT = r" ?[\[(] ?(?:dot|\.) ?[\])] ?"
+AT = re.compile(r" ?[\[(] ?at ?[\])] ?| ?@ ?")
+AFTER_AT = re.compile(rf"[\w-]+(?:(?:{SPELLED_DOT}| \. |\.)[\w-]+)+")
+DOT_BEFORE = re.compile(rf"(?<=\w)(?:{SPELLED_DOT})\Z")
+CLOSED_AT = tuple(f"at{gap}{end}" for gap in ("", " ") for end in "])")
+OTHER_SIGNS = re.compile(r"(?![0-9])\d|[\uFF20\uFE6B\uFF0E]")
 N_CHARS = 100  # 0 pads; 1 white space; 2-96 ASCII; 97 letters beyond; 98 the rest
 N_TAGS = 1 + 2 * len(KINDS)  # O, then begin and inside of each kind
 IMPOSSIBLE = -1e4
@@ -98,15 +107,51 @@ def char_ids(text: str) -> np.ndarray:
     return np.where(c < 33, 1, np.where(c < 127, c - 31, np.where(c < 0x250, 97, 98))).astype(np.int32)
 
 
+def folded(text: str) -> str:
+    """The text with other scripts' digits, at signs and full stops as ASCII; every place stays."""
+    if text.isascii():
+        return text
+    return OTHER_SIGNS.sub(lambda m: str(unicodedata.decimal(m[0])) if m[0].isdecimal() else "." if m[0] == "\uFF0E" else "@", text)
+
+
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Whole addresses of any length around the at signs of a folded text, also spelled out."""
+    low, out, free = text.lower(), [], 0
+    if not ("@" in low or ("dot" in low and "at" in low) or any(x in low for x in CLOSED_AT)):
+        return out
+    for m in AT.finditer(text):
+        begin = m.start()
+        while begin > free:
+            if text[begin - 1].isalnum() or text[begin - 1] in LOCAL_CHARS:
+                begin -= 1
+            elif begin < m.start() and (d := DOT_BEFORE.search(text[max(free, begin - 10) : begin])):
+                begin -= len(d[0])
+            else:
+                break
+        if begin < m.start() and (rest := AFTER_AT.match(text, m.end())):
+            out.append((begin, free := rest.end()))
+    return out
+
+
+def shown(text: str) -> str:
+    """A folded text as the model reads it: spelled-out signs of addresses as the signs themselves; every place stays."""
+    out, upto = [], 0
+    for a, b in addresses(text):
+        at = AT.search(text, a)
+        rest = re.sub(SPELLED_DOT, lambda m: ".".center(len(m[0])), text[at.end() : b], flags=re.I)
+        out += [text[upto : at.start()], "@".center(len(at[0])), rest]
+        upto = b
+    return "".join(out) + text[upto:] if out else text
+
+
 def windows_of(text: str) -> list[int]:
-    """Starts of the overlapping windows that cover the surroundings of every trigger."""
+    """Starts of the overlapping windows that cover the surroundings of every trigger of a folded text."""
     found = [m.span() for m in DIGITS.finditer(text)] if any(d in text for d in "0123456789") else []
     at = text.find("@")
     while at >= 0:
         found.append((at, at + 1))
         at = text.find("@", at + 1)
-    if "at]" in text or "at)" in text or "at ]" in text or "at )" in text:
-        found += [m.span() for m in SPELLED.finditer(text)]
+    found += addresses(text)
     starts, end = [], -1
     for first, last in sorted(found):
         lo, hi = max(0, first - REACH), last + REACH
@@ -261,6 +306,12 @@ def variant(rng: np.random.Generator) -> tuple[int, str]:
     w = lambda: "".join(rng.choice(list("abcdefghijklmnoprstuvé"), rng.integers(3, 9)))
     pick = lambda *x: x[rng.integers(len(x))]
     kind = int(rng.integers(-1, 4))
+    if kind == 0 and rng.random() < 0.5:
+        local = pick(".", "-", "_", "").join(w() for _ in range(rng.integers(1, 6)))
+        case = pick(str, str.upper)
+        at = pick(" [at] ", " (at) ", "{at}", " {at} ", "<at>", "[at]", " at ", " at ", " at ")
+        at, dot = case(at), case(" dot " if at == " at " else pick(" dot ", " [dot] ", " (dot) ", "{dot}", "[.]"))
+        return 0, f"{local}{at}{dot.join(pick('', '-').join(w() for _ in range(rng.integers(1, 3))) for _ in range(rng.integers(1, 3)))}{dot}{case(pick('com', 'org', 'net', 'info'))}"
     if kind == 0:
         return 0, f"{w()}{pick('', '.', '_')}{w()}{pick('@', ' @ ', ' [at] ', ' (at) ', '(at)', '[at]')}{w()}{pick('.', ' . ', ' [dot] ', '.')}{pick('com', 'org', 'net', 'example.com')}"
     if kind == 1:
@@ -282,13 +333,13 @@ def training_windows(texts: list[str], rng: np.random.Generator, made: int) -> t
     plain = [t for t in texts if t] or ["Lorem ipsum dolor sit amet, consectetur adipiscing elit sed do eiusmod tempor."]
 
     def add(text: str, start: int, spans: list) -> None:
-        ids = char_ids(text[start : start + LENGTH])
+        ids = char_ids(shown(text)[start : start + LENGTH])
         chars.append(np.pad(ids, (0, LENGTH - len(ids))))
         tags.append(labelled(text, start, spans))
 
     for text in texts:
         spans = base_spans(text)
-        for start in windows_of(text)[:20]:
+        for start in windows_of(text := folded(text))[:20]:
             add(text, start, spans)
     for _ in range(made):
         host = plain[rng.integers(len(plain))]
@@ -313,7 +364,7 @@ def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_docs: i
         # Only what surrounds the triggers, at most 20 windows of a text.
         for batch in batches:
             for t in batch.column("text").to_pylist():
-                yield {"text": [t[max(0, s - REACH) : s + LENGTH + REACH] for s in windows_of(t)[:20]]}
+                yield {"text": [t[max(0, s - REACH) : s + LENGTH + REACH] for s in windows_of(folded(t))[:20]]}
 
     texts = sorted(map_arrow(some, cut, "text string").toPandas()["text"].tolist())
     rng = np.random.default_rng(seed)
@@ -324,13 +375,13 @@ def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_docs: i
 
 
 def plausible(kind: int, text: str, a: int, b: int) -> bool:
-    """The digit checks an added span must pass."""
+    """The checks an added span of a folded text must pass."""
     s = text[a:b]
+    if kind == 0:
+        return True  # one of ``addresses``
     if any("0" <= c <= "9" for c in text[max(0, a - 1) : a] + text[b : b + 1]):
         return False
     digits = digits_of(s)
-    if kind == 0:
-        return bool(re.fullmatch(r"[^\s@]+ ?(?:@|[\[(] ?at ?[\])]) ?[^\s@]+(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[^\s@.]+)+", s))
     if kind == 1:
         return bool(re.fullmatch(r"[0-9]+(?:[ \[(]*\.[ \])]*[0-9]+){3}", s)) and is_ip(re.findall("[0-9]+", s))
     if kind == 2:
@@ -342,38 +393,56 @@ def tag_texts(texts: list[str | None], tagger: Tagger, chunk: int = 512) -> list
     """Base spans and all spans of every text, each by kind and start."""
     texts = [t or "" for t in texts]
     base = [base_spans(t) for t in texts]
-    where = [(k, s) for k, t in enumerate(texts) for s in windows_of(t)]
-    found: dict[int, list[tuple]] = {}
+    read = [folded(t) for t in texts]
+    seen = [shown(t) for t in read]
+    starts = [windows_of(t) for t in read]
+    where = [(k, s) for k, own in enumerate(starts) for s in own]
+    # The places of a window that count: up to the middle of what it shares with the next one.
+    edges = [e for own in starts for e in zip([0, *((a + LENGTH + b) // 2 if b < a + LENGTH else b for a, b in zip(own, own[1:], strict=False))], [*((a + LENGTH + b) // 2 if b < a + LENGTH else a + LENGTH for a, b in zip(own, own[1:], strict=False)), 1 << 60], strict=True)] if where else []
+    parts: dict[int, list[list]] = {}  # runs of one kind per text: kind, start, end, margins
     for c in range(0, len(where), chunk):
         part = where[c : c + chunk]
         ids = np.zeros((len(part), LENGTH), np.int32)
         for row, (k, s) in enumerate(part):
-            own = char_ids(texts[k][s : s + LENGTH])
+            own = char_ids(seen[k][s : s + LENGTH])
             ids[row, : len(own)] = own
         tags, margin = tagger.decode(ids)
         for row in np.flatnonzero(tags.any(1)):
-            k, s = part[row]
-            inner, size = tags[row], min(LENGTH, len(texts[k]) - s)
-            a = 0
+            (k, s), (lo, hi) = part[row], edges[c + row]
+            a, size, runs = max(0, lo - s), min(LENGTH, len(read[k]) - s, hi - s), parts.setdefault(k, [])
             while a < size:
-                if inner[a] % 2 == 1:
-                    b = a + 1
-                    while b < size and inner[b] == inner[a] + 1:
-                        b += 1
-                    cut = (a == 0 and s > 0) or (b == LENGTH and s + b < len(texts[k]))
-                    found.setdefault(k, []).append((cut, -float(margin[row, a:b].mean()), int(inner[a]) // 2, s + a, s + b))
-                    a = b
-                else:
-                    a += 1
+                tag = int(tags[row, a])
+                b = a + 1
+                while b < size and tag and tags[row, b] == tag + tag % 2:
+                    b += 1
+                if tag:
+                    kind = (tag - 1) // 2
+                    if tag % 2 == 0 and runs and runs[-1][0] == kind and runs[-1][2] == s + a:
+                        runs[-1][2] = s + b  # goes on from the window before
+                        runs[-1][3] += margin[row, a:b].tolist()
+                    else:
+                        runs.append([kind, s + a, s + b, margin[row, a:b].tolist()])
+                a = b
     out = []
-    for k, text in enumerate(texts):
+    for k, text in enumerate(read):
         taken = list(base[k])
-        for cut, _, kind, a, b in sorted(found.get(k, [])):
-            while a < b and text[a].isspace():
+        if text != texts[k]:  # what the patterns see in other scripts' signs
+            taken += [x for x in base_spans(text) if all(x[2] <= a or x[1] >= b for _, a, b in base[k])]
+        whole = addresses(text) if k in parts else []
+        added = set()
+        for kind, a, b, margins in parts.get(k, []):
+            sure = -sum(margins) / len(margins)
+            if kind == 0:
+                added |= {(sure, 0, x, y) for x, y in whole if a < y and b > x}
+                continue
+            while a < b and not (text[a] in "(+" or "0" <= text[a] <= "9"):
                 a += 1
-            while b > a and (text[b - 1].isspace() or text[b - 1] in ".,;:!?"):
+            while b > a and not "0" <= text[b - 1] <= "9":
                 b -= 1
-            if not cut and a < b and plausible(kind, text, a, b) and all(b <= x or a >= y for _, x, y in taken):
+            if a < b:
+                added.add((sure, kind, a, b))
+        for _, kind, a, b in sorted(added):
+            if plausible(kind, text, a, b) and all(b <= x or a >= y for _, x, y in taken):
                 taken.append((kind, a, b))
         out.append((base[k], sorted(taken)))
     return out

@@ -307,6 +307,26 @@ def test_personal_data_model(spark, docs, sf_dir):
     assert [r["text"] for r in out.orderBy("doc_id").collect()] == ["mail [EMAIL] or [PHONE], host [IP].", None]
 
 
+LONG = [
+    "alexander.montgomery-smith [at] example [dot] org",
+    "maximiliana.konstantinopolska-featherstonehaugh.the.third.of.her.name [at] example [dot] org",
+    "jane.doe [at] department-of-rather-long-names [dot] faculty-of-even-longer-names [dot] example [dot] org",
+]
+
+
+@pytest.fixture(scope="module")
+def tagger(spark, sf_dir):
+    return pii.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@pytest.mark.parametrize("item", LONG)
+def test_long_addresses_are_found_whole(tagger, item):
+    for before, after in (("Please write to ", " before noon."), ("", ""), ("word " * 30 + "mail: ", " and " + "more words " * 20)):
+        text = before + item + after
+        assert pii.tag_texts([text], tagger)[0][1] == [(0, len(before), len(before) + len(item))], text
+        assert pii.redact(text, pii.tag_texts([text], tagger)[0][1]) == f"{before}[EMAIL]{after}"
+
+
 def test_quality(spark, docs):
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (3, 1), (7, 0), (9, 1), (11, 0), (None, 1), (12, None), (77, 1)], "doc_id long, quality int")
     model = quality.fit(docs, labels, F.lit(True))
