@@ -90,12 +90,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # --- the model -------------------------------------------------------------------------------------------------
 
 LENGTH, STRIDE, REACH = 64, 32, 20  # characters of a window, between windows, around a trigger
-# At signs and dots, plain and spelled out.
-SPELLED_DOT = r" ?[\[(] ?(?:dot|\.) ?[\])] ?"
-AT = re.compile(r" ?[\[(] ?at ?[\])] ?| ?@ ?")
-AFTER_AT = re.compile(rf"[\w-]+(?:(?:{SPELLED_DOT}| \. |\.)[\w-]+)+")
-DOT_BEFORE = re.compile(rf"(?<=\w)(?:{SPELLED_DOT})\Z")
-CLOSED_AT = tuple(f"at{gap}{end}" for gap in ("", " ") for end in "])")
+# At signs and dots, plain and spelled out; a bare "at" is one only before a spelled-out dot.
+SPELLED_DOT = r" ?[\[({<] ?(?:dot|\.) ?[\])}>] ?| dot "
+AT = re.compile(rf" ?[\[({{<] ?(?:at|@) ?[\])}}>] ?| ?@ ?| at (?=[\w-]+(?:{SPELLED_DOT})\w)", re.I)
+AFTER_AT = re.compile(rf"[\w-]+(?:(?:{SPELLED_DOT}| \. |\.)[\w-]+)+", re.I)
+DOT_BEFORE = re.compile(rf"(?<=\w)(?:{SPELLED_DOT})\Z", re.I)
+CLOSED_AT = tuple(f"at{gap}{end}" for gap in ("", " ") for end in "])}>")
 OTHER_SIGNS = re.compile(r"(?![0-9])\d|[\uFF20\uFE6B\uFF0E]")
 N_CHARS = 100  # 0 pads; 1 white space; 2-96 ASCII; 97 letters beyond; 98 the rest
 N_TAGS = 1 + 2 * len(KINDS)  # O, then begin and inside of each kind

@@ -307,6 +307,13 @@ def test_personal_data_model(spark, docs, sf_dir):
     assert [r["text"] for r in out.orderBy("doc_id").collect()] == ["mail [EMAIL] or [PHONE], host [IP].", None]
 
 
+SPELLED_OUT = [
+    "jane.doe [AT] example [DOT] com",
+    "jane.doe{at}example{dot}com",
+    "jane at example dot com",
+    "jane.doe\uff20example.com",
+    "Jane (At) Example (Dot) Org",
+]
 LONG = [
     "alexander.montgomery-smith [at] example [dot] org",
     "maximiliana.konstantinopolska-featherstonehaugh.the.third.of.her.name [at] example [dot] org",
@@ -327,6 +334,18 @@ def test_long_addresses_are_found_whole(tagger, item):
         assert pii.redact(text, pii.tag_texts([text], tagger)[0][1]) == f"{before}[EMAIL]{after}"
 
 
+@pytest.mark.parametrize("item", SPELLED_OUT)
+def test_at_signs_in_any_spelling_are_read(tagger, item):
+    text = f"Please write to {item} before noon."
+    assert pii.tag_texts([text], tagger)[0][1] == [(0, 16, 16 + len(item))]
+
+
+def test_digits_of_any_script_are_read(tagger):
+    item = "4539 1488 0343 6467".translate({48 + d: 0x660 + d for d in range(10)})
+    assert pii.tag_texts([f"the card is {item} and more"], tagger)[0] == ([], [(2, 12, 31)])
+    assert pii.tag_texts(["look at example.com, then at the red dot there"], tagger)[0][1] == []
+
+
 def test_quality(spark, docs):
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (3, 1), (7, 0), (9, 1), (11, 0), (None, 1), (12, None), (77, 1)], "doc_id long, quality int")
     model = quality.fit(docs, labels, F.lit(True))
