@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscry.llm import decontam, idcoder, langid, neardup, packing, pii, quality, search, sql, substrings, urlrep
+from tabscry.llm import decontam, idcoder, jaccard, langid, neardup, packing, pii, quality, search, sql, substrings, urlrep
 from tabscry.queries.registry import table
 from tabscry.session import SETTINGS
 
@@ -98,3 +98,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 50-word windows that start in a document with a smaller id."""
     return substrings.without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op11_jaccard_join", sql.OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document over links with a Jaccard similarity of 0.8 on 5-word shingles."""
+    return jaccard.linked(table(spark, sf_dir, "documents"))

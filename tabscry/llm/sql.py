@@ -111,3 +111,6 @@ s AS (
 SELECT query_id, rank::INTEGER AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10
 """
+
+OP11 = OP1.replace(">= 85 *", ">= 80 *").replace(""" AS component_id,
+       doc_id = least(doc_id, coalesce(m, doc_id)) AS kept""", " AS component_id")
