@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscry.llm import decontam, idcoder, jaccard, langid, neardup, packing, pii, quality, search, sql, substrings, urlrep
+from tabscry.llm import decontam, idcoder, jaccard, langid, neardup, packing, phrases, pii, quality, search, sql, substrings, urlrep
 from tabscry.queries.registry import table
 from tabscry.session import SETTINGS
 
@@ -104,3 +104,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document over links with a Jaccard similarity of 0.8 on 5-word shingles."""
     return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
+@query("op12_collocations", sql.OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of each language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))

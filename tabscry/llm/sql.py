@@ -114,3 +114,27 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 
 OP11 = OP1.replace(">= 85 *", ">= 80 *").replace(""" AS component_id,
        doc_id = least(doc_id, coalesce(m, doc_id)) AS kept""", " AS component_id")
+
+OP12 = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^.,;:!?\x0A-\x0D]+') AS pieces FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(pieces), '[^\x20\x09]+') AS w FROM d),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+g AS (
+  SELECT lang, size, w[at : at + size - 1] AS g, count(*) AS f
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS at FROM p, range(1, 6) AS s(size) WHERE len(w) >= size)
+  GROUP BY ALL HAVING count(*) >= 100),
+c AS (
+  SELECT x.lang, x.size, x.g, x.f AS a, y.f AS l, z.f AS r, n, k,
+         (1000::HUGEINT * x.f * n) // (y.f::HUGEINT * z.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM g WHERE size > 1) x
+  JOIN g y ON y.lang = x.lang AND y.g = x.g[1 : k] JOIN g z ON z.lang = x.lang AND z.g = x.g[k + 1 : x.size] JOIN t ON t.lang = x.lang
+  QUALIFY row_number() OVER (PARTITION BY x.lang, x.g ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, g[i : j] AS g, max(f) AS most
+  FROM (SELECT *, unnest(range(i + 1, size + 1)) AS j FROM (SELECT *, unnest(range(1, size)) AS i FROM g WHERE size > 2))
+  WHERE j - i + 1 < size GROUP BY ALL),
+kept AS (
+  SELECT c.*, array_to_string(c.g, ' ') AS phrase FROM c LEFT JOIN inside ON inside.lang = c.lang AND inside.g = c.g WHERE most IS NULL OR 100 * most < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
