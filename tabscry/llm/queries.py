@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscry.llm import decontam, idcoder, jaccard, langid, neardup, packing, phrases, pii, quality, search, sql, substrings, urlrep
+from tabscry.llm import decontam, idcoder, jaccard, langid, neardup, packing, phrases, pii, quality, ranked, search, sql, substrings, urlrep
 from tabscry.queries.registry import table
 from tabscry.session import SETTINGS
 
@@ -110,3 +110,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 best collocations of each language."""
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_ranked_search", sql.OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -120,8 +120,8 @@ WITH d AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(translate(co
 p AS (SELECT lang, regexp_extract_all(unnest(pieces), '[^\x20\x09]+') AS w FROM d),
 t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
 g AS (
-  SELECT lang, size, w[at : at + size - 1] AS g, count(*) AS f
-  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS at FROM p, range(1, 6) AS s(size) WHERE len(w) >= size)
+  SELECT lang, size, w[pos : pos + size - 1] AS g, count(*) AS f
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS pos FROM p, range(1, 6) AS s(size) WHERE len(w) >= size)
   GROUP BY ALL HAVING count(*) >= 100),
 c AS (
   SELECT x.lang, x.size, x.g, x.f AS a, y.f AS l, z.f AS r, n, k,
@@ -138,3 +138,21 @@ kept AS (
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
 FROM kept QUALIFY rank <= 2000
 """
+
+OP13 = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+st AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
+wt AS (SELECT term, floor(1000 * ln((2 * n + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), st),
+q AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL),
+m AS (SELECT doc_id, 100 - 25 + ((25 * len(w) * n) // l) AS m FROM d, st),
+s AS (
+  SELECT item_id, doc_id, sum(times * wt.w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN wt USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20
+"""
