@@ -183,7 +183,7 @@ def ranked(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str =
         df = dict(map(tuple, index.select(F.explode("term").alias("t")).groupBy("t").count().collect()))  # at most one row a query term
         weights = spark.sparkContext.broadcast(np.array([weight(documents, df.get(c, 0)) for c in range(len(number))], np.int64))
         vectors = map_arrow(index.filter("id IS NOT NULL AND size(term) > 0"), _impacts(weights, documents, total), f"id {kind}, norm double, term array<int>, impact array<bigint>").filter("norm > 0")
-        vectors = written(vectors.repartitionByRange(F.desc("norm")).sortWithinPartitions(F.desc("norm")))
+        vectors = written(vectors.repartitionByRange(F.desc("norm"), F.xxhash64("id")).sortWithinPartitions(F.desc("norm")))  # ties are split
         queries = []
         for r in block:
             codes = np.array([number[o["term"]] for o in r["own"]])
