@@ -15,8 +15,11 @@ sets meet there. Only a set that fails under all ``DEALS`` deals gives its empty
 
 Signatures travel packed by ranges of their value to tasks that look for equal ones. A signature that many rows of one batch
 share is sent once and its rows go on directly. Sets that share a signature are candidates: each is compared on full sets with the
-bucket's centre (the member with most bucket mates); buckets that still hold several components are compared member by member in
-blocks of bounded size that are spread over tasks. Equal sets are one class, and classes are what is compared.
+bucket's centre (the member with most bucket mates). Buckets that still hold several components are looked at member by member, in
+blocks of bounded size, by parity maps: ``PARITY`` bits, each the parity of the set's shingles dealt to it. Two maps differ in no
+more bits than the sets do in shingles, so what differs in more than k is out for good. The closest pairs that would join components
+are compared on full sets; buckets where one of them fails are looked at again without the pairs that failed. What is open after
+``ROUNDS`` rounds is compared on full sets throughout. Equal sets are one class, and classes are what is compared.
 
 Nulls and edge cases: a null text or one without words has no shingles and is linked with nothing; fewer than 5 words are one
 shingle; rows without id are linked with nothing; rows that share an id are one document and share their component; repeated texts
@@ -47,6 +50,8 @@ SLOT_SIGNATURES = 2_000_000  # about so many a slot
 HELD = 3 * SLOT_SIGNATURES
 BATCH_REPEATS = 8
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 120_000
+PARITY = 2048
+ROUNDS, TRIES = 5, 8
 ONE = np.uint64(1)
 
 
@@ -229,7 +234,89 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        yield {"rep": batch.column("rep").to_pylist(), "items": [shingles(t).view(np.int64) for t in batch.column("text").to_pylist()]}
+        items = [shingles(t) for t in batch.column("text").to_pylist()]
+        yield {"rep": batch.column("rep").to_pylist(), "items": [x.view(np.int64) for x in items], "parity": [parity(x) for x in items]}
+
+
+def parity(items: np.ndarray) -> bytes:
+    return np.packbits(np.bincount((mixed(items) % np.uint64(PARITY)).astype(np.intp), minlength=PARITY) & 1 > 0).tobytes()
+
+
+def near_links(rep: list, comp: list, side: list[bool], sizes: list[int], maps: list[bytes], gone: list[list | None], percent: int, within: bool) -> list[tuple]:
+    """Pairs of members that may be linked by their parity maps, closest first, up to ``TRIES`` for what would join components.
+
+    ``gone`` lists what each member is known not to be linked with.
+    """
+    place = {r: i for i, r in enumerate(rep)}
+    bits = np.frombuffer(b"".join(maps), np.uint64).reshape(len(maps), -1)
+    n, comps, sides = np.array(sizes), np.unique(np.array(comp), return_inverse=True)[1], np.array(side)
+    found = []
+    for i in range(len(rep)):
+        wanted = (comps != comps[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (np.arange(len(rep)) > i)
+        if not within:
+            wanted &= sides != sides[i]
+        wanted[[place[x] for x in gone[i] or () if x in place]] = False
+        js = np.flatnonzero(wanted)
+        apart = np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1)
+        near = apart <= (n[js] + n[i]) * (100 - percent) // (100 + percent)
+        js, apart = js[near], apart[near]
+        # For a member, the closest one of each other component is enough.
+        order = np.argsort(apart, kind="stable")
+        first = np.unique(comps[js[order]], return_index=True)[1]
+        found += [(int(apart[o]), i, int(js[o])) for o in order[first]]
+    joined, taken, out = neardup.Union(), {}, []
+    for _, i, j in sorted(found):
+        ends = tuple(sorted((int(comps[i]), int(comps[j]))))
+        if 0 < taken.get(ends, 0) < TRIES or (ends not in taken and joined.join(*ends)):
+            taken[ends] = taken.get(ends, 0) + 1
+            out.append((rep[i], rep[j]))
+    return out
+
+
+def _near(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        """Rows come sorted by bucket and block pair."""
+        group, held = None, ([], [], [], [], [], [])
+
+        def close() -> Iterator[dict]:
+            if len(held[0]) > 1:
+                links = near_links(*held, percent, group[1] == group[2])
+                if links:
+                    yield {"key": [group[0]] * len(links), "a": [x for x, _ in links], "b": [y for _, y in links]}
+            for x in held:
+                x.clear()
+
+        for batch in batches:
+            for key, low, high, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "low", "high", "rep", "component", "upper", "n", "parity", "gone")), strict=True):
+                if group != (key, low, high):
+                    yield from close()
+                    group = (key, low, high)
+                for x, v in zip(held, row, strict=True):
+                    x.append(v)
+        yield from close()
+
+    return run
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    both = F.size(F.array_intersect("sa", "sb"))
+    read = pairs.join(sets.select(F.col("rep").alias("b"), F.col("items").alias("sb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("items").alias("sa")), "a")
+    return written(read.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
+
+
+def blocked(cand: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, dealt out to pairs of blocks."""
+    placed = cand.join(found, cand["rep"] == found["node"], "left").select("key", "rep", "n", "c", "load", F.coalesce("component", "rep").alias("component"))
+    several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    blocks = F.ceil(F.greatest(F.col("c") / BLOCK_ROWS, F.col("load") / BLOCK_SHINGLES)).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    spread = placed.join(several, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return spread.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "rep", "n", "component", (F.col("own") > F.col("other")).alias("upper"))
+
+
+def by_block(df: DataFrame) -> DataFrame:
+    return df.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "rep")
 
 
 def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
@@ -257,22 +344,37 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent:
 
     prefilter_joins(docs.sparkSession)
     wanted = written(cand.groupBy("rep").agg(F.max("c").alias("c"))).filter("c > 1")
-    sets = written(map_arrow(texts.join(wanted, texts["id"] == wanted["rep"]).select("rep", "text"), _sets, f"rep {kind}, items array<bigint>"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    read = pairs.join(sets.select(F.col("rep").alias("b"), F.col("items").alias("sb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("items").alias("sa")), "a")
-    stars = written(read.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
-
-    first = components(stars)
-    placed = cand.filter("c > 2").join(first, cand["rep"] == first["node"], "left").select("key", "rep", "c", "load", F.coalesce("component", "rep").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    blocks = F.ceil(F.greatest(F.col("c") / BLOCK_ROWS, F.col("load") / BLOCK_SHINGLES)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    spread = placed.join(open_keys, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    spread = spread.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "rep", "component", (F.col("own") > F.col("other")).alias("upper"))
-    dealt = spread.join(sets, "rep").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "rep")
-    links = map_arrow(dealt, neardup._compared(percent), f"a {kind}, b {kind}")
+    sets = written(map_arrow(texts.join(wanted, texts["id"] == wanted["rep"]).select("rep", "text"), _sets, f"rep {kind}, items array<bigint>, parity binary"))
+    links = verified(pairs, sets, percent)
+    final = components(links)
+
+    # With two members the centre has decided.
+    cand = left = cand.filter("c > 2")
+    gone = None
+    for turn in range(ROUNDS + 1):
+        dealt = blocked(left, final)
+        if turn == ROUNDS:
+            dealt = by_block(dealt.join(sets.select("rep", "items"), "rep"))
+            links = links.union(written(map_arrow(dealt, neardup._compared(percent), f"a {kind}, b {kind}")))
+            final = components(links)
+            break
+        dealt = dealt.join(sets.select("rep", "parity"), "rep")
+        if gone is None:
+            dealt = dealt.withColumn("gone", F.lit(None).cast(f"array<{kind}>"))
+        else:
+            both = gone.union(gone.select("b", "a")).groupBy("a").agg(F.collect_set("b").alias("gone"))
+            dealt = dealt.join(both.withColumnRenamed("a", "rep"), "rep", "left")
+        near = written(map_arrow(by_block(dealt), _near(percent), f"key bigint, a {kind}, b {kind}"))
+        close = verified(near.select("a", "b").distinct(), sets, percent)
+        failed = written(near.join(close, ["a", "b"], "left_anti"))
+        links = links.union(close)
+        final = components(links)
+        if failed.isEmpty():
+            break
+        new = failed.select("a", "b").distinct()
+        gone = new if gone is None else gone.union(new)
+        left = cand.join(failed.select("key").distinct(), "key", "left_semi")
 
-    final = components(stars.union(links))
     groups = classes.join(final, classes["rep"] == final["node"], "left").select("digest", F.coalesce("component", "rep").alias("root"))
     out = rows.join(groups, "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component_id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id")

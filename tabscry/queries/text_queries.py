@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabscry.functions import text as tx
 from tabscry.operators import similarity as sim
 from tabscry.operators import textops as to
+from tabscry.operators.text_join import LOWER, UPPER, text_join
 from tabscry.queries.registry import query, rnd, table, union
 from tabscry.session import spread
 
@@ -207,6 +208,30 @@ def semantic_join(spark, d):
     return sim.semantic_join(vectors, vectors, "vec_id", "vec_id", "embedding", 0.35)
 
 
+def text_join_sql(n: int, condition: str, similarity: str, kind: str) -> str:
+    """Documents joined to benchmark items by shared word n-grams."""
+    words = lambda t, key: f"""SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM {t}"""
+    sets = lambda t, key: f"SELECT DISTINCT {key}, array_to_string(w[p : p + {n - 1}], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - {n - 1}, 1) + 1)) AS p FROM {t} WHERE len(w) > 0)"
+    return f"""WITH dw AS ({words('documents', 'doc_id')}), iw AS ({words('benchmark', 'item_id')}),
+        d AS ({sets('dw', 'doc_id')}), i AS ({sets('iw', 'item_id')}),
+        dn AS (SELECT doc_id, count(*) AS ln FROM d GROUP BY doc_id), n AS (SELECT item_id, count(*) AS rn FROM i GROUP BY item_id),
+        s AS (SELECT doc_id, item_id, count(*) AS k FROM d JOIN i USING (g) GROUP BY ALL),
+        m AS (SELECT doc_id AS l, item_id AS r, {rnd(similarity)} AS similarity FROM s JOIN dn USING (doc_id) JOIN n USING (item_id) WHERE {condition})
+        SELECT doc_id AS left_doc_id, item_id AS right_item_id, similarity FROM documents {kind} JOIN m ON l = doc_id {kind} JOIN benchmark ON item_id = r"""
+
+
+@query("text_join", text_join_sql(2, "100 * k >= 50 * rn", "k / rn", "LEFT"))
+def text_join_contained(spark, d):
+    """Every document with the benchmark items of which it holds half of the word pairs."""
+    return text_join(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", "text", "text", 50, "containment", 2)
+
+
+@query("text_join_full", text_join_sql(1, "100 * k >= 25 * (ln + rn - k)", "k / (ln + rn - k)", "FULL"))
+def text_join_full(spark, d):
+    """Documents and benchmark items of which a quarter of all words is shared, and all rows without such a partner."""
+    return text_join(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", "text", "text", 25, how="full")
+
+
 @query("semantic_join_lsh")
 def semantic_join_lsh(spark, d):
     vectors = table(spark, d, "embeddings")

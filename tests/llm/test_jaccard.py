@@ -65,6 +65,22 @@ def test_other_sets_share_none():
     assert sum(c > 1 for c in seen.values()) <= 5
 
 
+def test_parity_maps_never_differ_in_more_bits_than_the_sets(monkeypatch):
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 300, rng.integers(1, 250)).astype(np.uint64)) for _ in range(2))
+        maps = [np.frombuffer(jaccard.parity(x), np.uint64) for x in (a, b)]
+        assert np.bitwise_count(maps[0] ^ maps[1]).sum() <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_what_is_open_after_the_rounds_is_compared_on_full_sets(spark, monkeypatch, rounds):
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"x{rng.integers(0, 4)}" if rng.random() < 0.03 else w for w in BASE)) for i in range(60)]
+    check(spark, rows, 75)
+
+
 def test_edges(spark):
     check(spark, [(i, t) for i, t, _ in EDGES])
 
