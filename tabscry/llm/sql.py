@@ -101,10 +101,9 @@ WITH d AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
 st AS (SELECT count(*) AS n, sum(len(w))::DOUBLE / count(*) AS mean FROM d),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) > 1),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 q AS (
-  SELECT doc_id AS query_id, term, df FROM tf JOIN df USING (term) WHERE doc_id % 20 = 0
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY df, encode(term)) <= 8),
+  SELECT doc_id AS query_id, term, df FROM tf JOIN df USING (term) WHERE doc_id % 20 = 0),
 s AS (
   SELECT query_id, tf.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))), 6) AS score
   FROM q JOIN tf USING (term) JOIN d ON d.doc_id = tf.doc_id, st GROUP BY query_id, tf.doc_id)

@@ -64,7 +64,7 @@ def shingle_set(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     sets = {}
     for i, t in rows:
         if i is not None:
@@ -77,7 +77,7 @@ def brute_components(rows):
         return x
 
     for a, b in combinations(sets, 2):
-        if any(x and y and 100 * len(x & y) >= 85 * len(x | y) for x in sets[a] for y in sets[b]):
+        if any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
             a, b = sorted((root(a), root(b)))
             up[b] = a
     return {i: root(i) for i in sets}
@@ -480,7 +480,7 @@ def test_pipeline(spark, sf_dir):
         seen.append(at)
     rejected, single, clean, redacted, packed = (x.toPandas() for x in seen)
     assert all(set(x.columns) == set(docs.columns) for x in (rejected, single, clean, redacted))
-    roots = brute_components(list(zip(rejected.doc_id.tolist(), rejected.text.tolist(), strict=True)))
+    roots = brute_components(list(zip(rejected.doc_id.tolist(), rejected.text.tolist(), strict=True)), 80)
     assert sorted(single.doc_id) == sorted({i for i, r in roots.items() if i == r})
     hits = decontam.contamination(seen[1], spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("NOT contaminated")
     assert sorted(clean.doc_id) == sorted(r["doc_id"] for r in hits.collect())
