@@ -175,10 +175,14 @@ def repair_conflicts(
     strategy: str,
     only_conflicting: bool = True,
     fill_nulls: bool = False,
+    basis: DataFrame | None = None,
 ) -> DataFrame:
-    """Give every conflicting group one value; nulls are left to the null repair."""
+    """Give every conflicting group one value; nulls are left to the null repair.
+
+    Groups and values come from ``basis``, the table itself unless given: a plan's conflicts are those before its fill.
+    """
     kind = df.schema[column].dataType
-    targets = conflict_targets(df, column, group_by, strategy, only_conflicting)
+    targets = conflict_targets(df if basis is None else basis, column, group_by, strategy, only_conflicting)
     hit = c("target").isNotNull() & (F.lit(fill_nulls) | c(column).isNotNull())
     return (
         df.join(targets, list(group_by), "left")

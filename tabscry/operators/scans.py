@@ -109,12 +109,35 @@ def conflict_row_count(df: DataFrame, column: str, group_by: Sequence[str]) -> D
     return groups.agg(F.coalesce(F.sum(F.when(c("distinct_values") > 1, c("n"))), F.lit(0)).alias("conflict_rows"))
 
 
+def row_digests(df: DataFrame) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a whole row. Columns count in the order of their names; a null differs from every value."""
+    nested = (T.ArrayType, T.StructType, T.MapType, T.VariantType)
+    parts: list[Column] = []
+    for f in sorted(df.schema.fields, key=lambda f: f.name):
+        cell = c(f"`{f.name}`")
+        parts += [cell.isNull(), F.to_json(F.struct(cell), {"ignoreNullFields": "false"}) if isinstance(f.dataType, nested) else cell]
+    return F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)
+
+
+def content_digest(df: DataFrame) -> Column:
+    """An aggregate over all rows that any edit, insert or delete changes, whatever the order and the files of the rows.
+
+    A multiset digest: sums of two 64-bit row hashes (repeats count, which an exclusive or alone would cancel) and their
+    exclusive ors.
+    """
+    one, two = row_digests(df)
+    total = lambda h: F.coalesce(F.sum(h.cast("decimal(28,0)")), F.lit(0)).cast("string")
+    mixed = lambda h: F.coalesce(F.bit_xor(h), F.lit(0)).cast("string")
+    return F.concat_ws(":", total(one), total(two), mixed(one), mixed(two))
+
+
 def snapshot(
     df: DataFrame, column: str, group_by: Sequence[str] = (), time: str | None = None
 ) -> DataFrame:
-    """The facts a plan is bound to, with a signature over these facts only."""
+    """The facts a plan is bound to, with a signature over these facts and the content of all rows."""
     none = F.max(F.lit(None).cast("string"))
     facts = df.agg(
+        content_digest(df).alias("_content"),
         F.count(F.lit(1)).alias("total_count"),
         F.count_if(c(column).isNull()).alias("null_count"),
         (stamp(F.min(time)) if time else none).alias("min_time"),
@@ -127,7 +150,7 @@ def snapshot(
         facts = facts.withColumn("conflict_rows", F.lit(None).cast("long"))
     facts = facts.withColumn("group_by", F.lit(",".join(group_by))).withColumn("column_name", F.lit(column))
     signed = ["column_name", "group_by", "total_count", "null_count", "min_time", "max_time", "conflict_rows"]
-    return facts.select(*signed, F.sha2(F.to_json(F.struct(*signed)), 256).alias("signature"))
+    return facts.select(*signed, F.sha2(F.to_json(F.struct(*signed, "_content")), 256).alias("signature"))
 
 
 def plan_consistency(full: DataFrame, sample: DataFrame) -> DataFrame:

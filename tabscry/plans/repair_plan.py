@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tabscry.operators import repair as r
 from tabscry.operators.scans import plan_consistency, scan_conflicts, snapshot
+from tabscry.session import broadcast_if_small, cut
+from tabscry.sources import versions
 from tabscry.sources.relation import publish, version_path
 
 c = F.col
@@ -50,9 +52,6 @@ def _fill_facts(df: DataFrame, req: RepairRequest) -> DataFrame:
             F.lit(False).alias("requires_manual_default"),
         )
     value = r.fill_value(df, req.column, strategy)
-    text = c("fill_value")
-    if dict(value.dtypes)["fill_value"] == "double":
-        text = F.round(text, 4)
     missing = c("fill_value").isNull()
     if req.fill_group_by:
         fallback, why, basis = "group_median_impute", grouped, "group_similarity"
@@ -61,7 +60,7 @@ def _fill_facts(df: DataFrame, req: RepairRequest) -> DataFrame:
         why = "The column holds no value to fill from; name group columns or give a default."
     return value.select(
         F.when(missing, fallback).otherwise(strategy).alias("strategy"),
-        text.cast("string").alias("fill_value"),
+        c("fill_value").cast("string").alias("fill_value"),  # exact: what is approved is what is written
         F.when(missing, why).otherwise(r.NULL_REASON.get(strategy, "")).alias("reason"),
         F.when(missing, basis).otherwise("analysis_rows_non_null").alias("basis"),
         (missing & F.lit(not req.fill_group_by)).alias("requires_manual_default"),
@@ -191,7 +190,7 @@ def repaired(df: DataFrame, req: RepairRequest) -> DataFrame:
         df, req.column, req.null_strategy, order_by=req.order_by, entity=req.entity, group_by=req.fill_group_by, grain=req.grain
     )
     if req.group_by:
-        out = r.repair_conflicts(out, req.column, req.group_by, req.conflict_strategy)
+        out = r.repair_conflicts(out, req.column, req.group_by, req.conflict_strategy, basis=df)
     return out
 
 
@@ -244,7 +243,7 @@ def repaired_by_plan(df: DataFrame, req: RepairRequest, plan: DataFrame) -> Data
             out = r.fill(out, req.column, step["strategy"], df.sparkSession.range(1).select(F.lit(step["fill_value"]).alias("fill_value")))
     out = out.withColumn("_between", c(req.column))
     if step := steps.get("conflict_repair"):
-        out = r.repair_conflicts(out, req.column, req.group_by, step["strategy"])
+        out = r.repair_conflicts(out, req.column, req.group_by, step["strategy"], basis=df)
     return out
 
 
@@ -275,9 +274,27 @@ def _apply(df: DataFrame, req: RepairRequest, plan: DataFrame, approvals: DataFr
     if status != "approved":
         raise PermissionError(status)
     tracked = repaired_by_plan(df, req, plan)
-    if audit_path:
-        plan_audit(tracked, req, plan).write.mode("append").parquet(audit_path)
-    return publish(tracked.drop("_before", "_between"), target)
+    if not audit_path:
+        return publish(tracked.drop("_before", "_between"), target)
+    changes = changed_rows(tracked, req)
+    plan_audit(changes, req, plan).write.mode("append").parquet(audit_path)
+    return publish(with_changes(df, changes, req), target)
+
+
+def changed_rows(tracked: DataFrame, req: RepairRequest, *also: str) -> DataFrame:
+    """The rows that a repair changes, computed once and kept: audit and table are both made from them."""
+    if not req.row_id:
+        raise ValueError("row_id_missing")
+    touched = ~c("_before").eqNullSafe(c("_between")) | ~c("_between").eqNullSafe(c(req.column))
+    return cut(tracked.filter(touched).select(req.row_id, req.column, "_before", "_between", *also))
+
+
+def with_changes(df: DataFrame, changes: DataFrame, req: RepairRequest) -> DataFrame:
+    """The table with the changed values put in by row id, which an approved plan has found to be unique."""
+    new = changes.select(c(req.row_id).alias("_changed_id"), c(req.column).alias("_changed"), F.lit(True).alias("_hit"))
+    joined = df.join(broadcast_if_small(new), c(req.row_id) == c("_changed_id"), "left")
+    value = F.when(F.coalesce("_hit", F.lit(False)), c("_changed")).otherwise(c(req.column))
+    return joined.withColumn(req.column, value).select(*df.columns)
 
 
 def apply_to_copy(df: DataFrame, req: RepairRequest, target: str, plan: DataFrame, approvals: DataFrame, audit_path: str | None = None) -> str:
@@ -296,3 +313,21 @@ def apply_to_source(spark: SparkSession, view: str, req: RepairRequest, root: st
     path = _apply(spark.table(view), req, plan, approvals, version_path(root), audit_path)
     spark.read.parquet(path).createOrReplaceTempView(view)
     return path
+
+
+def apply_to_files(spark: SparkSession, root: str, req: RepairRequest, plan: DataFrame, approvals: DataFrame, audit_path: str) -> int:
+    """Apply an approved plan to the newest version of a table of files (``sources.versions``); the new version's number.
+
+    Only the files that hold changed rows are read again and rewritten; all others stay in place and belong to both
+    versions. Going back is ``versions.restore``.
+    """
+    base = versions.newest(spark, root)
+    df = versions.read(spark, root, base)
+    status = approval_status(df, req, plan, approvals)
+    if status != "approved":
+        raise PermissionError(status)
+    changes = changed_rows(repaired_by_plan(df.withColumn("_file", F.input_file_name()), req, plan), req, "_file")
+    plan_audit(changes, req, plan).write.mode("append").parquet(audit_path)
+    touched = [row["_file"] for row in changes.select("_file").distinct().collect()]  # at most one a file
+    rows = with_changes(spark.read.schema(df.schema).parquet(*touched), changes, req) if touched else df.limit(0)
+    return versions.replace_files(spark, root, base, touched, rows)

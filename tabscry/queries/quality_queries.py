@@ -12,6 +12,7 @@ from tabscry.operators import repair as r
 from tabscry.operators import scans as s
 from tabscry.operators import typing_rules as t
 from tabscry.plans import repair_plan as rp
+from tabscry.sources import versions
 from tabscry.plans.report import column_facts, quality_report
 from tabscry.queries.profile import distribution_sql
 from tabscry.queries.registry import BLANKED, events_blanked, query, rnd, stamp, table, union
@@ -417,6 +418,11 @@ PLAN = f"""{BLANKED}, a AS (SELECT count(*) AS total, count(*) - count(value) AS
    cr AS (SELECT count(*) AS crows FROM blanked SEMI JOIN (SELECT user_id, event_type FROM {PLAN_GROUPS} WHERE v > 1) USING (user_id, event_type))"""
 
 
+def shown(plan):
+    """A plan for reading: the fill value to four decimals. The plan itself holds it exactly."""
+    return plan.withColumn("fill_value", F.round(c("fill_value").cast("double"), 4).cast("string"))
+
+
 @query(
     "repair_plan",
     f"""WITH {PLAN}, s AS (
@@ -427,7 +433,7 @@ PLAN = f"""{BLANKED}, a AS (SELECT count(*) AS total, count(*) - count(value) AS
                'time_travel' AS rollback FROM s, a, g""",
 )
 def repair_plan(spark, d):
-    plan = rp.repair_plan(events_blanked(spark, d), REQUEST)
+    plan = shown(rp.repair_plan(events_blanked(spark, d), REQUEST))
     return plan.select(
         "column_name", "step_no", "step", "strategy", "estimated_rows", "estimated_groups", "fill_value", "total_count",
         "requires_manual_review", "forbidden", "apply_ready", "summary", "rollback",
@@ -441,7 +447,7 @@ def repair_plan(spark, d):
         UNION ALL SELECT 'conflict_repair', 'Groups by user_id, event_type hold more than one value.', 'conflict_groups', NULL, FALSE FROM a""",
 )
 def repair_rationale(spark, d):
-    return rp.repair_plan(events_blanked(spark, d), REQUEST).select("step", "reason", "basis", "fill_value", "requires_manual_default")
+    return shown(rp.repair_plan(events_blanked(spark, d), REQUEST)).select("step", "reason", "basis", "fill_value", "requires_manual_default")
 
 
 def plan_rows(spark, d):
@@ -525,6 +531,21 @@ def repaired_source(spark, d):
     return spark.table(view).select("event_id", rounded(c("value")).alias("value"))
 
 
+@query(
+    "repaired_files",
+    f"""WITH {BLANKED}, f AS (SELECT event_id, {FORWARD} AS value FROM blanked)
+        SELECT event_id, value FROM f""",
+)
+def repaired_files(spark, d):
+    """Apply to a table of files: only files with changed rows are rewritten."""
+    root = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    events_blanked(spark, d).write.parquet(f"{root}/source")
+    versions.start(spark, root, f"{root}/source")
+    plan = rp.repair_plan(versions.read(spark, root), FORWARD_REQUEST)
+    rp.apply_to_files(spark, root, FORWARD_REQUEST, plan, approvals_of(plan), f"{root}/audit")
+    return versions.read(spark, root).select("event_id", "value")
+
+
 @query(
     "repair_audit",
     f"""WITH {BLANKED}, f AS (SELECT event_id, value AS old, {FORWARD} AS new FROM blanked)

@@ -1,5 +1,6 @@
 """Metamorphic checks of scan, plan, approve, apply, audit and rollback."""
 
+import os
 import uuid
 
 import pytest
@@ -11,6 +12,7 @@ from tabscry.plans import repair_plan as rp
 from tabscry.queries.quality_queries import approvals_of
 from tabscry.queries.registry import events_blanked, table
 from tabscry.sources import relation as rel
+from tabscry.sources import versions
 
 
 @pytest.fixture(scope="module")
@@ -211,3 +213,79 @@ def test_column_workflow(spark, sf_dir):
     kinds = {"event_type": "categorical", "ts": "temporal", "props": "text", "event_id": "id"}
     for column, kind in kinds.items():
         assert all(df.count() > 0 for df in analyze_column(events, column, kind, numerics=["value"]).values())
+
+
+def test_signature_follows_the_content(spark):
+    rows = [(1, "a", 1.0, None), (2, "a", 2.0, "x"), (3, "b", None, "y"), (3, "b", None, "y")]
+    sign = lambda data, n=1: s.snapshot(spark.createDataFrame(data, "id long, g string, v double, t string").repartition(n), "v", ["g"]).first()["signature"]
+    first = sign(rows)
+    assert first == sign(rows[::-1], 3)
+    others = [
+        [(1, "a", 2.0, None), (2, "a", 1.0, "x"), *rows[2:]],  # two values changed places
+        [(1, "a", 1.0, "x"), (2, "a", 2.0, None), *rows[2:]],
+        [*rows[:2], (3, "b", None, "z"), (3, "b", None, "z")],  # a pair of equal rows changed alike
+        rows[:3], [*rows, rows[0]], [*rows[:2], (3, None, None, "b"), (3, "b", None, "y")],
+    ]
+    assert len({first, *map(sign, others)}) == 7
+    nested = spark.createDataFrame([(1, [1, None], {"a": 1})], "id long, v array<int>, m map<string,int>")
+    other = spark.createDataFrame([(1, [None, 1], {"a": 1})], nested.schema)
+    assert s.snapshot(nested, "id").first()["signature"] != s.snapshot(other, "id").first()["signature"]
+    assert s.snapshot(nested.limit(0), "id").first()["signature"]
+
+
+def test_an_edit_after_the_plan_is_refused(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1.0), (2, None), (3, 5.0)], "event_id long, value double")
+    request = rp.RepairRequest(column="value", null_strategy="mean", row_id="event_id", table_ref="t")
+    plan = rp.repair_plan(df, request)
+    edited = df.withColumn("value", F.when(F.col("event_id") == 1, 5.0).when(F.col("event_id") == 3, 1.0))
+    with pytest.raises(PermissionError, match="snapshot_mismatch"):
+        rp.apply_to_copy(edited, request, str(tmp_path / "t"), plan, approvals_of(plan))
+
+
+def test_the_exact_fill_is_written(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1.2e-5), (2, None), (3, 1.6e-5)], "event_id long, value double")
+    request = rp.RepairRequest(column="value", null_strategy="mean", row_id="event_id", table_ref="t")
+    plan = rp.repair_plan(df, request)
+    path = rp.apply_to_copy(df, request, str(tmp_path / "t"), plan, approvals_of(plan))
+    want = df.agg(F.avg("value")).first()[0]
+    assert spark.read.parquet(path).filter("event_id = 2").first()["value"] == want != 0
+
+
+def test_conflicts_are_those_of_the_plan(spark, tmp_path):
+    rows = [(1, "A", 5.0), (2, "A", None), (3, "B", 7.0), (4, "B", 9.0), (5, "B", None), (6, "C", 7.0)]
+    df = spark.createDataFrame(rows, "event_id long, g string, value double")
+    request = rp.RepairRequest(column="value", null_strategy="median", conflict_strategy="median", group_by=("g",), row_id="event_id", table_ref="t")
+    plan = rp.repair_plan(df, request)
+    assert {x["step"]: x["estimated_groups"] for x in plan.collect()}["conflict_repair"] == 1
+    path = rp.apply_to_copy(df, request, str(tmp_path / "t"), plan, approvals_of(plan), str(tmp_path / "a"))
+    got = {x["event_id"]: x["value"] for x in spark.read.parquet(path).collect()}
+    assert got == {1: 5.0, 2: 7.0, 3: 8.0, 4: 8.0, 5: 8.0, 6: 7.0}
+    audit = spark.read.parquet(str(tmp_path / "a"))
+    assert sorted(map(tuple, audit.select("row_id", "repair_type", "before", "after").collect()), key=repr) == sorted(
+        [("2", "null_repair", None, "7.0"), ("5", "null_repair", None, "7.0"), ("3", "conflict_repair", "7.0", "8.0"),
+         ("4", "conflict_repair", "9.0", "8.0"), ("5", "conflict_repair", "7.0", "8.0")], key=repr)
+    assert as_rows(r.rollback(spark.read.parquet(path), audit, "event_id", "value")) == as_rows(df)
+
+
+def test_only_files_with_changed_rows_are_rewritten(spark, tmp_path):
+    root, source = str(tmp_path / "table"), str(tmp_path / "source")
+    rows = [(i, f"g{i // 10}", None if i in (31, 35, 72) else float(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "event_id long, g string, value double")
+    df.repartitionByRange(10, "event_id").write.parquet(source)
+    versions.start(spark, root, source)
+    before = {f: os.stat(f.removeprefix("file://")).st_mtime_ns for f in versions.files_of(spark, root)}
+    request = rp.RepairRequest(column="value", null_strategy="zero", row_id="event_id", table_ref="t")
+    plan = rp.repair_plan(versions.read(spark, root), request)
+    with pytest.raises(PermissionError, match="approval_required"):
+        rp.apply_to_files(spark, root, request, plan, approvals_of(plan).limit(0), str(tmp_path / "a"))
+    assert rp.apply_to_files(spark, root, request, plan, approvals_of(plan), str(tmp_path / "a")) == 1
+    kept = set(versions.files_of(spark, root)) & set(before)
+    assert len(before) - len(kept) == 2
+    assert all(os.stat(f.removeprefix("file://")).st_mtime_ns == t for f, t in before.items())
+    want = [(i, g, 0.0 if v is None else v) for i, g, v in rows]
+    assert sorted(map(tuple, versions.read(spark, root).collect())) == want
+    assert spark.read.parquet(str(tmp_path / "a")).count() == 3
+    again = rp.repair_plan(versions.read(spark, root), request)
+    assert again.filter("step IS NOT NULL").isEmpty()
+    assert versions.restore(spark, root, 0) == 2
+    assert as_rows(versions.read(spark, root)) == as_rows(df) and sorted(map(tuple, versions.read(spark, root, 1).collect())) == want
