@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tabscry.functions.numeric import rounded
 from tabscry.functions.temporal import stamp as stamp_col
 from tabscry.operators import oplog
-from tabscry.queries.quality_queries import HOLES, events_with_holes, shared_folder
+from tabscry.queries.quality_queries import shared_folder
 from tabscry.queries.registry import BLANKED, query, rnd, stamp, table
 from tabscry.streaming import checks
 
@@ -70,14 +70,16 @@ def call_batches(spark, d):
 
 @query(
     "call_batches_holes",
-    f"""WITH {HOLES}, calls AS (SELECT event_id, user_id, ts, ts + to_minutes(CAST(floor(value * 10) + 1 AS INTEGER)) AS ended FROM holes WHERE value IS NOT NULL),
+    """WITH calls AS (SELECT event_id, user_id, ts, ts + to_minutes(CAST(floor(value * 10) + 1 AS INTEGER)) AS ended
+          FROM (SELECT event_id, value, CASE WHEN event_id % 13 <> 0 THEN user_id END AS user_id, CASE WHEN event_id % 17 <> 0 THEN ts END AS ts FROM events)),
         f AS (SELECT *, CASE WHEN ts IS NULL THEN NULL WHEN max(ended) OVER w IS NULL OR max(ended) OVER w < ts THEN 1 ELSE 0 END AS opens FROM calls
           WINDOW w AS (PARTITION BY user_id, ts IS NULL ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
         SELECT event_id, user_id, CASE WHEN ts IS NOT NULL THEN CAST(sum(opens) OVER (PARTITION BY user_id, ts IS NULL ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS batch_no FROM f""",
 )
 def call_batches_holes(spark, d):
     """Call batches over null agents and starts: no call is lost."""
-    calls = events_with_holes(spark, d).filter("value IS NOT NULL").withColumn("ended", c("ts") + F.expr(GAP))
+    calls = table(spark, d, "events").withColumn("user_id", F.when(c("event_id") % 13 != 0, c("user_id")))
+    calls = calls.withColumn("ts", F.when(c("event_id") % 17 != 0, c("ts"))).withColumn("ended", c("ts") + F.expr(GAP))
     return oplog.call_batches(calls, ["user_id"], "ts", "ended", "event_id").select("event_id", "user_id", "batch_no")
 
 

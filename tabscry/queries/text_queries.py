@@ -8,6 +8,7 @@ from tabscry.functions import text as tx
 from tabscry.operators import similarity as sim
 from tabscry.operators import textops as to
 from tabscry.operators.text_join import LOWER, UPPER, text_join
+from tabscry.operators.vector_index import semantic_join_ivf
 from tabscry.queries.registry import query, rnd, table, union
 from tabscry.session import spread
 
@@ -238,6 +239,18 @@ def semantic_join_lsh(spark, d):
     return sim.semantic_join_lsh(vectors, vectors, "vec_id", "vec_id", "embedding", 0.35)
 
 
+@query(
+    "semantic_join_ivf",
+    f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        m AS (SELECT a.vec_id AS l, b.vec_id AS r, list_cosine_similarity(a.e, b.e) AS s FROM v a, v b WHERE list_cosine_similarity(a.e, b.e) >= 0.9)
+        SELECT vec_id AS left_vec_id, r AS right_vec_id, {rnd('s')} AS similarity FROM v LEFT JOIN m ON l = vec_id""",
+)
+def semantic_join_by_cells(spark, d):
+    """Vectors with a cosine similarity of 0.9, compared within the nearest cells only."""
+    vectors = table(spark, d, "embeddings")
+    return semantic_join_ivf(vectors, vectors, "vec_id", "vec_id", "embedding", 0.9)
+
+
 @query("embed_text")
 def embed_text(spark, d):
     return to.embed_text(table(spark, d, "documents").select("doc_id", "text"), "text").drop("text")
@@ -330,8 +343,8 @@ def echo_model(prompts: list[str]) -> list[str]:
 
 @query(
     "map_with_model",
-    "SELECT doc_id, CASE WHEN doc_id % 10 <> 0 THEN '14:' || length(text) END AS ai_response FROM documents",
+    "SELECT doc_id, '14:' || length(text) AS ai_response FROM documents",
 )
 def map_with_model(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.when(c("doc_id") % 10 != 0, c("text")).alias("text"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
     return to.map_with_model(docs, "text", "Name the topic", echo_model).drop("text")

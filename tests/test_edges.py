@@ -237,3 +237,11 @@ def test_conflicts_of_many_columns_equal_those_of_each(spark):
 def test_conflicts_of_nested_values(spark):
     df = spark.createDataFrame([(1, [1, None]), (1, [1]), (2, [None, 1]), (2, [None, 1])], "k int, a array<int>")
     assert s.scan_conflicts(df, "a", ["k"]).first()["conflict_groups"] == 1
+
+
+def test_a_model_gets_no_missing_text(spark):
+    from tabscry.operators import textops as to
+
+    df = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "id long, text string")
+    got = {x["id"]: x["ai_response"] for x in to.map_with_model(df, "text", "Say", lambda prompts: [p.upper() for p in prompts]).collect()}
+    assert got[2] is None and got[1].startswith("SAY") and got[1].endswith("A B") and got[3] is not None
