@@ -315,6 +315,17 @@ def blocked(cand: DataFrame, found: DataFrame) -> DataFrame:
     return spread.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "rep", "n", "component", (F.col("own") > F.col("other")).alias("upper"))
 
 
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) after further links, from the links between components alone."""
+    if links.isEmpty():
+        return found
+    of = lambda end, name: found.select(F.col("node").alias(end), F.col("component").alias(name))
+    ends = links.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left")
+    roots = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    moved = found.join(roots.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left")
+    return written(moved.select("node", F.coalesce("root", "component").alias("component")).union(roots.join(found, "node", "left_anti")))
+
+
 def by_block(df: DataFrame) -> DataFrame:
     return df.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "rep")
 
@@ -345,8 +356,7 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent:
     prefilter_joins(docs.sparkSession)
     wanted = written(cand.groupBy("rep").agg(F.max("c").alias("c"))).filter("c > 1")
     sets = written(map_arrow(texts.join(wanted, texts["id"] == wanted["rep"]).select("rep", "text"), _sets, f"rep {kind}, items array<bigint>, parity binary"))
-    links = verified(pairs, sets, percent)
-    final = components(links)
+    final = components(verified(pairs, sets, percent))
 
     # With two members the centre has decided.
     cand = left = cand.filter("c > 2")
@@ -355,8 +365,7 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent:
         dealt = blocked(left, final)
         if turn == ROUNDS:
             dealt = by_block(dealt.join(sets.select("rep", "items"), "rep"))
-            links = links.union(written(map_arrow(dealt, neardup._compared(percent), f"a {kind}, b {kind}")))
-            final = components(links)
+            final = merged(final, written(map_arrow(dealt, neardup._compared(percent), f"a {kind}, b {kind}")))
             break
         dealt = dealt.join(sets.select("rep", "parity"), "rep")
         if gone is None:
@@ -367,8 +376,7 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent:
         near = written(map_arrow(by_block(dealt), _near(percent), f"key bigint, a {kind}, b {kind}"))
         close = verified(near.select("a", "b").distinct(), sets, percent)
         failed = written(near.join(close, ["a", "b"], "left_anti"))
-        links = links.union(close)
-        final = components(links)
+        final = merged(final, close)
         if failed.isEmpty():
             break
         new = failed.select("a", "b").distinct()
