@@ -39,8 +39,9 @@ def grams(text: Column, n: int) -> Column:
 
 def _sets(df: DataFrame, key: str, text: str, n: int) -> tuple[DataFrame, DataFrame]:
     """(key, set number) of every row, and (set number, n-grams, size) of every different set that is not empty."""
-    rows = spread(df.select(c(key).alias("key"), c(text).alias("text"))).select("key", F.array_sort(grams(c("text"), n)).alias("items"))
-    rows = rows.filter(F.size("items") > 0)
+    rows = spread(df.select(c(key).alias("key"), c(text).alias("text")))
+    # Asked of the text: a filter on the n-grams would cut the text up a second time.
+    rows = rows.filter(c("text").rlike(WORDS)).select("key", F.array_sort(grams(c("text"), n)).alias("items"))
     number = F.concat_ws("-", F.hex(F.xxhash64("items")), F.hex(F.xxhash64(F.lit(1), c("items"))))
     rows = rows.withColumn("set", number)
     return rows.select("key", "set"), rows.groupBy("set").agg(F.any_value("items").alias("items")).withColumn("size", F.size("items"))
