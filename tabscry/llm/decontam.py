@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 BROADCAST_GRAMS = 500_000
+WINDOWS = "array<struct<p: int, size: int, h: bigint, own: array<string>>>"
 
 
 def words_of(text: Column) -> Column:
@@ -28,10 +29,10 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _windows(size: int) -> str:
-    """SQL for the windows of ``size`` words of the array ``words``: place, size, hash."""
-    made = f"transform(sequence(1, size(words) - {size - 1}), p -> struct(p, {size} AS size, xxhash64(slice(words, p, {size})) AS h))"
-    return f"if(size(words) >= {size}, {made}, cast(array() AS array<struct<p: int, size: int, h: bigint>>))"
+def _windows(size: int, gram: str) -> str:
+    """SQL for the windows of ``size`` words of the array ``words``: place, size, hash, and ``gram`` over these words."""
+    made = f"transform(sequence(1, n - {size - 1}), p -> struct(p, {size} AS size, xxhash64(slice(words, p, {size})) AS h, {gram.format(size=size)} AS own))"
+    return f"if(n >= {size}, {made}, cast(array() AS {WINDOWS}))"
 
 
 def benchmark_grams(benchmark: DataFrame, text: str = "text", item_id: str = "item_id", window: int = WINDOW) -> DataFrame:
@@ -48,15 +49,21 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
     sizes = {r["size"]: r["count"] for r in grams.groupBy("size").count().collect()}  # at most ``window`` rows
     small = sum(sizes.values()) <= broadcast_grams
     g = grams.select(F.col("h").alias("gh"), "gram", "items")
+    # A broadcast set is probed where the words are, and only met windows are cut out. Before a shuffle every window takes its own
+    # words along instead: ten times the text at most, where all words of the text would grow with the square of its length.
+    gram = "cast(null AS array<string>)" if small else "slice(words, p, {size})"
     # The first entry stands for the document itself and never matches.
-    marks = ", ".join(["array(struct(0 AS p, 0 AS size, cast(null AS bigint) AS h))", *(_windows(n) for n in sorted(sizes))])
+    marks = ", ".join([f"cast(array(struct(0, 0, null, null)) AS {WINDOWS})", *(_windows(n, gram) for n in sorted(sizes))])
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("words"))
-    rows = rows.select("row", "doc_id", "words", F.explode_outer(F.expr(f"concat({marks})")).alias("w"))
+    # Windows are made in a column of their own: exploding a plain column stays inside generated code, which looks the hash up
+    # before a row is built. Exploding the expression itself would copy all words of the text into the row of every window.
+    rows = rows.withColumn("n", F.size("words")).withColumn("marks", F.expr(f"concat({marks})"))
+    rows = rows.select("row", "doc_id", "n", *(["words"] if small else []), F.explode_outer("marks").alias("w"))
     # Two comparisons instead of one equality: the words are then compared on a met hash only and never hashed as a key.
-    own = F.expr("slice(words, w.p, w.size)")
+    own = F.expr("slice(words, w.p, w.size)") if small else F.col("w.own")
     same = (F.col("w.h") == F.col("gh")) & (own <= F.col("gram")) & (own >= F.col("gram"))
     met = rows.join(F.broadcast(g) if small else g, same, "left").filter("w.p = 0 OR gram IS NOT NULL")
-    met = met.select("row", "doc_id", F.when(F.col("w.p") == 0, F.size("words")).alias("n"), F.when(F.col("w.p") > 0, F.struct(F.col("w.p").alias("p"), F.col("w.size").alias("size"))).alias("span"), "items")
+    met = met.select("row", "doc_id", F.when(F.col("w.p") == 0, F.col("n")).alias("n"), F.when(F.col("w.p") > 0, F.struct(F.col("w.p").alias("p"), F.col("w.size").alias("size"))).alias("span"), "items")
     found = met.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     return found.drop("row")
 
@@ -78,15 +85,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     )
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
-    """The documents that hold no benchmark window, with all their columns."""
-    bad = hits(docs, benchmark, doc_id=doc_id, **how).filter("size(spans) > 0").select(F.col("doc_id").alias("_hit"))
-    return docs.join(bad, docs[doc_id].eqNullSafe(bad["_hit"]), "left_anti")
+def _texts_hit(docs: DataFrame, benchmark: DataFrame, text: str, **how) -> DataFrame:
+    """Digest and spans of every text that is hit, once per text."""
+    found = hits(docs.select(_digest(docs[text]).alias("doc_id"), docs[text].alias("text")), benchmark, **how)
+    return found.filter("size(spans) > 0").groupBy(F.col("doc_id").alias("hit_text")).agg(F.first("spans").alias("hit_spans"))
+
+
+def _digest(text: Column) -> Column:
+    """Names a text; null for a null text."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
+    """The documents that hold no benchmark window, with all their columns.
+
+    Every row is judged by its own text, so ids may be null or repeated.
+    """
+    bad = _texts_hit(docs, benchmark, text, **how).select("hit_text")
+    return docs.join(bad, _digest(docs[text]) == bad["hit_text"], "left_anti")
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """doc_id and the words of every document row outside all hit windows, joined by one space (``text``)."""
-    found = hits(docs, benchmark, text=text, doc_id=doc_id, **how).select(F.col("doc_id").alias("_id"), "spans")
-    rows = docs.join(found, docs[doc_id].eqNullSafe(found["_id"]), "left").withColumn("_w", words_of(F.col(text)))
-    kept = F.expr("filter(_w, (x, i) -> NOT exists(spans, s -> i + 1 >= s.p AND i + 1 < s.p + s.size))")
-    return rows.select(F.col(doc_id).alias("doc_id"), F.array_join(kept, " ").alias("text"))
+    found = _texts_hit(docs, benchmark, text, **how)
+    rows = docs.select(docs[doc_id].alias("doc_id"), _digest(docs[text]).alias("digest"), words_of(docs[text]).alias("words"))
+    rows = rows.join(found, rows["digest"] == found["hit_text"], "left")
+    kept = F.expr("if(hit_spans IS NULL, words, filter(words, (x, i) -> NOT exists(hit_spans, s -> i + 1 >= s.p AND i + 1 < s.p + s.size)))")
+    return rows.select("doc_id", F.array_join(kept, " ").alias("text"))

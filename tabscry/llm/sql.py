@@ -1,5 +1,8 @@
 """DuckDB SQL that must give the same rows as the registered queries."""
 
+from tabscry.llm.urlrep import TWO_LABEL_SUFFIXES
+
+TWO_LABELS = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -22,7 +25,8 @@ marks AS (SELECT doc_id AS page_id, CASE WHEN quality = 0 OR toxic = 1 THEN 1 EL
 counted AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k FROM parts LEFT JOIN marks USING (page_id) GROUP BY host),
 named AS (SELECT *, string_split(host, '.') AS l FROM counted),
 l0 AS (
-  SELECT host, n, k, l[-1] AS suffix, array_to_string(l[-2:], '.') AS domain,
+  SELECT host, n, k, CASE WHEN array_to_string(l[-2:], '.') IN ({TWO_LABELS}) THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix,
+         CASE WHEN array_to_string(l[-2:], '.') IN ({TWO_LABELS}) THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain,
          (SELECT (sum(k) + 1)::DOUBLE / (sum(n) + 2) FROM counted) AS prior
   FROM named),{_level("suffix", "l0")}
 l1 AS (SELECT host, n, k, domain, post AS prior FROM l0 JOIN p_suffix USING (suffix)),{_level("domain", "l1")}

@@ -105,7 +105,9 @@ def judge(pages: DataFrame, outcomes: DataFrame, url: str = "url", page_id: str
     return rows.join(ranked, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "mean", "low")
 
 
-def allowed(pages: DataFrame, outcomes: DataFrame, url: str = "url", page_id: str = "page_id", **how) -> DataFrame:
-    """The pages themselves, without the blocked ones."""
-    blocked = judge(pages, outcomes, url, page_id, **how).filter("verdict = 'block'").select(F.col("page_id").alias("_blocked"))
-    return pages.join(blocked, pages[page_id].eqNullSafe(blocked["_blocked"]), "left_anti")
+def allowed(pages: DataFrame, outcomes: DataFrame, url: str = "url", page_id: str = "page_id", rules=RULES, cut: float = 0.5, z: float = 1.0) -> DataFrame:
+    """The pages themselves, without the blocked ones. Every row is judged by its own url, so ids may be null or repeated."""
+    host = url_host(pages[url])
+    said = fitting_rule(host, url_path(pages[url]), rules)[1]
+    bad = reputation(pages, outcomes, url, page_id, z=z).filter(F.col("low") >= cut).select(F.col("host").alias("bad_host"))
+    return pages.filter(F.coalesce(said, F.lit("allow")) != "block").join(bad, said.isNull() & (host == bad["bad_host"]), "left_anti")

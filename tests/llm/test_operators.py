@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -173,12 +174,26 @@ def test_decontamination(spark, docs):
         assert Counter(map(tuple, got.collect())) == Counter(want)
     clean = decontam.clean_documents(docs, items)
     assert clean.columns == docs.columns
-    bad = {i for i, *_, b in want if b}
-    assert Counter(r["doc_id"] for r in clean.collect()) == Counter(i for i, *_ in want if i not in bad)
+    # Row by row: a clean row stays, also when another row of the same (or no) id is hit.
+    assert Counter(r["doc_id"] for r in clean.collect()) == Counter(i for i, *_, b in want if not b)
     left = {r["doc_id"]: r["text"] for r in decontam.without_spans(docs, items).collect() if r["doc_id"] in (1, 7)}
     assert left[7] == "" and "w" in left[1] and len(words(left[1])) == 105
 
 
+def test_decontamination_without_or_with_repeated_ids(spark):
+    """Each row is judged by its own text, whatever its id; columns may carry the names of the joined ones."""
+    hit, other = " ".join(passage(5, 30)), " ".join(passage(6, 30, 90))
+    items = spark.createDataFrame([("a", " ".join(passage(5, 30)[4:18]))], "item_id string, text string")
+    rows = [(None, hit, 1, "x"), (None, other, 2, "x"), (3, hit, 3, "x"), (3, other, 4, "x"), (4, None, 5, "x"), (4, other, 6, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans int, hit_text string")
+    assert sorted(r["spans"] for r in decontam.clean_documents(docs, items).collect()) == [2, 4, 5, 6]
+    left = decontam.without_spans(docs, items).collect()
+    cut = " ".join([*passage(5, 30)[:4], *passage(5, 30)[18:]])
+    assert Counter(map(tuple, left)) == Counter([(None, cut), (None, other), (3, cut), (3, other), (4, ""), (4, other)])
+    none = items.limit(0)
+    assert decontam.clean_documents(docs, none).count() == 6 and decontam.without_spans(docs.limit(0), items).count() == 0
+
+
 def test_url_judgement(spark):
     rows = [(1, "HTTPS://A.B.example.COM/en/x?q#f"), (2, "https://www.example.com/en/"), (3, "no scheme"), (4, None), (5, "x://h.net"), (6, "x://h.net/es/1"), (6, "x://h.net/es/1"), (7, "http://h.net/fr?x"), (8, "x://com/a"), (9, "x://xcom/a"), (10, "")]
     rows += [(100 + i, f"http://bad.org/{i}") for i in range(60)] + [(300 + i, f"http://good.org/{i}") for i in range(60)]
@@ -194,7 +209,29 @@ def test_url_judgement(spark):
     assert urlrep.judge(pages, marks).count() == len(rows)
     assert urlrep.judge(pages, marks.limit(0)).filter("rule IS NULL AND verdict = 'block'").count() == 0
     assert urlrep.judge(pages.limit(0), marks).count() == 0
-    assert urlrep.allowed(pages, marks).columns == pages.columns
+    kept = urlrep.allowed(pages, marks)
+    assert kept.columns == pages.columns
+    judged = [r["page_id"] for r in urlrep.judge(pages, marks).collect() if r["verdict"] == "allow"]
+    assert Counter(r["page_id"] for r in kept.collect()) == Counter(judged)
+    same_id = spark.createDataFrame([(None, "x://h.net/es/1", 1), (None, "x://h.net", 2), (7, "x://h.net/fr/", 3), (7, "x://com/a", 4)], "page_id long, url string, bad_host int")
+    assert sorted(r["bad_host"] for r in urlrep.allowed(same_id, marks).collect()) == [2, 4]
+
+
+def test_suffixes_of_two_labels_against_sql(spark, tmp_path):
+    """Hosts below suffixes such as co.uk get the same levels in the job and in its SQL."""
+    hosts = ["a.one.co.uk", "b.one.co.uk", "two.co.uk", "co.uk", "uk", "x.three.com.au", "four.com", "www.four.com", "net"]
+    pages = [(i, f"http://{hosts[i % len(hosts)]}/p{i}") for i in range(180)]
+    marks = [(i, i % 3 % 2, int(i % len(hosts) < 2)) for i in range(0, 180, 2)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = QUERIES["op7_url_reputation"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = con.execute(ORACLES["op7_url_reputation"]).df()
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    clean = lambda f: Counter(map(tuple, f[columns].astype(object).where(f[columns].notna(), None).to_numpy().tolist()))
+    assert clean(got) == clean(want) and set(got["verdict"]) == {"allow", "block"}
 
 
 def test_packing(spark, docs):
