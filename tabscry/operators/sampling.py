@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from tabscry.functions.numeric import as_number
 from tabscry.operators.positions import with_position
 from tabscry.operators.profiling import type_family
 from tabscry.operators.quantiles import percentiles
+from tabscry.operators.selection import rows_between
 
 # Sample sizes and bounds.
 TARGET_ROWS = 1000
@@ -69,20 +71,20 @@ def random_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> D
     return df.orderBy(hash_order(keys, seed), *keys).limit(n)
 
 
-def head_middle_tail(df: DataFrame, order_by: Sequence[str], target: int = TARGET_ROWS) -> DataFrame:
-    """First, middle and last third of the target size, labelled by part."""
+def head_middle_tail(df: DataFrame, order_by: Sequence[str], target: int = TARGET_ROWS, **how: int) -> DataFrame:
+    """First, middle and last third of the target size, labelled by part.
+
+    Both ends are top-k plans; the middle is selected by rank. Only rows near a wanted place are moved.
+    """
     third = target // 3
-    placed = with_position(df, order_by)
-    total = df.agg(F.count(F.lit(1)).alias("_n"))
-    middle_from = F.floor((F.col("_n") - third) / 2)
-    position = F.col("position")
-    parts = {
-        "head": position <= third,
-        "middle": (position > middle_from) & (position <= middle_from + third),
-        "tail": position > F.col("_n") - third,
-    }
-    label = F.explode(F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in parts.items()])))
-    return placed.join(F.broadcast(total), F.lit(True)).withColumn("part", label).drop("_n")
+    total = df.count()
+    middle_from = (total - third) // 2
+    head = with_position(df.orderBy(*order_by).limit(third), order_by)
+    middle = rows_between(df, order_by, middle_from, middle_from + third, total, **how)
+    tail = with_position(df.orderBy(*[F.col(c).desc() for c in order_by]).limit(third), order_by)
+    tail = tail.withColumn("position", F.col("position") + max(total - third, 0))
+    parts = {"head": head, "middle": middle, "tail": tail}
+    return reduce(DataFrame.unionByName, [rows.withColumn("part", F.lit(name)) for name, rows in parts.items()])
 
 
 def systematic(df: DataFrame, order_by: Sequence[str], every: int, n: int | None = None) -> DataFrame:
