@@ -84,11 +84,20 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hashed_share(key: Column, rows: int, bound: int) -> Column:
-    """A filter that keeps about ``bound`` of ``rows`` rows by a hash of their key, the same rows on every run."""
+def sample_by_id(df: DataFrame, rows: int, bound: int, share: Column | None = None, doc_id: str = "id", text: str = "text") -> DataFrame:
+    """About ``bound`` of the ``rows`` rows of ``df``, the same ones on every run; all of them up to the bound.
+
+    Rows are drawn by a hash of their id, rows without id by one of their text. Of the drawn rows with one id, or without id and
+    with one text, the smallest stays, so neither a repeated id nor missing ids exceed the bound. ``share`` may raise the drawn
+    share of some rows.
+    """
     if rows <= bound:
-        return F.lit(True)
-    return F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * bound / rows)
+        return df
+    part = F.lit(bound / rows) if share is None else F.greatest(share, F.lit(bound / rows))
+    own = F.when(F.col(doc_id).isNull(), F.xxhash64(text))
+    drawn = df.filter(F.pmod(F.coalesce(own, F.xxhash64(doc_id)), F.lit(1 << 30)) < part * (1 << 30))
+    one = drawn.groupBy(F.col(doc_id).alias("_of"), own.alias("_own")).agg(F.min(F.struct(*df.columns)).alias("_row"))
+    return one.select("_row.*")
 
 
 def prefilter_joins(spark: SparkSession) -> None:

@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabscry.llm.common import hashed_share, map_arrow
+from tabscry.llm.common import map_arrow, sample_by_id
 
 LETTERS = re.compile(r"[^\W\d_]+")
+BROADCAST_LANGS = 10_000
 GRAM_LENGTHS = (4, 3, 2, 1)
 CACHED_WORDS = 300_000
 UNDETERMINED = "und"
@@ -105,13 +106,20 @@ class Model:
 
 def fit(
     docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
-    max_docs: int = 20_000, max_words: int = 50_000, max_grams: int = 20_000,
+    max_docs: int = 20_000, max_words: int = 50_000, max_grams: int = 20_000, lang_docs: int = 200,
 ) -> Model:
-    """Learn from the rows where ``learn`` holds."""
+    """Learn from about ``max_docs`` of the rows where ``learn`` holds, and from about ``lang_docs`` of every language with fewer.
+
+    Languages of up to ``lang_docs`` rows are learned from all of them, so a rare one is learned at any size of the table.
+    """
     rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"), learn.alias("learn"))
     rows = rows.filter("learn AND lang IS NOT NULL")
-    n = rows.select("lang").count()
-    rows = rows.filter(hashed_share(F.col("id"), n, max_docs)).filter("text IS NOT NULL").select("lang", "text")
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    n, langs = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    if n > max_docs:
+        rows = rows.join(F.broadcast(sizes) if langs <= BROADCAST_LANGS else sizes, "lang")
+        rows = sample_by_id(rows, n, max_docs, lang_docs / F.col("size"))
+    rows = rows.filter("text IS NOT NULL").select("lang", "text")
     counted = map_arrow(rows, _counts, "lang string, n int, gram string, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
     # A word seen once says little about its language; its grams say more.
     counted = counted.filter("n > 0 OR k > 1")

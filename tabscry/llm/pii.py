@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscry.llm.common import hashed_share, map_arrow, map_batches
+from tabscry.llm.common import map_arrow, map_batches, sample_by_id
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns. The local part of an email is found from its at sign.
@@ -358,7 +358,7 @@ def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_docs: i
     """Train on windows of at most about ``max_docs`` texts and on ``made`` made-up ones."""
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     n = rows.select("id").count()
-    some = rows.filter(hashed_share(F.col("id"), n, max_docs)).filter(F.col("text").rlike("[0-9@]")).select("text")
+    some = sample_by_id(rows, n, max_docs).filter(F.col("text").rlike("[0-9@]")).select("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         # Only what surrounds the triggers, at most 20 windows of a text.

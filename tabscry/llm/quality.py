@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscry.llm.common import hashed_share, id_crc, map_arrow, map_batches, plain_words
+from tabscry.llm.common import id_crc, map_arrow, map_batches, plain_words
 
 FEATURES = (
     "chars", "words", "word_length", "letters", "upper", "digits", "symbols", "exclaims", "bars", "odd_ends",
@@ -174,9 +174,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", d
     """Learn from at most ``max_rows`` labelled rows whose id satisfies ``learn`` (a condition on column ``id``)."""
     marks = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).filter("y IS NOT NULL AND id IS NOT NULL").filter(learn)
     n = marks.count()
-    marks = marks.filter(hashed_share(F.col("id"), n, max_rows)).groupBy("id").agg(F.min("y").alias("y"))
+    if n > max_rows:
+        marks = marks.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
+    marks = marks.groupBy("id").agg(F.min("y").alias("y"))
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    rows = texts.join(F.broadcast(marks), "id").select("y", "text")  # at most about max_rows ids
+    rows = texts.join(F.broadcast(marks), "id")  # at most about max_rows ids
+    # One text of every id, so that a repeated id stays one row.
+    rows = rows.groupBy("id").agg(F.min("y").alias("y"), F.min("text").alias("text")).select("y", "text")
     got = _featured(rows, "y int").toPandas()
     x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(FEATURES))
     y = got["y"].to_numpy(dtype=float)

@@ -14,7 +14,7 @@ from compare import compare, connect
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tabscry.llm import decontam, idcoder, langid, neardup, packing, pii, quality, search, substrings, urlrep
+from tabscry.llm import common, decontam, idcoder, langid, neardup, packing, pii, quality, search, substrings, urlrep
 from tabscry.llm.queries import ORACLES, QUERIES
 
 CLASH = ", id long, mark long, words string, score double, n_words long, own int, rep long, component_id long"
@@ -217,6 +217,19 @@ def test_url_judgement(spark):
     assert sorted(r["bad_host"] for r in urlrep.allowed(same_id, marks).collect()) == [2, 4]
 
 
+def test_samples_stay_bounded_and_keep_rare_languages(spark):
+    """Missing and repeated ids do not exceed a sample's bound; every language is learned at any size."""
+    rows = [(None, f"t{i}", "en") for i in range(3000)] + [(7, f"u{i}", "en") for i in range(3000)] + [(i + 10, f"v{i}", "en") for i in range(3000)]
+    rows += [(None, "same text", "en")] * 1000 + [(20_000 + i, "xylo quorb", "rare") for i in range(3)]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string").repartition(4)
+    got = common.sample_by_id(docs, len(rows), 500).collect()
+    assert 200 <= len(got) <= 600 and len({r["id"] for r in got if r["id"] is not None}) == sum(r["id"] is not None for r in got)
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, common.sample_by_id(docs.repartition(9), len(rows), 500).collect()), key=str)
+    assert common.sample_by_id(docs, len(rows), len(rows)).count() == len(rows)
+    model = langid.fit(docs, F.lit(True), doc_id="id", max_docs=300, lang_docs=20)
+    assert model.langs == ["en", "rare"] and model.score("xylo quorb")[0] == "rare"
+
+
 def test_suffixes_of_two_labels_against_sql(spark, tmp_path):
     """Hosts below suffixes such as co.uk get the same levels in the job and in its SQL."""
     hosts = ["a.one.co.uk", "b.one.co.uk", "two.co.uk", "co.uk", "uk", "x.three.com.au", "four.com", "www.four.com", "net"]
