@@ -10,6 +10,7 @@ from tabscry.functions.numeric import rounded
 from tabscry.functions.temporal import parse_temporal, stamp as stamp_col
 from tabscry.operators import repair as r
 from tabscry.operators import scans as s
+from tabscry.operators import sketches as sk
 from tabscry.operators import typing_rules as t
 from tabscry.plans import repair_plan as rp
 from tabscry.sources import versions
@@ -583,3 +584,21 @@ def events_with_holes(spark, d):
 def fill_forward_holes(spark, d):
     """Forward fill over null entities and times: no row is lost."""
     return r.fill_forward(events_with_holes(spark, d), "value", ["ts", "event_id"], ["user_id"]).select("event_id", "user_id", "value")
+
+
+def sketch_drift_sql(column: str, numeric: bool) -> str:
+    a, b = "lang = 'en'", "lang <> 'en'"
+    shared = f"(SELECT count(*) FROM (SELECT {column} FROM documents WHERE {a} AND {column} IS NOT NULL INTERSECT SELECT {column} FROM documents WHERE {b}))"
+    ends = [rnd(f"{f}({column}) FILTER ({b}) - {f}({column}) FILTER ({a})", 4) if numeric else "CAST(NULL AS DOUBLE)" for f in ("min", "max")]
+    return f"""SELECT '{column}' AS column_name, count(*) FILTER ({b}) - count(*) FILTER ({a}) AS total_rows_delta,
+        count(*) FILTER ({b} AND {column} IS NULL) - count(*) FILTER ({a} AND {column} IS NULL) AS null_count_delta,
+        count(DISTINCT {column}) FILTER ({b}) - count(DISTINCT {column}) FILTER ({a}) AS unique_count_delta, {shared} AS shared_count,
+        {ends[0]} AS min_value_delta, {ends[1]} AS max_value_delta FROM documents"""
+
+
+@query("sketch_drift", union([sketch_drift_sql("source", False), sketch_drift_sql("n_chars", True)]))
+def sketch_drift(spark, d):
+    docs = table(spark, d, "documents")
+    path = sk.store_sketches(docs, "lang", ["source", "n_chars"], f"{shared_folder(spark)}/sketches-{uuid.uuid4().hex}")
+    stored = sk.stored_sketches(spark, path, "lang", docs.schema["lang"].dataType)
+    return sk.sketch_drift(stored.filter("lang = 'en'"), stored.filter("lang <> 'en'"))
