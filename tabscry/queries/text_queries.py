@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tabscry.functions import text as tx
 from tabscry.operators import similarity as sim
 from tabscry.operators import textops as to
+from tabscry.operators import tone as tn
+from tabscry.operators.replies import read_replies
 from tabscry.operators.text_join import LOWER, UPPER, text_join
 from tabscry.operators.vector_index import semantic_join_ivf
 from tabscry.queries.registry import query, rnd, table, union
@@ -127,6 +129,31 @@ def sentiment(spark, d):
     return to.sentiment(table(spark, d, "documents"), "text", POSITIVE, NEGATIVE).select("doc_id", "sentiment_score", "primary_sentiment")
 
 
+@query(
+    "learned_tone",
+    f"""WITH w AS (SELECT doc_id, {words_sql('text')} AS words FROM documents),
+          u AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM w),
+          t AS (SELECT DISTINCT doc_id, CASE WHEN bool_or(list_contains({sql_list(tn.NEGATIONS)}, w)) OVER
+            (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {tn.NEGATION_REACH} PRECEDING AND 1 PRECEDING) THEN '!' || w ELSE w END AS term FROM u),
+          y AS (SELECT d.doc_id, toxic FROM documents d JOIN labels USING (doc_id) WHERE text IS NOT NULL AND toxic IN (0, 1)),
+          n AS (SELECT CAST(count(*) FILTER (toxic = 1) AS DOUBLE) AS n1, CAST(count(*) FILTER (toxic = 0) AS DOUBLE) AS n0 FROM y),
+          k AS (SELECT term, CAST(count(*) FILTER (toxic = 1) AS DOUBLE) AS ones, CAST(count(*) FILTER (toxic = 0) AS DOUBLE) AS zeros FROM t JOIN y USING (doc_id)
+            GROUP BY 1 HAVING count(*) >= {tn.MIN_TEXTS}),
+          q AS (SELECT term, ln((ones + 0.5) * (n0 - zeros + 0.5) / ((n1 - ones + 0.5) * (zeros + 0.5))) AS r,
+            sqrt(1 / (ones + 0.5) + 1 / (n1 - ones + 0.5) + 1 / (zeros + 0.5) + 1 / (n0 - zeros + 0.5)) AS e FROM k, n),
+          x AS (SELECT term, CAST(floor(1000 * CASE WHEN r < 0 THEN -(abs(r) - {tn.SURE}::DOUBLE * e) ELSE abs(r) - {tn.SURE}::DOUBLE * e END) AS BIGINT) AS weight
+            FROM q WHERE abs(r) - {tn.SURE}::DOUBLE * e > 0),
+          p AS (SELECT CAST(floor(1000 * ln((2 * n1 + 1) / (2 * n0 + 1))) AS BIGINT) AS weight FROM n),
+          s AS (SELECT doc_id, sum(weight) AS weight FROM t JOIN x USING (term) GROUP BY 1),
+          o AS (SELECT doc_id, CAST(CASE WHEN text IS NOT NULL THEN coalesce(s.weight, 0) + p.weight END AS BIGINT) AS log_odds FROM documents LEFT JOIN s USING (doc_id), p)
+        SELECT doc_id, log_odds, {rnd('1 / (1 + exp(-log_odds / 1000))')} AS tone_score, CAST(log_odds > 0 AS INTEGER) AS tone FROM o""",
+)
+def learned_tone(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    weights = tn.learn_weights(docs.join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id"), "text", "toxic")
+    return tn.tone(docs, "text", weights).drop("text")
+
+
 @query(
     "sentiment_by_group",
     f"""SELECT role, 'text' AS column_name, count(*) AS texts, {rnd('avg(score)', 4)} AS mean_score
@@ -300,6 +327,21 @@ def extract_structured(spark, d):
     return events.unionByName(docs)
 
 
+@query(
+    "replies_found",
+    """SELECT doc_id, doc_id AS id, lang AS origin_lang, source AS origin_source, source AS second_tag, n_chars AS size, length(text) AS text_chars,
+              CAST(NULL AS VARCHAR) AS bad_reply FROM documents""",
+)
+def replies_found(spark, d):
+    fields = [c("doc_id").alias("id"), F.struct("lang", "source").alias("origin"), F.array("lang", "source").alias("tags"), c("n_chars").alias("size"), "text"]
+    replies = table(spark, d, "documents").select("doc_id", F.to_json(F.struct(*fields)).alias("answer"))
+    r = c("reply")
+    return read_replies(replies, "answer").select(
+        "doc_id", r.id.alias("id"), r.origin.lang.alias("origin_lang"), r.origin.source.alias("origin_source"), F.get(r.tags, 1).alias("second_tag"),
+        r["size"].alias("size"), F.length(r.text).cast("long").alias("text_chars"), "bad_reply",
+    )
+
+
 @query(
     "json_fields",
     """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, '{"event_id":' || event_id || ',"labels":["' || event_type || '"]}' AS built,
