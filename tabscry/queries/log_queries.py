@@ -144,6 +144,16 @@ def stream_sessions(spark, d):
     return rows.select("user_id", stamp_col(c("batch_start")).alias("batch_start"), stamp_col(c("batch_end")).alias("batch_end"), "calls")
 
 
+@query(
+    "stream_sessions_closed",
+    f"""WITH {CALLS} SELECT user_id, {stamp('min(ts)')} AS batch_start, {stamp('max(ended)')} AS batch_end, count(*) AS calls FROM batched GROUP BY user_id, batch_no
+        HAVING max(ended) <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+)
+def stream_sessions_closed(spark, d):
+    rows = checks.closed_sessions(spark, event_stream(spark, d), "user_id", "ts", SESSION_GAP, fresh(spark, "closed"))
+    return rows.select("user_id", stamp_col(c("batch_start")).alias("batch_start"), stamp_col(c("batch_end")).alias("batch_end"), "calls")
+
+
 @query("stream_reservoir")
 def stream_reservoir(spark, d):
     schema = table(spark, d, "events").schema

@@ -8,6 +8,7 @@ reader takes its newest version.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -27,7 +28,8 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
         reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
     # As a pattern the path may name a file; a plain one must name a folder.
     path = path.rstrip("/")
-    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
+    start = re.sub(r"([\\\[\]{}*?])", r"\\\1", path[:-1])
+    return reader.parquet(f"{start}[{path[-1]}]")
 
 
 def timed(stream: DataFrame, time: str, delay: str = "1 hour") -> DataFrame:
@@ -100,6 +102,17 @@ def newest_versions(spark: SparkSession, target: str, keys: Sequence[str]) -> Da
     return newest.select(*keys, "v.*")
 
 
+def closed_sessions(spark: SparkSession, stream: DataFrame, agent: str, time: str, gap: str, folder: str) -> DataFrame:
+    """The sessions the watermark has passed, each written once when it closes.
+
+    Open sessions stay in the state store, which drops them as they close, so
+    its size follows the sessions of the watermark's delay and not the length
+    of the stream. A later run on the same folder goes on from that state.
+    """
+    target = to_versions(call_sessions(stream, agent, time, gap), folder, mode="append")
+    return spark.read.parquet(target).drop("batch")
+
+
 def last_batch(spark: SparkSession, target: str) -> DataFrame:
     """The whole result as of the last micro-batch (complete mode)."""
     rows = spark.read.parquet(target)

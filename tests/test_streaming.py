@@ -63,3 +63,22 @@ def test_stream_queries_read_a_table_of_several_files(spark, sf_dir, tmp_path, n
     table(spark, sf_dir, "events").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
     rows = lambda d: sorted(map(repr, QUERIES[name](spark, d).collect()))
     assert rows(str(tmp_path)) == rows(sf_dir)
+
+
+def test_closed_sessions_are_written_once_over_restarts(spark, sf_dir, tmp_path):
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    source, gap = str(tmp_path / "in [1]{a}*"), "make_interval(0, 0, 0, 0, 2, 0, 0)"
+    days = [r["d"] for r in events.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()]
+    run = lambda: checks.closed_sessions(
+        spark, checks.timed(checks.read_stream(spark, source, events.schema, files_per_batch=1), "ts"), "user_id", "ts", gap, str(tmp_path / "out")
+    )
+    seen = 0
+    for first in range(0, len(days), 10):
+        for day in days[first : first + 10]:
+            events.filter(F.to_date("ts") == day).coalesce(1).write.mode("append").parquet(source)
+        got = [(r["user_id"], r["batch_start"], r["batch_end"], r["calls"]) for r in run().collect()]
+        assert len(got) == len(set(got)) >= seen
+        seen = len(got)
+    whole = checks.call_sessions(events, "user_id", "ts", gap).select("user_id", "batch_start", "batch_end", "calls")
+    passed = events.agg(F.expr("max(ts) - interval 1 hour")).first()[0]
+    assert sorted(got) == sorted(tuple(r) for r in whole.filter(F.col("batch_end") <= F.lit(passed)).collect()) and got
