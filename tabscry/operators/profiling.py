@@ -432,17 +432,14 @@ def numeric_flags(df: DataFrame, columns: Sequence[str] | None = None, approx: b
     """Integer, sign and range flags, and whether the values are equally spaced.
 
     Equal spacing needs no sort: n distinct values of which each lies on the
-    grid min + k * (max - min) / (n - 1) fill that grid completely. With
-    ``approx`` the distinct count is a sketch's and may be off by a tenth.
+    grid min + k * (max - min) / (n - 1) fill that grid completely. Distinct
+    values are counted for the columns alone whose values all lie on it, which
+    is known once two scans have run. With ``approx`` the distinct count is a
+    sketch's and may be off by a tenth.
     """
     columns = list(columns or numeric_columns(df))
-    facts = {}
-    for c in columns:
-        facts[f"n_{c}"] = F.count(c)
-        facts[f"lo_{c}"] = F.min(c)
-        facts[f"hi_{c}"] = F.max(c)
-        facts[f"d_{c}"] = distinct_of(c, approx)
-    values = numbers(df, columns)
+    values = spread(numbers(df, columns))
+    facts = {f"{prefix}_{c}": of(c) for c in columns for prefix, of in (("n", F.count), ("lo", F.min), ("hi", F.max))}
     ends = values.agg(*[expr.alias(name) for name, expr in facts.items()])
     metrics = {}
     for c in columns:
@@ -453,16 +450,18 @@ def numeric_flags(df: DataFrame, columns: Sequence[str] | None = None, approx: b
             # A double's error grows with the position it counts.
             "on_grid": F.bool_and(F.abs(steps - F.round(steps)) < F.greatest(F.lit(1e-6), n * 1e-15)),
             "n": F.count(c),
-            "d": F.max(F.col(f"d_{c}")),
             "constant": F.bool_and(lo == hi),
         }
-    flags = summarize(values.join(F.broadcast(ends), F.lit(True)), metrics)
+    seen = summarize(values.join(F.broadcast(ends), F.lit(True)), metrics)
+    flags = df.sparkSession.createDataFrame(seen.collect(), seen.schema)  # one row per column
+    open_columns = [r["column_name"] for r in flags.filter("n >= 2 AND NOT constant AND on_grid").select("column_name").collect()]
+    if open_columns:
+        distinct = summarize(values.select(*open_columns), {c: {"d": distinct_of(c, approx)} for c in open_columns})
+        flags = flags.join(F.broadcast(distinct), "column_name", "left")
+    else:
+        flags = flags.withColumn("d", F.lit(None).cast("long"))
     same = (F.abs(F.col("n") - F.col("d")) <= F.col("n") * 0.1) if approx else F.col("n") == F.col("d")
-    spaced = (
-        F.when(F.col("n") < 2, False)
-        .when(F.col("constant"), True)
-        .otherwise(same & F.coalesce("on_grid", F.lit(False)))
-    )
+    spaced = F.when(F.col("n") < 2, False).when(F.col("constant"), True).otherwise(F.coalesce(same, F.lit(False)))
     return flags.select(
         "column_name", "all_integers", "all_positive", "in_0_1", "in_0_100", spaced.alias("equally_spaced")
     )
