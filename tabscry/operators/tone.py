@@ -73,6 +73,12 @@ def learn_weights(train: DataFrame, text: str, label: str, min_texts: int = MIN_
     return learned.unionByName(prior)
 
 
+def stored_weights(weights: DataFrame, path: str) -> DataFrame:
+    """Write the weights once and read them back, with a size that is known when they are joined."""
+    weights.write.mode("overwrite").parquet(path)
+    return weights.sparkSession.read.schema(weights.schema).parquet(path)
+
+
 def tone(df: DataFrame, text: str, weights: DataFrame) -> DataFrame:
     """Every row with ``log_odds`` (thousandths), ``tone_score`` (0 to 1 for label 1) and ``tone`` (1 or 0).
 

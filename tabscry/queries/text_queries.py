@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tabscry.functions import text as tx
@@ -11,6 +13,7 @@ from tabscry.operators import tone as tn
 from tabscry.operators.replies import read_replies
 from tabscry.operators.text_join import LOWER, UPPER, text_join
 from tabscry.operators.vector_index import semantic_join_ivf
+from tabscry.queries.quality_queries import shared_folder
 from tabscry.queries.registry import query, rnd, table, union
 from tabscry.session import spread
 
@@ -151,7 +154,7 @@ def sentiment(spark, d):
 def learned_tone(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     weights = tn.learn_weights(docs.join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id"), "text", "toxic")
-    return tn.tone(docs, "text", weights).drop("text")
+    return tn.tone(docs, "text", tn.stored_weights(weights, f"{shared_folder(spark)}/tone-{uuid.uuid4().hex}")).drop("text")
 
 
 @query(
