@@ -245,3 +245,16 @@ def test_a_model_gets_no_missing_text(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "id long, text string")
     got = {x["id"]: x["ai_response"] for x in to.map_with_model(df, "text", "Say", lambda prompts: [p.upper() for p in prompts]).collect()}
     assert got[2] is None and got[1].startswith("SAY") and got[1].endswith("A B") and got[3] is not None
+
+
+@pytest.mark.parametrize("frequent, most_sent", [(1, 0), (3, 1000), (200_000, 1000)])
+def test_group_summaries_carry_no_sentence_per_word(spark, monkeypatch, frequent, most_sent):
+    texts = [("a", "the cat sat. The dog. the cat sat"), ("a", "a dog sat! ... 12"), ("b", "one two. two. two one one"), (None, "the the"), ("a", None)]
+    df = spark.createDataFrame([(i, g, x) for i, (g, x) in enumerate(texts * 3)], "id long, g string, text string")
+    joined, join = [], type(df).join
+    monkeypatch.setattr(type(df), "join", lambda self, *args, **named: joined.append(set(self.columns)) or join(self, *args, **named))
+    how = {} if frequent == 200_000 else {"frequent": frequent, "most_sent": most_sent}
+    got = sorted((r["g"], r["sentence_no"], r["sentence"], r["copies"], r["score"]) for r in to.summarize_groups(df, "g", "id", "text", 2, **how).collect())
+    # Words of a: the 9, cat 6, sat 9, dog 6, a 3; of b: one 9, two 9.
+    assert got == [("a", 1, "the cat sat", 6, 8.0), ("a", 2, "The dog", 3, 7.5), ("b", 1, "one two", 3, 9.0), ("b", 2, "two", 3, 9.0)]
+    assert joined and not any({"word", "sentence"} <= columns for columns in joined)
