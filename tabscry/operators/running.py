@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabscry.operators.positions import PLACE_BITS
 from tabscry.session import cut
 
 
@@ -96,25 +97,25 @@ def overlap_batches(
 def order_breaks(df: DataFrame, value: str, key: str, slice_rows: int = 1_000_000) -> DataFrame:
     """One row: how often ``value`` falls when rows are read in ``key`` order.
 
-    Slices are range partitions of the key, at most about ``slice_rows`` rows
-    each, however sparse the keys are. Breaks inside a slice come from a window
-    over that slice, breaks between slices from the last value of one and the
-    first of the next.
+    Rows are range-partitioned by key, sorted and numbered; a slice is a run of at most ``slice_rows`` rows of one
+    partition, so small slices cost no further tasks. Breaks inside a slice come from a window over that slice,
+    breaks between slices from the last value of one and the first of the next.
     """
-    rows = df.select(value, key)
-    slices = max(1, min(10_000, -(-rows.count() // slice_rows)))
-    placed = cut(rows.repartitionByRange(slices, key).withColumn("_slice", F.spark_partition_id()))
-    sliced = placed
-    local = Window.partitionBy("_slice").orderBy(key)
+    placed = cut(df.select(value, key).repartitionByRange(key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id()))
+    # The upper bits of that number are the partition, the lower ones the place in it.
+    place = F.col("_at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    slices = ["_part", "_slice"]
+    sliced = placed.select(value, "_at", F.shiftright("_at", PLACE_BITS).alias("_part"), F.floor(place / slice_rows).alias("_slice"))
+    local = Window.partitionBy(*slices).orderBy("_at")
     marked = sliced.withColumn("_fall", (F.col(value) < F.lag(value).over(local)).cast("long"))
-    ends = marked.groupBy("_slice").agg(
+    ends = marked.groupBy(*slices).agg(
         F.coalesce(F.sum("_fall"), F.lit(0)).alias("_falls"),
         F.count(F.lit(1)).alias("_rows"),
-        F.min_by(value, key).alias("_first"),
-        F.max_by(value, key).alias("_last"),
+        F.min_by(value, "_at").alias("_first"),
+        F.max_by(value, "_at").alias("_last"),
     )
-    # One row per range partition.
-    across = Window.orderBy("_slice")
+    # One row per slice.
+    across = Window.orderBy(*slices)
     steps = ends.withColumn("_step", (F.col("_first") < F.lag("_last").over(across)).cast("long"))
     return steps.agg(
         F.coalesce(F.sum("_rows"), F.lit(0)).alias("n_rows"),

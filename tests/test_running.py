@@ -80,3 +80,18 @@ def test_positions_with_a_hot_leading_value(spark):
     got = {r["b"]: r["position"] for r in with_position(df, ["a", "b"]).collect()}
     want = {b: n + 1 for n, (_, b) in enumerate(sorted(rows))}
     assert got == want
+
+
+def test_order_breaks_takes_no_task_per_slice(spark):
+    df = spark.range(40_000).select(F.col("id").alias("k"), (F.col("id") % 1000).alias("v"))
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("breaks"))
+    spark.sparkContext.setJobGroup("breaks", "")
+    try:
+        row = order_breaks(df, "v", "k", slice_rows=100).first()
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("breaks")[before:] for s in tracker.getJobInfo(j).stageIds}
+        tasks = [info.numTasks for info in map(tracker.getStageInfo, stages) if info]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert (row["n_rows"], row["breaks"]) == (40_000, 39)
+    assert tasks and max(tasks) <= 100
