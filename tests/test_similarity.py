@@ -77,3 +77,22 @@ def test_lsh_join_returns_right_pairs_only(spark):
     got = {(x["left_vid"], x["right_vid"]) for x in semantic_join_lsh(left, right, "vid", "vid", "v", 0.9).collect()}
     assert got <= want
     assert len(got) / len(want) > 0.9
+
+
+def test_pairs_without_copies_are_not_shuffled(spark):
+    left, a = vectors(spark, 5, n=60, copies=False)
+    out = semantic_join(left, left, "vid", "vid", "v", 0.35)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("MapInArrow")[0]
+    assert "MapInArrow" in plan and "Join" not in above and "Exchange" not in above
+    rows = {(x["left_vid"], x["right_vid"]) for x in out.collect()}
+    assert rows == brute(a, a, 0.35) | {(60, None), (61, None)}
+
+
+@pytest.mark.parametrize("tables, width", [(12, 1.5), (2, 0.05)])
+def test_lsh_join_meets_in_blocks(spark, tables, width):
+    left, a = vectors(spark, 5, n=120)
+    out = semantic_join_lsh(left, left, "vid", "vid", "v", 0.35, tables=tables, width=width)
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    rows = [(x["left_vid"], x["right_vid"]) for x in out.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) <= brute(a, a, 0.35) and {(i, i) for i in range(120)} <= set(rows)
