@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tabscry.functions.numeric import as_number, numbers, pearson, ratio, rounded
 from tabscry.functions.temporal import bucket
 from tabscry.operators.quantiles import percentiles
-from tabscry.session import spread
+from tabscry.session import estimated_bytes, spread
 
 # Thresholds of the statistics.
 POSITIVE_CORRELATION = 0.3
@@ -19,6 +19,9 @@ WEAK_CORRELATION = 0.1
 PERIODICITY_THRESHOLD = 0.4
 SKEW_FACTOR = 1.5
 IQR_FACTOR = 1.5
+# Stored bytes of a table that one task counts distinct values of, and the pieces at most.
+PIECE_BYTES = 1024 * 1024
+MOST_PIECES = 10_000
 PERIODICITY_LAGS = {
     "hour": (1, 6, 12, 24),
     "day": (1, 7, 30),
@@ -88,6 +91,41 @@ def distinct_of(column: str, approx: bool = False) -> Column:
     return F.approx_count_distinct(column) if approx else F.count_distinct(F.col(column))
 
 
+def _pieces(df: DataFrame) -> DataFrame:
+    """Rows in pieces of about PIECE_BYTES: a file may be one row group, and the values of one task are held in memory."""
+    size = estimated_bytes(df)
+    if size is None or size <= PIECE_BYTES:
+        return df
+    return df.repartition(min(MOST_PIECES, max(df.sparkSession.sparkContext.defaultParallelism, -(-size // PIECE_BYTES))))
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str], name: str = "distinct_count") -> DataFrame:
+    """Exact distinct non-null values of each column with any.
+
+    Values are counted as column number and 128-bit digest, so a row that is counted is narrow whatever the table's
+    other statistics, and a task sees one piece of the table at a time.
+    """
+    cells = []
+    for i, column in enumerate(columns):
+        nested = isinstance(df.schema[column].dataType, (T.ArrayType, T.StructType, T.MapType))
+        raw = F.col(f"`{column}`")
+        value = F.to_json(F.struct(raw), {"ignoreNullFields": "false"}) if nested else raw
+        cells.append(F.struct(F.lit(i).alias("ordinal"), raw.isNotNull().alias("known"), F.xxhash64(value).alias("h1"), F.xxhash64(F.lit(1), value).alias("h2")))
+    rows = _pieces(df.select(*[F.col(f"`{column}`") for column in columns]))
+    seen = rows.select(F.inline(F.array(*cells))).filter("known").select("ordinal", "h1", "h2").distinct()
+    counts = seen.groupBy("ordinal").agg(F.count(F.lit(1)).alias(name))
+    label = F.element_at(F.array(*[F.lit(column) for column in columns]), F.col("ordinal") + 1)
+    return counts.select(label.alias("column_name"), name)
+
+
+def _with_distinct(df: DataFrame, metrics: dict[str, dict[str, Column]], name: str, approx: bool) -> DataFrame:
+    """Per-column aggregates beside the distinct count ``name``; sketches fit the same pass, exact counts take their own."""
+    if approx:
+        return summarize(df, {c: {**of, name: distinct_of(c, True)} for c, of in metrics.items()})
+    both = summarize(df, metrics).join(F.broadcast(distinct_counts(df, list(metrics), name)), "column_name", "left")
+    return both.withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+
+
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """total, non-null, distinct, null rate and cardinality of each column."""
     metrics = {
@@ -147,7 +185,6 @@ def wide_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     nothing = F.lit(None).cast("double")
     metrics = {
         c: {
-            "distinct_count": distinct_of(c, approx),
             "null_count": F.count_if(F.col(c).isNull()),
             "min_value": F.min(as_number(c)) if c in numerics else F.max(nothing),
             "max_value": F.max(as_number(c)) if c in numerics else F.max(nothing),
@@ -155,7 +192,7 @@ def wide_profile(df: DataFrame, approx: bool = False) -> DataFrame:
         }
         for c in df.columns
     }
-    profile = summarize(df, metrics)
+    profile = _with_distinct(df, metrics, "distinct_count", approx)
     medians = percentiles(df, sorted(numerics), [0.5]).select("column_name", F.col("q")[0].alias("median_value"))
     return profile.join(F.broadcast(medians), "column_name", "left").select(
         "column_name",
@@ -453,8 +490,8 @@ def numeric_flags(df: DataFrame, columns: Sequence[str] | None = None, approx: b
             "constant": F.bool_and(lo == hi),
         }
     seen = summarize(values.join(F.broadcast(ends), F.lit(True)), metrics)
-    flags = df.sparkSession.createDataFrame(seen.collect(), seen.schema)  # one row per column
-    open_columns = [r["column_name"] for r in flags.filter("n >= 2 AND NOT constant AND on_grid").select("column_name").collect()]
+    flags = seen
+    open_columns = [r["column_name"] for r in seen.filter("n >= 2 AND NOT constant AND on_grid").select("column_name").collect()]
     if open_columns:
         distinct = summarize(values.select(*open_columns), {c: {"d": distinct_of(c, approx)} for c in open_columns})
         flags = flags.join(F.broadcast(distinct), "column_name", "left")
@@ -510,7 +547,6 @@ def display_stats(df: DataFrame, columns: Sequence[str] | None = None, k: int =
         c: {
             "total": F.count(F.lit(1)),
             "present": F.count(c),
-            "unique": distinct_of(c, approx),
             "min_value": F.min(as_number(c)) if c in numerics else nothing,
             "max_value": F.max(as_number(c)) if c in numerics else nothing,
             "mean_value": F.avg(as_number(c)) if c in numerics else nothing,
@@ -520,12 +556,12 @@ def display_stats(df: DataFrame, columns: Sequence[str] | None = None, k: int =
     # At most k entries per column reach this list.
     best = F.array_sort(F.collect_list(F.struct("rank", F.concat_ws("=", "value", F.col("n").cast("string")).alias("v"))))
     tops = (
-        top_values(df, columns, k)
+        top_values(_pieces(df.select(*columns)), columns, k)
         .groupBy("column_name")
         .agg(F.array_join(F.transform(best, lambda s: s.v), "|").alias("top_values"))
     )
     total = F.col("total")
-    return summarize(df, metrics).join(F.broadcast(tops), "column_name", "left").select(
+    return _with_distinct(df, metrics, "unique", approx).join(F.broadcast(tops), "column_name", "left").select(
         "column_name",
         ratio((total - F.col("present")) * 100, total, 4).alias("null_pct"),
         ratio(F.col("unique") * 100, total, 4).alias("unique_pct"),

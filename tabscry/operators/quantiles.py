@@ -19,6 +19,8 @@ from tabscry.functions.numeric import as_number
 from tabscry.session import is_small, spread
 
 HOT_GROUP_ROWS = 5_000_000
+# Stored bytes of a table up to which one task ranks a whole column.
+RANKED_BYTES = 8 * 1024 * 1024
 SKETCH_ACCURACY = 10_000
 BRACKET = 0.001
 SLOTS = 1024
@@ -136,7 +138,8 @@ def percentiles(
     long = _long(df, columns, keys)
     group = [*keys, "column_name"]
     if small is None:
-        small = is_small(df.select(*keys, *columns))
+        # Without keys a column is one group, ranked by one task.
+        small = is_small(df.select(*keys, *columns)) if keys else is_small(df.select(*columns), RANKED_BYTES)
     if small:
         return _ranked(_long(spread(df.select(*keys, *columns)), columns, keys), group, probs)
     if not keys:

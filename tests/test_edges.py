@@ -258,3 +258,20 @@ def test_group_summaries_carry_no_sentence_per_word(spark, monkeypatch, frequent
     # Words of a: the 9, cat 6, sat 9, dog 6, a 3; of b: one 9, two 9.
     assert got == [("a", 1, "the cat sat", 6, 8.0), ("a", 2, "The dog", 3, 7.5), ("b", 1, "one two", 3, 9.0), ("b", 2, "two", 3, 9.0)]
     assert joined and not any({"word", "sentence"} <= columns for columns in joined)
+
+
+def test_distinct_counts_of_narrow_cells(spark, monkeypatch):
+    monkeypatch.setattr(p, "PIECE_BYTES", 64)
+    rows = [(1, 0.0, "a", [1, None], None), (2, -0.0, "b", [1], None), (None, float("nan"), "b", None, None), (2, float("nan"), None, [1, None], None)] * 5
+    df = spark.createDataFrame(rows, "k int, d double, s string, a array<int>, z string")
+    got = {r["column_name"]: r["distinct_count"] for r in p.wide_profile(df).collect()}
+    assert got == {"k": 2, "d": 2, "s": 2, "a": 2, "z": 0}
+    unique = {r["column_name"]: r["unique_pct"] for r in p.display_stats(df, ["k", "s", "z"]).collect()}
+    assert unique == {"k": 10.0, "s": 10.0, "z": 0.0}
+    assert {r["distinct_count"] for r in p.wide_profile(df.limit(0)).collect()} == {0}
+
+
+@pytest.mark.parametrize("of", [p.wide_profile, p.display_stats])
+def test_no_row_is_expanded_for_its_distinct_values(spark, of):
+    df = spark.createDataFrame([(1, "a", 1.0)], "k int, s string, v double")
+    assert "Expand" not in of(df)._jdf.queryExecution().executedPlan().toString()
