@@ -21,18 +21,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
+    return out.filter("a <> b")
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on at most one other, which itself hangs on none."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(edges.select("b", F.lit(0)))
+    open_nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n")).filter("up > 1 OR (up = 1 AND n > 1)")
+    return not open_nodes.agg(F.count("*")).first()[0]
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and component (the smallest node it can reach) of every node with a link; links are columns a, b."""
     edges = written(edges.select("a", "b").filter("a <> b").distinct())
-    seen = None
     while True:
-        edges = written(_star(_star(edges, large=True), large=False))
-        now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if now == seen:
+        # The small step's stars are distinct links; those of the large step are as many as the links before.
+        edges = written(_star(_star(edges, large=True), large=False).distinct())
+        if _settled(edges):
             break
-        seen = now
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+    return written(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots))

@@ -185,6 +185,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def mixed_keys(cand: DataFrame, found: DataFrame) -> DataFrame:
+    """Keys of the buckets that hold several components."""
+    component = F.coalesce("component", "rep")
+    placed = cand.select("key", "rep").join(found, F.col("rep") == found["node"], "left").groupBy("key")
+    return written(placed.agg(F.min(component).alias("lo"), F.max(component).alias("hi")).filter("lo <> hi").select("key"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -201,7 +208,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     mates = cand.groupBy("rep").agg(F.sum("c").alias("mates"))
     centre = cand.join(mates, "rep").groupBy("key").agg(F.max_by("rep", F.struct("mates", "n")).alias("a"), F.max_by("n", F.struct("mates", "n")).alias("na"))
     fits = 100 * F.least("n", "na") >= percent * F.greatest("n", "na")
-    pairs = cand.join(centre, "key").filter((F.col("rep") != F.col("a")) & fits).select("a", F.col("rep").alias("b")).distinct()
+    pairs = written(cand.join(centre, "key").filter((F.col("rep") != F.col("a")) & fits).select("a", F.col("rep").alias("b")).distinct())
 
     # Only texts of shared buckets are needed: Spark's own Bloom filter over their ids, of bounded size, keeps most
     # of the others out of the shuffle, at any table size.
@@ -212,15 +219,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     stars = written(_verified(pairs, sets, percent))
 
     first = components(stars)
-    placed = cand.filter("c > 2").join(first, cand["rep"] == first["node"], "left").select("key", "rep", "c", F.coalesce("component", "rep").alias("component"))
     # With two members the star has decided; with one component there is nothing to find.
-    mixed_up = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    cand = cand.filter("c > 2")
+    placed = cand.join(mixed_keys(cand, first), "key").join(first, F.col("rep") == first["node"], "left").select("key", "rep", "c", F.coalesce("component", "rep").alias("component"))
     blocks = F.ceil(F.col("c") / block).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    spread = placed.join(mixed_up, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    spread = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     spread = spread.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "rep", "component", (F.col("own") > F.col("other")).alias("upper"))
     dealt = spread.join(sets, "rep").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "rep")
-    links = map_arrow(dealt, _compared(percent), f"a {kind}, b {kind}")
+    links = written(map_arrow(dealt, _compared(percent), f"a {kind}, b {kind}"))
 
     final = components(stars.union(links))
     groups = classes.join(final, classes["rep"] == final["node"], "left").select("digest", F.coalesce("component", "rep").alias("root"))
