@@ -307,11 +307,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def blocked(cand: DataFrame, found: DataFrame) -> DataFrame:
     """Members of buckets that hold several components, dealt out to pairs of blocks."""
-    placed = cand.join(found, cand["rep"] == found["node"], "left").select("key", "rep", "n", "c", "load", F.coalesce("component", "rep").alias("component"))
-    several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    several = neardup.mixed_keys(cand, found)
+    placed = cand.join(several, "key").join(found, F.col("rep") == found["node"], "left").select("key", "rep", "n", "c", "load", F.coalesce("component", "rep").alias("component"))
     blocks = F.ceil(F.greatest(F.col("c") / BLOCK_ROWS, F.col("load") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    spread = placed.join(several, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    spread = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return spread.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "rep", "n", "component", (F.col("own") > F.col("other")).alias("upper"))
 
 
@@ -351,7 +351,7 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent:
     mates = cand.groupBy("rep").agg(F.sum("c").alias("mates"))
     centre = cand.join(mates, "rep").groupBy("key").agg(F.max_by("rep", F.struct("mates", "n", "rep")).alias("a"), F.max_by("n", F.struct("mates", "n", "rep")).alias("na"))
     fits = 100 * F.least("n", "na") >= percent * F.greatest("n", "na")
-    pairs = cand.join(centre, "key").filter((F.col("rep") != F.col("a")) & fits).select("a", F.col("rep").alias("b")).distinct()
+    pairs = written(cand.join(centre, "key").filter((F.col("rep") != F.col("a")) & fits).select("a", F.col("rep").alias("b")).distinct())
 
     prefilter_joins(docs.sparkSession)
     wanted = written(cand.groupBy("rep").agg(F.max("c").alias("c"))).filter("c > 1")
@@ -379,9 +379,9 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent:
         final = merged(final, close)
         if failed.isEmpty():
             break
-        new = failed.select("a", "b").distinct()
+        new = failed.select("a", "b")
         gone = new if gone is None else gone.union(new)
-        left = cand.join(failed.select("key").distinct(), "key", "left_semi")
+        left = written(cand.join(failed.select("key").distinct(), "key", "left_semi"))
 
     groups = classes.join(final, classes["rep"] == final["node"], "left").select("digest", F.coalesce("component", "rep").alias("root"))
     out = rows.join(groups, "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component_id"))
