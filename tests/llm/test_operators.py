@@ -9,6 +9,7 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from compare import compare, connect
 from pyspark.sql import functions as F
@@ -475,6 +476,60 @@ def test_search_with_every_term_of_the_query(spark, docs, sf_dir):
             assert np.allclose([s for _, s in found[q]], [s for _, s in best], rtol=0, atol=2e-6)
 
 
+def test_search_in_rounds_returns_few_rows(spark, monkeypatch):
+    words = [f"w{j}" for j in range(40)]
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice(words, rng.integers(1, 30)).tolist()), "en") for i in range(240)]
+    rows += [(300 + i, rows[i % 3][1], "en") for i in range(30)] + [(i, rows[i][1], "en") for i in range(3)]  # copies, repeated ids
+    made = []
+    plain = search.written
+    monkeypatch.setattr(search, "written", lambda df: made.append(plain(df)) or made[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(24)
+    out = {}
+    for name, first in (("one", 10_000), ("many", 40)):
+        monkeypatch.setattr(search, "FIRST_DOCS", first)
+        monkeypatch.setattr(search, "FIRST_TASKS", 2)
+        monkeypatch.setattr(search, "GROWTH", 2)
+        made.clear()
+        out[name] = search.top_k(docs, "id % 5 = 0", k=4, query_terms=None).orderBy("query_id", "rank").collect()
+        found = [d for d in made if "query_id" in d.columns]
+        queries = len({r["query_id"] for r in out[name]})
+        # A search of 24 shards by themselves returns up to 24 * 4 rows a query.
+        assert len(found) == {"one": 1, "many": 4}[name] and sum(d.count() for d in found) <= 8 * 4 * queries
+    assert out["one"] == out["many"]
+    words = [(i, search.terms(t)) for i, t, _ in rows]
+    n, mean = len(words), sum(len(w) for _, w in words) / len(words)
+    df = Counter(t for _, w in words for t in set(w))
+    for q in (0, 5, 300, 305):
+        own = {t for i, w in words if i == q for t in w}
+        scores = [(i, sum(np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in own & set(w))) for i, w in words]
+        want = sorted(((-round(float(s), 6), i) for i, s in scores if s))[:4]
+        assert [r["doc_id"] for r in out["many"] if r["query_id"] == q] == [i for _, i in want]
+
+
+def test_runs_of_an_index_carry_floors(monkeypatch):
+    monkeypatch.setattr(search, "RUN_DOCS", 7)
+    monkeypatch.setattr(search, "WAND_POSTINGS", 6)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice([f"w{j}" for j in range(25)], rng.integers(0, 20)).tolist()) for _ in range(60)] + ["w1 w2 w3"] * 20
+    codes = [np.array(sorted(rng.choice(25, size, replace=False))) for size in (1, 2, 3, 8, 9, 20, 25)]
+    idf = rng.random(25) + 0.1
+    queries = type("Sent", (), {"value": ([f"w{j}" for j in range(25)], idf, list(range(7)), [0, *np.cumsum([len(c) for c in codes]).tolist()], np.concatenate(codes))})
+    batches = [pa.RecordBatch.from_pydict({"id": list(range(a, a + 5)), "text": texts[a : a + 5]}) for a in range(0, 80, 5)]
+    got = defaultdict(list)
+    for out in search._searched(queries, None, 9.0, 3)(iter(batches)):
+        for q, i, s in zip(out["query_id"], out["doc_id"], out["score"], strict=True):
+            got[q].append((-s, i))
+    for q, own in enumerate(codes):
+        scores = []
+        for i, t in enumerate(texts):
+            w = search.terms(t)
+            s = sum(idf[j] * w.count(f"w{j}") * 2.2 / (w.count(f"w{j}") + 1.2 * (0.25 + 0.75 * len(w) / 9.0)) for j in own.tolist() if f"w{j}" in w)
+            if s:
+                scores.append((-round(float(s), 6), i))
+        assert [i for _, i in got[q]] == [i for _, i in sorted(scores)[:3]]
+
+
 def test_block_max_wand_matches_full_scoring():
     rng = np.random.default_rng(8)
     for _ in range(60):
