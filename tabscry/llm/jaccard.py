@@ -16,7 +16,8 @@ sets meet there. Only a set that fails under all ``DEALS`` deals gives its empty
 Signatures travel packed by ranges of their value to tasks that look for equal ones. A signature that many rows of one batch
 share is sent once and its rows go on directly. Sets that share a signature are candidates: each is compared on full sets with the
 bucket's centre (the member with most bucket mates). Buckets that still hold several components are looked at member by member, in
-blocks of bounded size, by parity maps: ``PARITY`` bits, each the parity of the set's shingles dealt to it. Two maps differ in no
+blocks of bounded size. Members of the bucket's largest component need not meet each other, only the rest of the bucket, so a bucket
+is read once if the rest fits a block. What meets is compared by parity maps: ``PARITY`` bits, each the parity of the set's shingles dealt to it. Two maps differ in no
 more bits than the sets do in shingles, so what differs in more than k is out for good. The closest pairs that would join components
 are compared on full sets; buckets where one of them fails are looked at again without the pairs that failed. What is open after
 ``ROUNDS`` rounds is compared on full sets throughout. Equal sets are one class, and classes are what is compared.
@@ -42,6 +43,7 @@ from tabscry.llm import neardup
 from tabscry.llm.common import map_arrow, prefilter_joins, written
 from tabscry.llm.graph import components
 from tabscry.llm.neardup import mixed, shingles
+from tabscry.session import is_small
 
 PERCENT = 80
 DEALS = 6
@@ -50,8 +52,10 @@ SLOT_SIGNATURES = 2_000_000  # about so many a slot
 HELD = 3 * SLOT_SIGNATURES
 BATCH_REPEATS = 8
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 120_000
+LARGEST = 4  # so many times a block are the pieces of a bucket's largest component
 PARITY = 2048
 ROUNDS, TRIES = 5, 8
+ENDS_BYTES = 8 * 1024 * 1024
 ONE = np.uint64(1)
 
 
@@ -250,9 +254,10 @@ def near_links(rep: list, comp: list, side: list[bool], sizes: list[int], maps:
     place = {r: i for i, r in enumerate(rep)}
     bits = np.frombuffer(b"".join(maps), np.uint64).reshape(len(maps), -1)
     n, comps, sides = np.array(sizes), np.unique(np.array(comp), return_inverse=True)[1], np.array(side)
+    big = np.bincount(comps).argmax()
     found = []
-    for i in range(len(rep)):
-        wanted = (comps != comps[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (np.arange(len(rep)) > i)
+    for i in np.flatnonzero(comps != big).tolist():  # pairs with the largest component are seen from the other end
+        wanted = (comps != comps[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & ((comps == big) | (np.arange(len(rep)) > i))
         if not within:
             wanted &= sides != sides[i]
         wanted[[place[x] for x in gone[i] or () if x in place]] = False
@@ -298,21 +303,44 @@ def _near(percent: int):
     return run
 
 
+def needed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets that few pairs name, without a shuffle of all sets; all sets for many pairs."""
+    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    return written(sets.join(F.broadcast(ends), "rep", "left_semi")) if is_small(ends, ENDS_BYTES) else sets
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) whose full sets are similar enough; ``sets`` hold rep and items."""
     both = F.size(F.array_intersect("sa", "sb"))
     read = pairs.join(sets.select(F.col("rep").alias("b"), F.col("items").alias("sb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("items").alias("sa")), "a")
     return written(read.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
 
 
 def blocked(cand: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, dealt out to pairs of blocks."""
+    """Members of buckets that hold several components, and into how many blocks their bucket's largest component and its rest go."""
     several = neardup.mixed_keys(cand, found)
-    placed = cand.join(several, "key").join(found, F.col("rep") == found["node"], "left").select("key", "rep", "n", "c", "load", F.coalesce("component", "rep").alias("component"))
-    blocks = F.ceil(F.greatest(F.col("c") / BLOCK_ROWS, F.col("load") / BLOCK_SHINGLES)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    spread = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return spread.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "rep", "n", "component", (F.col("own") > F.col("other")).alias("upper"))
+    placed = written(cand.join(several, "key").join(found, F.col("rep") == found["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component")))
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("load"))
+    bucket = parts.groupBy("key").agg(F.max(F.struct("c", "component", "load")).alias("top"), F.sum("c").alias("c"), F.sum("load").alias("load"))
+    blocks = lambda c, load, times: F.ceil(F.greatest(c / (times * BLOCK_ROWS), load / (times * BLOCK_SHINGLES))).cast("int")
+    bucket = bucket.select(
+        "key", F.col("top.component").alias("largest"),
+        blocks(F.col("c") - F.col("top.c"), F.col("load") - F.col("top.load"), 1).alias("rest"), blocks(F.col("top.c"), F.col("top.load"), LARGEST).alias("pieces"),
+    )
+    return placed.join(bucket, "key").withColumn("big", F.col("component") == F.col("largest")).drop("largest")
+
+
+def met_in_blocks(members: DataFrame) -> DataFrame:
+    """The members dealt out to pairs of blocks (low, high) in which all pairs of different components meet.
+
+    The rest's blocks are ``0 .. rest - 1``; the largest component's first piece joins each of them, the others follow.
+    """
+    own = F.when(F.col("big"), F.col("rest") - 1 + F.pmod(F.xxhash64("rep"), "pieces")).otherwise(F.pmod(F.xxhash64("rep"), "rest")).cast("int")
+    last = F.when(F.col("big"), F.col("rest") - 1).otherwise(F.col("rest") + F.col("pieces") - 2)
+    spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    first = F.col("big") & (F.col("own") == F.col("rest") - 1)
+    low, high = F.when(first, F.col("other")).otherwise(F.least("own", "other")), F.when(first, F.col("other")).otherwise(F.greatest("own", "other"))
+    return spread.withColumns({"low": low, "high": high, "upper": F.col("big") | (F.col("own") > F.col("other"))}).drop("rest", "pieces", "big", "own", "other")
 
 
 def merged(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -362,19 +390,20 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent:
     cand = left = cand.filter("c > 2")
     gone = None
     for turn in range(ROUNDS + 1):
-        dealt = blocked(left, final)
+        members = blocked(left, final)
         if turn == ROUNDS:
-            dealt = by_block(dealt.join(sets.select("rep", "items"), "rep"))
+            dealt = by_block(met_in_blocks(members.join(sets.select("rep", "items"), "rep")))
             final = merged(final, written(map_arrow(dealt, neardup._compared(percent), f"a {kind}, b {kind}")))
             break
-        dealt = dealt.join(sets.select("rep", "parity"), "rep")
+        members = members.join(sets.select("rep", "parity"), "rep")
         if gone is None:
-            dealt = dealt.withColumn("gone", F.lit(None).cast(f"array<{kind}>"))
+            members = members.withColumn("gone", F.lit(None).cast(f"array<{kind}>"))
         else:
             both = gone.union(gone.select("b", "a")).groupBy("a").agg(F.collect_set("b").alias("gone"))
-            dealt = dealt.join(both.withColumnRenamed("a", "rep"), "rep", "left")
-        near = written(map_arrow(by_block(dealt), _near(percent), f"key bigint, a {kind}, b {kind}"))
-        close = verified(near.select("a", "b").distinct(), sets, percent)
+            members = members.join(both.withColumnRenamed("a", "rep"), "rep", "left")
+        near = written(map_arrow(by_block(met_in_blocks(members)), _near(percent), f"key bigint, a {kind}, b {kind}"))
+        pairs = written(near.select("a", "b").distinct())
+        close = verified(pairs, needed(sets, pairs), percent)
         failed = written(near.join(close, ["a", "b"], "left_anti"))
         final = merged(final, close)
         if failed.isEmpty():

@@ -115,3 +115,36 @@ def test_slots_that_do_not_fit_are_settled_in_parts(monkeypatch):
 
 def test_empty_table(spark):
     assert jaccard.linked(frame(spark, [])).count() == 0
+
+
+def test_a_bucket_is_not_read_once_for_each_of_its_blocks(spark):
+    n, rest = 6000, 40
+    cand = spark.range(n).selectExpr("7L AS key", "id AS rep", "20 AS n", f"{n}L AS c", f"{20 * n}L AS load")
+    found = spark.range(n - rest).selectExpr("id AS node", "0L AS component")
+    rows = jaccard.met_in_blocks(jaccard.blocked(cand, found)).collect()
+    assert len(rows) <= n + 3 * rest  # the rest once for each piece of the largest component
+    assert Counter(r["rep"] for r in rows if r["rep"] < n - rest) == {i: 1 for i in range(n - rest)}
+
+
+@pytest.mark.parametrize("largest", [3, 40, 150])
+def test_all_pairs_of_different_components_meet(spark, monkeypatch, largest):
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 16)
+    n = 160
+    component = [0 if i < largest else i - i % 2 for i in range(n)]
+    cand = spark.range(n).selectExpr("7L AS key", "id AS rep", "20 AS n", f"{n}L AS c", f"{20 * n}L AS load")
+    found = spark.createDataFrame(list(enumerate(component)), "node bigint, component bigint")
+    groups = {}
+    for r in jaccard.met_in_blocks(jaccard.blocked(cand, found)).collect():
+        assert r["component"] == component[r["rep"]]
+        groups.setdefault((r["low"], r["high"]), []).append((r["rep"], r["upper"]))
+    met = Counter()
+    for (low, high), members in groups.items():
+        met.update(tuple(sorted((a, b))) for (a, x), (b, y) in combinations(members, 2) if component[a] != component[b] and (low == high or x != y))
+    assert met == {(a, b): 1 for a, b in combinations(range(n), 2) if component[a] != component[b]}
+
+
+def test_few_pairs_do_not_move_all_sets(spark, tmp_path):
+    spark.range(1000).selectExpr("id AS rep", "array(id) AS items", "binary('x') AS parity").write.parquet(str(tmp_path / "sets"))
+    spark.createDataFrame([(3, 5), (5, 9), (7, 2000)], "a bigint, b bigint").write.parquet(str(tmp_path / "pairs"))
+    sets, pairs = (spark.read.parquet(str(tmp_path / name)) for name in ("sets", "pairs"))
+    assert sorted(r["rep"] for r in jaccard.needed(sets, pairs).collect()) == [3, 5, 7, 9]
