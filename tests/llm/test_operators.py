@@ -530,6 +530,32 @@ def test_runs_of_an_index_carry_floors(monkeypatch):
         assert [i for _, i in got[q]] == [i for _, i in sorted(scores)[:3]]
 
 
+def test_terms_of_many_batches_are_numbered_at_once(monkeypatch):
+    texts = [f"w{i % 7} w{i % 3} other" if i % 5 else None for i in range(200)]
+    queries = type("Sent", (), {"value": ([f"w{j}" for j in range(7)], np.ones(7), [0, 1], [0, 3, 7], np.arange(7))})
+    batches = [pa.RecordBatch.from_pydict({"id": list(range(a, a + 10)), "text": texts[a : a + 10]}) for a in range(0, 200, 10)]
+    calls, numbered = [], search.numbered_terms
+    monkeypatch.setattr(search, "numbered_terms", lambda t: calls.append(len(t)) or numbered(t))
+    out = {}
+    for at_once in (10, 4096):
+        monkeypatch.setattr(search, "ADD_DOCS", at_once)
+        out[at_once] = list(search._searched(queries, None, 3.0, 5)(iter(batches)))
+    assert out[10] == out[4096] and len(out[10][0]["score"]) == 10
+    assert calls == [10] * 20 + [0, 200]
+
+
+def test_candidates_are_scored_as_whole_lists_are():
+    rng = np.random.default_rng(6)
+    index = search.Index(pa.array([f"w{j}" for j in range(40)]), rng.random(40) + 0.1, 12.0)
+    index.add(list(range(90)), [" ".join(rng.choice([f"w{j}" for j in range(60)], rng.integers(0, 30)).tolist()) for _ in range(90)])
+    index.close()
+    for size in (0, 1, 7, 40):
+        own = rng.permutation(40)[:size]
+        docs = np.sort(rng.choice(len(index.ids), 20, replace=False))
+        assert index.score(own, docs).tolist() == index.summed(own)[docs].tolist()
+    assert index.score(own, docs[:0]).tolist() == []
+
+
 def test_block_max_wand_matches_full_scoring():
     rng = np.random.default_rng(8)
     for _ in range(60):
