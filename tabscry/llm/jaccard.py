@@ -265,9 +265,10 @@ def near_links(rep: list, comp: list, side: list[bool], sizes: list[int], maps:
         apart = np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1)
         near = apart <= (n[js] + n[i]) * (100 - percent) // (100 + percent)
         js, apart = js[near], apart[near]
-        # For a member, the closest one of each other component is enough.
+        # For a member, the closest one of each other component is enough, and the closest ones of the largest.
         order = np.argsort(apart, kind="stable")
-        first = np.unique(comps[js[order]], return_index=True)[1]
+        of = comps[js[order]]
+        first = np.union1d(np.unique(of, return_index=True)[1], np.flatnonzero(of == big)[:TRIES])
         found += [(int(apart[o]), i, int(js[o])) for o in order[first]]
     joined, taken, out = neardup.Union(), {}, []
     for _, i, j in sorted(found):
