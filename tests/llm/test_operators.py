@@ -544,6 +544,61 @@ def test_terms_of_many_batches_are_numbered_at_once(monkeypatch):
     assert calls == [10] * 20 + [0, 200]
 
 
+def test_texts_are_read_once_for_all_blocks_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice([f"w{j}" for j in range(50)], rng.integers(0, 30)).tolist())) for i in range(150)], "doc_id long, text string")
+    seen, plain = [], search.map_arrow
+    monkeypatch.setattr(search, "map_arrow", lambda df, *a: seen.append(df.columns) or plain(df, *a))
+    monkeypatch.setattr(search, "FIRST_DOCS", 60)
+    out = {}
+    for block in (1000, 4):
+        seen.clear()
+        out[block] = search.top_k(docs, "id % 5 = 0", k=4, query_terms=None, query_block=block).orderBy("query_id", "rank").collect()
+        # Once to count terms, once for the queries, once for each of the two rounds.
+        assert sum("text" in columns for columns in seen) == 4
+    assert out[1000] == out[4] and len(seen) > 8
+
+
+def test_written_runs_are_indexed_as_texts_are(monkeypatch):
+    monkeypatch.setattr(search, "RUN_DOCS", 40)
+    rng = np.random.default_rng(12)
+    words = [f"w{j}" for j in range(30)] + ["\u00e9t\u00e9", "\u6771\u4eac"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 40)).tolist()) for _ in range(95)] + ["w1 " * 300, None, " ", "w2"]
+    batches = [pa.RecordBatch.from_pydict({"id": [*range(a, a + 10)] if a else [None, *range(1, 10)], "text": texts[a : a + 10]}) for a in range(0, 90, 10)]
+    batches += [pa.RecordBatch.from_pydict({"id": list(range(90, 99)), "text": texts[90:]})]
+    vocabulary, idf = pa.array(words[:28:2] + words[30:] + ["none"]), rng.random(17) + 0.1
+    made = [list(search.indexes(iter(batches), lambda: search.Index(vocabulary, idf, 9.0)))]
+    runs = [{c: (pa.array(v) if c == "id" else pa.array(v, pa.binary())) for c, v in row.items()} for row in search._runs(iter(batches))]
+    made += [list(search.indexes(iter([pa.RecordBatch.from_pydict(run) for run in runs]), lambda: search.Index(vocabulary, idf, 9.0)))]
+    assert [len(index.ids) for index in made[0]] == [len(index.ids) for index in made[1]] and len(made[0]) == 3
+    own = rng.permutation(17).astype(np.int32)
+    for a, b in zip(*made, strict=True):
+        assert a.ids == b.ids and a.length.tolist() == b.length.tolist()
+        assert np.allclose(a.summed(own), b.summed(own), rtol=1e-12) and b.score(own, np.arange(len(b.ids))).tolist() == b.summed(own).tolist()
+        floors = np.zeros(3)
+        queries = [own, own[:3], own[:1]]
+        assert list(a.best(queries, floors, 5)) == list(b.best(queries, floors, 5))
+
+
+def test_lists_multiplied_sliced_and_gathered_give_the_sums(monkeypatch):
+    monkeypatch.setattr(search, "DENSE_SHARE", 0.3)
+    monkeypatch.setattr(search, "SHORT", 6)
+    monkeypatch.setattr(search, "MATRIX_QUERIES", 7)
+    monkeypatch.setattr(search, "WAND_POSTINGS", 3)
+    rng = np.random.default_rng(13)
+    share = np.array([0.6] * 5 + [0.15] * 20 + [0.02] * 40)
+    index = search.Index(pa.array([f"w{j}" for j in range(65)]), rng.random(65) + 0.1, 12.0)
+    index.add(list(range(200)), [" ".join(f"w{j}" for j in np.flatnonzero(rng.random(65) < share)) for _ in range(200)])
+    index.close()
+    assert 4 <= len(index.matrix) <= 6 and len(index.slices[0]) >= 25 and np.count_nonzero(index.slot < 0) >= 20
+    queries = [rng.permutation(65)[:size] for size in (65, 30, 12, 3, 1, 0, 9, 40, 2, 20)] + [np.arange(5), np.arange(5, 25), np.arange(25, 65)]
+    for floor in (0.0, 1.5):
+        for own, best in zip(queries, index.best(queries, np.full(len(queries), floor), 6), strict=True):
+            total = np.round(index.summed(own), 6)
+            order = sorted(np.flatnonzero(index.summed(own)).tolist(), key=lambda d: (-total[d], d))[:6]
+            assert best == [(total[d], d) for d in order if total[d] >= floor]
+
+
 def test_candidates_are_scored_as_whole_lists_are():
     rng = np.random.default_rng(6)
     index = search.Index(pa.array([f"w{j}" for j in range(40)]), rng.random(40) + 0.1, 12.0)
