@@ -559,25 +559,28 @@ def test_texts_are_read_once_for_all_blocks_of_queries(spark, monkeypatch):
     assert out[1000] == out[4] and len(seen) > 8
 
 
-def test_written_runs_are_indexed_as_texts_are(monkeypatch):
+def test_written_rows_are_indexed_as_texts_are(monkeypatch):
     monkeypatch.setattr(search, "RUN_DOCS", 40)
+    monkeypatch.setattr(search, "PACK_DOCS", 15)
     rng = np.random.default_rng(12)
     words = [f"w{j}" for j in range(30)] + ["\u00e9t\u00e9", "\u6771\u4eac"]
     texts = [" ".join(rng.choice(words, rng.integers(0, 40)).tolist()) for _ in range(95)] + ["w1 " * 300, None, " ", "w2"]
-    batches = [pa.RecordBatch.from_pydict({"id": [*range(a, a + 10)] if a else [None, *range(1, 10)], "text": texts[a : a + 10]}) for a in range(0, 90, 10)]
-    batches += [pa.RecordBatch.from_pydict({"id": list(range(90, 99)), "text": texts[90:]})]
+    ids = [None, *range(1, 99)]
+    batches = [pa.RecordBatch.from_pydict({"id": ids[a : a + 10], "text": texts[a : a + 10]}) for a in range(0, 99, 10)]
     vocabulary, idf = pa.array(words[:28:2] + words[30:] + ["none"]), rng.random(17) + 0.1
-    made = [list(search.indexes(iter(batches), lambda: search.Index(vocabulary, idf, 9.0)))]
-    runs = [{c: (pa.array(v) if c == "id" else pa.array(v, pa.binary())) for c, v in row.items()} for row in search._runs(iter(batches))]
-    made += [list(search.indexes(iter([pa.RecordBatch.from_pydict(run) for run in runs]), lambda: search.Index(vocabulary, idf, 9.0)))]
-    assert [len(index.ids) for index in made[0]] == [len(index.ids) for index in made[1]] and len(made[0]) == 3
-    own = rng.permutation(17).astype(np.int32)
-    for a, b in zip(*made, strict=True):
-        assert a.ids == b.ids and a.length.tolist() == b.length.tolist()
-        assert np.allclose(a.summed(own), b.summed(own), rtol=1e-12) and b.score(own, np.arange(len(b.ids))).tolist() == b.summed(own).tolist()
-        floors = np.zeros(3)
-        queries = [own, own[:3], own[:1]]
-        assert list(a.best(queries, floors, 5)) == list(b.best(queries, floors, 5))
+    rows = [{c: (pa.array(v) if c == "id" else pa.array(v, pa.binary())) for c, v in row.items()} for row in search._packed(iter(batches))]
+    assert len(rows) == 5 and {len(row["tf"][0].as_py()) // (len(row["term"][0].as_py()) // 4) for row in rows} == {1, 2}
+    own, scores = rng.permutation(17).astype(np.int32), []
+    for given in (batches, [pa.RecordBatch.from_pydict(row) for row in rows]):
+        found, runs = {}, 0
+        for index in search.indexes(iter(given), lambda: search.Index(vocabulary, idf, 9.0)):
+            whole, few = index.summed(own), index.score(own, np.arange(len(index.ids)))
+            assert whole.tolist() == few.tolist() and sorted(index.ids) == index.ids
+            found |= dict(zip(index.ids, whole.tolist(), strict=True))
+            runs += 1
+        assert runs > 1
+        scores.append(found)
+    assert scores[0] == scores[1] and 90 < len(scores[0]) < 98 and 96 not in scores[0]
 
 
 def test_lists_multiplied_sliced_and_gathered_give_the_sums(monkeypatch):
